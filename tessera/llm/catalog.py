@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions.session import table
+from tessera.llm.mixing import mixed
+from tessera.llm.packing import pack
 from tessera.llm.simhash import near_duplicates
+from tessera.llm.token_counts import token_counts
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +17,54 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-SQL: dict[str, str] = {}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return pack(table(spark, sf_dir, "documents"), vocabulary, with_ids=False)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of all sources takes from each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents under a byte-level vocabulary."""
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_packing": op3_packing,
+    "op4_mixing": op4_mixing,
+    "op5_token_counts": op5_token_counts,
+}
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('17' || coalesce(':' || CAST(doc_id AS VARCHAR), '')) AS k
+  FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
+         source_size * 2.0::DOUBLE AS cap FROM s0),
+s2 AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS i FROM s1),
+s3 AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+         sum(weight) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w,
+         1.5::DOUBLE * sum(source_size) OVER () AS total FROM s2),
+f AS (SELECT min(i) AS i FROM s3 WHERE cap >= (total - capped) * weight / w),
+l AS (SELECT total - capped AS rest, w FROM s3 JOIN f USING (i)),
+g AS (SELECT source, source_size, least(cap, rest * weight / l.w) AS target FROM s3 LEFT JOIN l ON true),
+h AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM g),
+n AS (SELECT *, CAST(floor(target - whole * source_size) AS BIGINT) AS need FROM h),
+kk AS (SELECT source, k, sum(size) AS n FROM d GROUP BY source, k),
+c AS (SELECT source, k, n, sum(n) OVER (PARTITION BY source ORDER BY k) - n AS done FROM kk)
+SELECT d.doc_id, d.size, n.source_size, n.target,
+  CAST(n.whole * d.size + CASE WHEN c.done + c.n <= n.need THEN d.size
+       WHEN c.done < n.need THEN floor(d.size * (n.need - c.done) / c.n::DOUBLE) ELSE 0 END AS BIGINT) AS taken
+FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
+JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.k = c.k
+"""
+
+SQL = {"op4_mixing": OP4_SQL}

@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions.session import table
+from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mixed
 from tessera.llm.packing import pack
+from tessera.llm.quality import COUNTS, quality
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.token_counts import token_counts
 
@@ -17,6 +19,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their texts less the lines that an earlier document has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
@@ -34,11 +42,19 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the quality rules for all documents."""
+    found = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *COUNTS, "base_failed", "kept", "score")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
+    "op8_quality": op8_quality,
 }
 
 OP4_SQL = r"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.functions.session import table
 from tessera.llm.line_dedup import line_dedup
@@ -12,6 +13,7 @@ from tessera.llm.packing import pack
 from tessera.llm.quality import COUNTS, quality
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.token_counts import token_counts
+from tessera.llm.warc import archived
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +44,19 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back, equal payloads once."""
+    records = archived(table(spark, sf_dir, "pages"))
+    page = lambda urn: F.try_element_at(F.split(urn, ":"), F.lit(4)).try_cast("long")
+    return records.select(
+        page("record_id").alias("page_id"),
+        F.coalesce(F.length("payload").cast("long"), F.col("payload_length")).alias("payload_bytes"),
+        F.coalesce(F.sha2("payload", 256), F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of the quality rules for all documents."""
     found = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -54,6 +69,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
+    "op7_warc": op7_warc,
     "op8_quality": op8_quality,
 }
 
@@ -83,4 +99,13 @@ FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
 JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.k = c.k
 """
 
-SQL = {"op4_mixing": OP4_SQL}
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT d, min(page_id) AS f FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN f IS NOT NULL AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f IS NOT NULL AND page_id <> f THEN f END AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""
+
+SQL = {"op4_mixing": OP4_SQL, "op7_warc": OP7_SQL}

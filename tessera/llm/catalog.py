@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.session import table
+from tessera.llm.html_text import main_text
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mixed
 from tessera.llm.packing import pack
@@ -63,6 +64,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *COUNTS, "base_failed", "kept", "score")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -71,6 +77,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
+    "op10_html_text": op10_html_text,
 }
 
 OP4_SQL = r"""

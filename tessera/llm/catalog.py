@@ -15,6 +15,7 @@ from tessera.llm.quality import COUNTS, quality
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.token_counts import token_counts
 from tessera.llm.warc import archived
+from tessera.llm.weighted_sampling import fingerprints as sampled
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *COUNTS, "base_failed", "kept", "score")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return sampled(table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
     return main_text(table(spark, sf_dir, "pages"))
@@ -77,6 +83,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
+    "op9_fingerprints": op9_fingerprints,
     "op10_html_text": op10_html_text,
 }
 

@@ -11,6 +11,7 @@ from tessera.llm.html_text import main_text
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mixed
 from tessera.llm.packing import pack
+from tessera.llm.pii import KINDS, counted, find, shown
 from tessera.llm.quality import COUNTS, quality
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.token_counts import token_counts
@@ -46,6 +47,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: base spans and those that contexts add."""
+    found = find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(counted(F.col("base"), kind).alias(f"n_{kind}") for kind in KINDS),
+        F.sha2(shown(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        shown(F.col("all")).alias("spans"),
+    )
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives and read back, equal payloads once."""
     records = archived(table(spark, sf_dir, "pages"))
@@ -81,6 +93,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
+    "op6_pii": op6_pii,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
     "op9_fingerprints": op9_fingerprints,

@@ -8,6 +8,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.session import name
 from tessera.operators.counts import category_codes
@@ -97,7 +98,7 @@ def chi_square_tail(x: float, dof: int) -> float:
     return scale * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_value(chi2: pd.Series, dof: pd.Series) -> pd.Series:
     """The tail of chi-square, for rows that are one per pair of columns."""
     return pd.Series([chi_square_tail(x, int(d)) for x, d in zip(chi2, dof, strict=True)])

@@ -34,8 +34,8 @@ def top_n_counts(df: DataFrame, column: str, top_n: int = 32, other: str = "Othe
 
 def treemap(df: DataFrame, column: str, top_n: int = 32) -> DataFrame:
     """(label, n, share, caption) for a treemap."""
-    pct = F.format_string("%s\n %.1f%%", "label", F.col("share") * 100)
-    return top_n_counts(df, column, top_n).withColumn("caption", pct)
+    pct = F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 1)
+    return top_n_counts(df, column, top_n).withColumn("caption", F.format_string("%s\n %.1f%%", "label", pct))
 
 
 def distribution(df: DataFrame, column: str, limit: int = 20, cap: int = 32) -> DataFrame:

@@ -15,8 +15,13 @@ from tessera.functions.session import name
 
 def lenient_json(df: DataFrame, column: str) -> DataFrame:
     """df with parsed (variant) and status: strict, repaired (single quotes taken for double ones) or failed."""
-    strict = F.try_parse_json(name(column))
-    repaired = F.try_parse_json(F.replace(name(column), F.lit("'"), F.lit('"')))
+    # within brackets a text with anything after its value is broken, or has two
+    def read(text: Column) -> Column:
+        held = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+        alone = F.try_variant_get(held, "$[1]", "variant").isNull()
+        return F.when(alone, F.try_variant_get(held, "$[0]", "variant"))
+
+    strict, repaired = read(name(column)), read(F.replace(name(column), F.lit("'"), F.lit('"')))
     status = F.when(strict.isNotNull(), "strict").when(repaired.isNotNull(), "repaired").otherwise("failed")
     return df.withColumn("parsed", F.coalesce(strict, repaired)).withColumn("status", status)
 

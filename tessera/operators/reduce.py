@@ -22,7 +22,7 @@ def pca(vectors: DataFrame, k: int = 2) -> DataFrame:
     """(id, reduced) of vectors (id, v): centred, and each component's largest loading is positive."""
     data = vectors.select("id", array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("f"))
     fitted = PCA(k=k, inputCol="f", outputCol="p").fit(data)
-    mean = data.agg(Summarizer.mean("f")).first()[0].toArray()
+    mean = data.agg(Summarizer.mean(F.col("f"))).first()[0].toArray()
     load = fitted.pc.toArray()
     sign = np.sign(load[np.abs(load).argmax(axis=0), np.arange(load.shape[1])])
     shift = (mean @ load) * sign

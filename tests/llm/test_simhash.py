@@ -1,0 +1,81 @@
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from tessera.llm.simhash import near_duplicates, one_of_each, simhash, tile_links
+
+from .helpers import clashing, docs, records, sample_rows
+
+
+def plain_simhash(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_force(rows):
+    prints = [plain_simhash(t) for _, t, _ in rows]
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2:
+                root[top(i)] = top(j)
+    names = {}
+    for k, (i, _, _) in enumerate(rows):
+        if i is not None:
+            names[top(k)] = min(i, names.get(top(k), i))
+    return sorted(((i, f"{p:016x}", names.get(top(k))) for k, ((i, _, _), p) in enumerate(zip(rows, prints))), key=repr)
+
+
+@pytest.mark.parametrize("bucket", [2048, 3])
+def test_components_equal_brute_force(spark, bucket):
+    rows = sample_rows()
+    # a chain and a crowd of near fingerprints, through texts of many equal words and few odd ones
+    rows += [(200 + k, "same words again and again " * 40 + " ".join(f"odd{j}" for j in range(k)), "s") for k in range(25)]
+    found = near_duplicates(clashing(docs(spark, rows)), bucket=bucket)
+    assert records(found, "doc_id", "fingerprint", "component_id") == brute_force(rows)
+
+
+@pytest.mark.parametrize("both", [True, False])
+def test_tiles_link_what_all_pairs_link(both):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    near = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(20)] + [base])
+    left, right = (near[:400], near[400:]) if both else (near, None)
+    a, b = tile_links(left, right, 2)
+    root = {int(x): int(x) for x in near}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        root[top(x)] = top(y)
+    others = near if right is None else right
+    for x in left.tolist():
+        for y in others.tolist():
+            if (x ^ y).bit_count() <= 2:
+                assert top(x) == top(y)
+
+
+def test_one_stays_of_each_group(spark):
+    rows = [(5, "a b c d e f", "s"), (3, "a b c d e f", "s"), (3, "a b c d e f", "s"), (8, "quite another text it is", "t"), (None, "no id but words enough here", "u"), (None, None, "v")]
+    kept = one_of_each(docs(spark, rows))
+    assert records(kept, "doc_id", "text") == sorted([(3, "a b c d e f"), (8, "quite another text it is"), (None, "no id but words enough here"), (None, None)], key=repr)
+    assert kept.columns == docs(spark, rows).columns
+
+
+def test_empty_table_and_blank_texts(spark):
+    assert near_duplicates(docs(spark, [])).count() == 0
+    assert simhash(None) == simhash(b"") == simhash(b" \n") == 0
+    assert records(near_duplicates(docs(spark, [(4, None, "s"), (2, "  ", "s")])), "doc_id", "component_id") == [(2, 2), (4, 2)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -24,7 +25,7 @@ def density(vectors: DataFrame, min_cluster_size: int = 15, min_samples: int | N
 
     Distances are mutual reachabilities over the graph of nearest neighbours: the
     greatest of a pair's distance and both ends' distances to their min_samples-th
-    neighbour. At each of `levels` thresholds, quantiles of these, the components of
+    neighbour; one row of each dense group is tied to those of its nearest others. At each of `levels` thresholds in even ratios the components of
     at least min_cluster_size are clusters, nested from level to level. A cluster
     is worth its rows times the density range it lasts; going up, it replaces the
     clusters within it if it is worth more than they are together. Labels
@@ -38,7 +39,15 @@ def density(vectors: DataFrame, min_cluster_size: int = 15, min_samples: int | N
         F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b"), F.greatest("d", "core", "core_j").alias("w")
     )
     edges = written(edges.groupBy("a", "b").agg(F.min("w").alias("w")), "reach")
-    cuts = sorted(set(edges.agg(F.percentile_approx("w", [(n + 1) / (levels + 1) for n in range(levels)], 10_000)).first()[0] or []))
+    # dense groups have no edges between them: tie one row of each to those of the nearest others
+    mid = edges.agg(F.percentile_approx("w", 0.5, 10_000)).first()[0]
+    if mid is not None:
+        dense = components(edges.filter(F.col("w") <= mid).select("a", "b")).groupBy("root").agg(F.count("*").alias("n"))
+        heads = written(dense.filter(F.col("n") >= min_cluster_size - 1).select(F.col("root").alias("id")), "heads")
+        ties = neighbours(vectors.join(heads, "id"), k).select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b"), F.col("d").alias("w"))
+        edges = written(edges.union(ties).groupBy("a", "b").agg(F.min("w").alias("w")), "tied")
+    low, high = edges.agg(F.percentile_approx("w", 0.1, 10_000), F.max("w")).first()
+    cuts = [] if low is None else sorted({float(c) for c in np.geomspace(max(low, 1e-9), max(high, 1e-9), levels)})
     ids = written(vectors.select("id"), "ids")
     kept = best = None
     for n, cut in enumerate(cuts):
@@ -49,24 +58,26 @@ def density(vectors: DataFrame, min_cluster_size: int = 15, min_samples: int | N
         worth = big.select("root", (F.col("size") * (1 / max(cut, 1e-12) - 1 / max(upper, 1e-12))).alias("worth"))
         members = written(everyone.join(worth, "root").select(F.col("node").alias("id"), F.col("root").alias("cluster"), "worth"), "level")
         if kept is None:
-            kept, best = members.select("id", "cluster"), members.select("cluster", "worth").distinct()
-            best = written(best, "best")
+            kept = members.select("id", "cluster")
+            fresh = members.select("cluster", F.col("worth").alias("own"), F.lit(None).cast("double").alias("inner")).distinct()
+            best = written(fresh, "best")
             continue
-        # the clusters within each cluster, once each by their roots
-        inner = best.select(F.col("cluster").alias("child"), F.col("worth").alias("child_worth"))
-        within = inner.join(members, inner.child == members.id).groupBy("cluster").agg(
-            F.sum("child_worth").alias("children"), F.max("worth").alias("worth"), F.count("*").alias("n")
+        # the clusters within each cluster, found by their roots
+        child = best.select(F.col("cluster").alias("child"), F.col("own").alias("child_own"), F.col("inner").alias("child_inner"))
+        within = child.join(members.select("id", "cluster"), child.child == F.col("id")).groupBy("cluster").agg(
+            F.count("*").alias("n"), F.sum(F.greatest("child_own", F.coalesce("child_inner", F.lit(0.0)))).alias("sum"),
+            F.max("child_own").alias("child_own"), F.max("child_inner").alias("child_inner"),
+        )
+        # with one cluster within, it is that cluster that goes on: its worth grows, what is within stays
+        judged = members.select("cluster", "worth").distinct().join(within, "cluster", "left").select(
+            "cluster",
+            (F.col("worth") + F.when(F.col("n") == 1, F.col("child_own")).otherwise(F.lit(0.0))).alias("own"),
+            F.when(F.col("n") == 1, F.col("child_inner")).when(F.col("n") > 1, F.col("sum")).alias("inner"),
         )
-        # a lone child and its parent are one cluster that goes on: worths add up, its rows are the parent's
-        judged = members.select("cluster", F.col("worth").alias("own")).distinct().join(within.drop("worth"), "cluster", "left")
-        alone = F.coalesce(F.col("n"), F.lit(0)) <= 1
-        judged = judged.withColumn("replaces", alone | (F.col("own") > F.col("children")))
-        judged = written(judged.withColumn("total", F.when(alone, F.col("own") + F.coalesce("children", F.lit(0.0))).otherwise(F.greatest("own", "children"))), "judged")
-        taken = members.join(judged.filter("replaces").select("cluster"), "cluster", "left_semi").select("id", "cluster")
-        rest = kept.join(taken.select("id"), "id", "left_anti")
-        kept = written(taken.union(rest.select("id", "cluster")), "kept")
-        # what counts further up: each cluster of this level stands for those within it
-        best = written(judged.select("cluster", F.col("total").alias("worth")), "best")
+        best = written(judged, "best")
+        takes = best.filter("inner IS NULL OR own > inner").select("cluster")
+        taken = members.join(takes, "cluster", "left_semi").select("id", "cluster")
+        kept = written(taken.union(kept.join(taken.select("id"), "id", "left_anti").select("id", "cluster")), "kept")
     if kept is None:
         return ids.withColumn("label", F.lit(-1))
     first = kept.groupBy("cluster").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter(F.col("n") >= min_cluster_size)

@@ -52,6 +52,7 @@ def neighbours(vectors: DataFrame, k: int, block: int = 1000) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            of = batch.schema.field(0).type.value_type.field("id").type
             for l, r in zip(batch.column(0), batch.column(1), strict=True):  # noqa: E741
                 if not len(l) or not len(r):
                     continue
@@ -63,7 +64,7 @@ def neighbours(vectors: DataFrame, k: int, block: int = 1000) -> DataFrame:
                 near = np.take_along_axis(d, top, 1)
                 keep = np.isfinite(near)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(a, top.shape[1])[keep.ravel()]), pa.array(b[top][keep]), pa.array(near[keep])], ["i", "j", "d"]
+                    [pa.array(np.repeat(a, top.shape[1])[keep.ravel()], of), pa.array(b[top][keep], of), pa.array(near[keep])], ["i", "j", "d"]
                 )
 
     found = groups.select("l", "r").mapInArrow(run, f"i {kind}, j {kind}, d double")

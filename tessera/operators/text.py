@@ -109,6 +109,7 @@ def cosine_pairs(vectors: DataFrame, least: float, block: int = 1000) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            of = batch.schema.field(0).type.value_type.field("id").type
             for l, r in zip(batch.column(0), batch.column(1), strict=True):  # noqa: E741
                 if not len(l) or not len(r):
                     continue
@@ -117,7 +118,7 @@ def cosine_pairs(vectors: DataFrame, least: float, block: int = 1000) -> DataFra
                 p, q = np.nonzero(near >= least - 1e-12)
                 lo, hi, s = np.minimum(a[p], b[q]), np.maximum(a[p], b[q]), near[p, q]
                 keep = lo < hi
-                yield pa.RecordBatch.from_arrays([pa.array(lo[keep]), pa.array(hi[keep]), pa.array(s[keep])], ["i", "j", "cosine"])
+                yield pa.RecordBatch.from_arrays([pa.array(lo[keep], of), pa.array(hi[keep], of), pa.array(s[keep])], ["i", "j", "cosine"])
 
     return groups.select("l", "r").mapInArrow(run, f"i {kind}, j {kind}, cosine double").dropDuplicates(["i", "j"])
 
@@ -146,7 +147,7 @@ def cosine_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFr
             for row, query in zip(near, asked, strict=True):
                 top = np.lexsort((ids, -row))[: k + 1]
                 top = top[ids[top] != query][:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query, len(top))), pa.array(ids[top]), pa.array(row[top])], ["query", "id", "cosine"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query, len(top)), batch.column(0).type), pa.array(ids[top], batch.column(0).type), pa.array(row[top])], ["query", "id", "cosine"])
 
     near = vectors.select("id", "v").mapInArrow(run, f"query {kind}, id {kind}, cosine double")
     best = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,8 +83,13 @@ def statistics(text: bytes) -> tuple[list[int], list[float]]:
     return counts, features
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, counts, features[, __0, __1, ...: the kept columns of docs]), one row per row of docs."""
+def measured(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), forest: Forest | None = None
+) -> DataFrame:
+    """(doc_id, counts, features, score[, __0, __1, ...: the kept columns of docs]), one row per row of docs.
+
+    score is the forest's, or 1 without one.
+    """
     small_batches(docs.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     rest = [f"__{k}" for k in range(len(keep))]
@@ -94,13 +98,15 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         for batch in batches:
             found = [statistics(t.as_py() or b"") for t in batch.column(1)]
             counts = np.array([c for c, _ in found], dtype=np.int64).reshape(-1, len(COUNTS))
-            features = pa.array([x for _, x in found], pa.list_(pa.float64()))
+            values = np.array([x for _, x in found], dtype=float).reshape(-1, len(FEATURES))
+            scores = np.ones(len(values)) if forest is None else forest.score(values)
+            features = pa.array(list(values), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c) for c in counts.T), features, *batch.columns[2:]],
-                ["doc_id", *COUNTS, "features", *rest],
+                [batch.column(0), *(pa.array(c) for c in counts.T), features, pa.array(scores), *batch.columns[2:]],
+                ["doc_id", *COUNTS, "features", "score", *rest],
             )
 
-    schema = [f"doc_id {kinds[id_col]}", *(f"{c} long" for c in COUNTS), "features array<double>"]
+    schema = [f"doc_id {kinds[id_col]}", *(f"{c} long" for c in COUNTS), "features array<double>", "score double"]
     schema += [f"{new} {kinds[c]}" for new, c in zip(rest, keep, strict=True)]
     picked = docs.select(
         name(id_col).alias("__id"),
@@ -131,21 +137,10 @@ def train(
     return fit(values, rows["__0"].to_numpy(), np.array(list(FEATURES.values())))
 
 
-def judged(stats: DataFrame, forest: Forest | None, least: float = 0.5) -> DataFrame:
-    """stats with base_failed, score and kept. Without trees, what passes the base limits is kept."""
+def judged(stats: DataFrame, least: float = 0.5) -> DataFrame:
+    """stats with base_failed and kept."""
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    if forest is None:
-        return stats.withColumn("base_failed", base).withColumn("score", F.lit(1.0)).withColumn("kept", ~base)
-
-    @F.pandas_udf("double")
-    def score(features: pd.Series) -> pd.Series:
-        return pd.Series(forest.score(np.array(features.tolist(), dtype=float).reshape(len(features), -1)))
-
-    return (
-        stats.withColumn("base_failed", base)
-        .withColumn("score", score("features"))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
-    )
+    return stats.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,12 +150,12 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     windows of eight. Null and empty texts have no words and fail. Ids may be
     null or repeat; such rows are judged by their own text.
     """
-    found = judged(measured(docs, id_col, text_col), train(docs, labels, id_col, text_col))
+    found = judged(measured(docs, id_col, text_col, forest=train(docs, labels, id_col, text_col)))
     return found.select("doc_id", *COUNTS, "base_failed", "score", "kept")
 
 
 def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that quality() keeps, with their columns as they are."""
-    stats = measured(docs, id_col, text_col, keep=tuple(docs.columns))
-    found = judged(stats, train(docs, labels, id_col, text_col)).filter("kept")
+    forest = train(docs, labels, id_col, text_col)
+    found = judged(measured(docs, id_col, text_col, tuple(docs.columns), forest)).filter("kept")
     return found.select(*(F.col(f"__{k}").alias(c) for k, c in enumerate(docs.columns)))

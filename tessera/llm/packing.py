@@ -12,49 +12,104 @@ Pieces then find their place by their rank among those of their length.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.session import small_batches, written
+from tessera.llm.recall import Recall
 
-CACHE = 200_000  # words whose ids a task remembers at once
+CACHE = 300_000  # words, and pieces, whose ids a worker remembers in each of two generations
 PARTS = 64  # coarse lengths that the patterns are made of
 
 
-class _WordIds(dict):
+# The vocabulary's pre-token pattern; every piece it cuts ends in a token with this suffix.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+ENDS = "</w>"
+
+#: Parts the ids of words; no id has these bytes, nor do two in a row.
+BETWEEN = b"\xff\xff\xff\xff"
+
+
+class _WordIds:
     """Ids by space-delimited word, as little-endian bytes.
 
     The vocabulary drops white space and joins nothing across it, so a text's
-    ids are its words' ids one after the other.
+    ids are its words' ids one after the other. New words are cut into lower-case
+    pieces, and new pieces are encoded by the library many at a time; words with
+    rarer characters or with special strings go to the library as they are.
     """
 
     def __init__(self, path: str):
-        super().__init__()
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(words)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        ends = [(self.tokenizer.id_to_token(k) or "").endswith(ENDS) for k in range(size)]
+        self.ends = np.array(ends)
+        self.pattern = regex.compile(r"\n|" + PATTERN)
+        self.words, self.parts = Recall(CACHE), Recall(CACHE)
+
+    def _whole(self, some: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        found = [list(map(self.words.get, words)) for words in split]
+        # places of words that are not known yet, filled in once all of them are
+        open_at = [[k for k, ids in enumerate(row) if ids is None] for row in found]
+        asked = {words[k] for words, at in zip(split, open_at, strict=True) for k in at}
+        if asked:
+            known = self._words(asked)
+            for words, row, at in zip(split, found, open_at, strict=True):
+                for k in at:
+                    row[k] = known[words[k]]
+        return [b"".join(row) for row in found]
+
+    def _words(self, asked: set[bytes]) -> dict[bytes, bytes]:
+        known = {w: self.words.old[w] for w in self.words.old.keys() & asked}
+        new = asked.difference(known)
+        # two-byte characters up to U+024F are lower-cased here as by the library
+        odd = [w for w in new if b"<|" in w or max(w) > 0xC9]
+        known.update(zip(odd, self._whole([w.decode("utf-8", "replace") for w in odd]), strict=True))
+        plain = list(new.difference(odd))
+        if plain:
+            text = unicodedata.normalize("NFC", b"\n".join(plain).decode()).lower()
+            parts = self.pattern.findall(text)
+            self._learn(set(parts))
+            ids = b"".join(map(self.parts.__getitem__, parts))
+            known.update(zip(plain, ids.split(BETWEEN), strict=True))
+        self.words.keep(known)
+        return known
+
+    def _learn(self, parts: set[str]) -> None:
+        new = list(self.parts.lacks(parts) - {"\n"})
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(some, found, strict=True))
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            last = np.nonzero(self.ends[ids])[0] + 1
+            if len(last) == len(some):
+                raw, stops = ids.tobytes(), (4 * last).tolist()
+                self.parts.update((p, raw[i:j]) for p, i, j in zip(some, [0, *stops], stops, strict=False))
+            else:
+                self.parts.update(zip(some, self._whole(some), strict=True))
+        self.parts["\n"] = BETWEEN
+
 
-    def of(self, text: bytes) -> bytes:
-        words = text.split()
-        self.learn(set(words))
-        return b"".join(map(self.__getitem__, words))
+@cache
+def _word_ids(path: str) -> _WordIds:
+    """One for all tasks of a Python worker."""
+    return _WordIds(path)
 
 
 def pieces(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
@@ -64,11 +119,12 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, capacit
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _WordIds(vocabulary)
+        ids = _word_ids(vocabulary)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                whole = ids.of(text.as_py() or b"") + tail
+            found = ids.of([t.as_py() or b"" for t in batch.column(1)])
+            for doc, of_text in zip(batch.column(0).to_pylist(), found, strict=True):
+                whole = of_text + tail
                 for k, at in enumerate(range(0, len(whole), 4 * capacity)):
                     part = whole[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part))

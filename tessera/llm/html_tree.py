@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 # HTML's void, inline and never-shown elements, and what an opening tag closes.
@@ -70,6 +71,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks = [Block("html", -1, [])]
         self.stack: list[tuple[str, int]] = [("html", 0)]
+        self.open = Counter(["html"])  # tags on the stack
         self.hidden, self.links, self.order = 0, 0, 0
         self.run: list[str] = []
         self.linked = 0
@@ -89,6 +91,7 @@ class Tree(HTMLParser):
         for tag, _ in self.stack[at:]:
             self.hidden -= tag in HIDDEN
             self.links -= tag == "a"
+            self.open[tag] -= 1
         if any(tag not in INLINE for tag, _ in self.stack[at:]):
             self.flush()
         del self.stack[at:]
@@ -100,12 +103,12 @@ class Tree(HTMLParser):
             if tag == "hr":
                 self.flush()
             return
-        if tag in ("html", "body") and any(t == tag for t, _ in self.stack):
+        if tag in ("html", "body") and self.open[tag]:
             return
         if tag not in INLINE:
             # an open paragraph ends before any block, an open list item before the next, ...
             closes, limits = CLOSES.get(tag, ()), LIMITS.get(tag, ())
-            for at in range(len(self.stack) - 1, 0, -1):
+            for at in range(len(self.stack) - 1, 0, -1) if closes or self.open["p"] else ():
                 have = self.stack[at][0]
                 if have == "p" or have in closes:
                     self._pop(at)
@@ -118,6 +121,7 @@ class Tree(HTMLParser):
             self.stack.append((tag, len(self.blocks) - 1))
         else:
             self.stack.append((tag, self.stack[-1][1]))
+        self.open[tag] += 1
         self.hidden += tag in HIDDEN
         self.links += tag == "a"
 
@@ -125,6 +129,8 @@ class Tree(HTMLParser):
         self.handle_starttag(tag, attrs)  # as in HTML, the slash means nothing outside of void elements
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         for at in range(len(self.stack) - 1, 0, -1):
             if self.stack[at][0] == tag:
                 self._pop(at)

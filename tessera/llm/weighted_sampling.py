@@ -104,7 +104,8 @@ def _sample(weight: Column) -> Column:
     With r, c ~ Gamma(2, 1) and b uniform: t = floor(ln w / r + b), and the value's
     logarithm is ln c - r (t - b + 1). Its first 40 bits order, the last 16 name.
     """
-    t = F.floor(F.log(weight) / F.col("r") + F.col("b"))
+    # most weights are 1, whose logarithm need not be taken
+    t = F.floor(F.when(weight == 1, F.col("b")).otherwise(F.log(weight) / F.col("r") + F.col("b")))
     value = F.col("lnc") - F.col("r") * (t - F.col("b") + F.lit(1.0))
     order = F.floor((F.greatest(value, F.lit(-120.0)) + F.lit(120.0)) * F.lit(float(1 << 32))).cast("long")
     named = F.xxhash64("h", t).bitwiseAND(F.lit(0xFFFF))
@@ -152,7 +153,7 @@ def fingerprints(
     """
     rows = _followed(docs, id_col, text_col).withColumn("edited", _edited(F.col("text"), F.col("next")))
     keys = ["bucket", "extra", "row"]
-    words = lambda c: F.split(F.lower(F.regexp_replace(c, rf"^{BLANK}|{BLANK}$", "")), BLANK)
+    words = lambda c: F.split(F.lower(c), BLANK)
     both = rows.select(*keys, words(F.col("text")).alias("a"), words(F.col("edited")).alias("e"))
     terms = both.select(*keys, F.size("a").alias("n"), F.posexplode(F.concat("a", "e")).alias("pos", "word"))
     terms = terms.filter("word <> ''").select(*keys, F.xxhash64("word").alias("h"), (F.col("pos") < F.col("n")).cast("int").alias("own"))

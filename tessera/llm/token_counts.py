@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -18,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.session import small_batches
+from tessera.llm.recall import Recall
 
-CACHE = 300_000  # words whose counts a task remembers at once
+CACHE = 300_000  # words, and pre-tokens, whose counts a worker remembers in each of two generations
 
 # Unicode White_Space, which the pre-tokenizer's \s stands for, and its pattern.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -63,34 +65,44 @@ def merged_count(symbols: list[str], rank: dict[tuple[str, str], int]) -> int:
     return left
 
 
-class _Counts(dict):
-    """Counts by word, worked out when first asked for and forgotten when there are many."""
+class _Merger(Recall):
+    """Counts by pre-token."""
+
+    def __init__(self, rank: dict[tuple[str, str], int]):
+        super().__init__(CACHE)
+        self.rank, self.symbol = rank, byte_symbols()
+
+    def work(self, piece: str) -> int:
+        return merged_count([self.symbol[b] for b in piece.encode()], self.rank)
+
+
+class _Counts(Recall):
+    """Counts by word: a word's pre-tokens, each counted once while it is remembered."""
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(CACHE)
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"])
-        self.rank = {pair: k for k, pair in enumerate(pairs)}
-        self.special = [t["content"] for t in model["added_tokens"] if t["content"]]
-        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.symbol, self.pattern = byte_symbols(), regex.compile(PATTERN)
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        found = sum(
-            merged_count([self.symbol[b] for b in piece.encode()], self.rank) for piece in self.pattern.findall(word)
-        )
-        if len(word) <= 64:
-            self[word] = found
-        return found
+        self.pieces = _Merger({pair: k for k, pair in enumerate(pairs)})
+        special = sorted((t["content"] for t in model["added_tokens"] if t["content"]), key=len, reverse=True)
+        self.cut = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        self.pattern = regex.compile(PATTERN)
+
+    def work(self, word: str) -> int:
+        return sum(map(self.pieces.__getitem__, self.pattern.findall(word)))
 
     def of(self, text: str) -> int:
         parts = self.cut.split(text)
         return len(parts) - 1 + sum(sum(map(self.__getitem__, WORDS.findall(part))) for part in parts)
 
 
+@cache
+def _counts(path: str) -> _Counts:
+    """One for all tasks of a Python worker."""
+    return _Counts(path)
+
+
 def token_counts(
     docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024
 ) -> DataFrame:
@@ -104,7 +116,7 @@ def token_counts(
     ids = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts(vocabulary)
+        counts = _counts(vocabulary)
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(1)]
             found = [counts.of(t.decode("utf-8", "replace")) for t in texts]

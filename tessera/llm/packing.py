@@ -64,7 +64,8 @@ class _WordIds:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        # ASCII letters are lower-cased by the library as well, but special strings only count as they are written
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         found = [list(map(self.words.get, words)) for words in split]
         # places of words that are not known yet, filled in once all of them are
         open_at = [[k for k, ids in enumerate(row) if ids is None] for row in found]
@@ -302,7 +303,7 @@ def pack_pieces(cut: DataFrame, capacity: int) -> DataFrame:
         histogram[row["length"]] = row["n"]
     where = places(best_plan(histogram, capacity))
     # ranks: numbered within (length, salt) and shifted by the salts before, so that no length meets in one task
-    salts = max(8, int(histogram.sum()) // 20_000)
+    salts = max(8, int(histogram.sum()) // 2_000)
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select(

@@ -45,7 +45,7 @@ def test_small_parts():
 
 
 def test_pieces_equal_the_library_and_fit(spark):
-    rows = sample_rows() + [(500, "don't <|endoftext|> I'LL Σίσυφος İ x" * 3, "s")]
+    rows = sample_rows() + [(500, "don't <|endoftext|> I'LL Σίσυφος İ x <|ENDOFTEXT|> E\u0301 É." * 3, "s"), (501, "<|EndOfText|> SHOUT!! <| A", "s")]
     found = [r.asDict() for r in pack(clashing(docs(spark, rows)), PATH).collect()]
     tokenizer = Tokenizer.from_file(PATH)
     want = []

@@ -9,13 +9,14 @@ its documents in hash order up to the target, the last one in part.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKETS = 4  # hex digits of the hash that make a bucket
 
 
 def _targets(sizes: DataFrame, weights: list[float], share: float, max_epochs: float) -> DataFrame:
@@ -74,8 +75,10 @@ def mixed(
     goal = goal.withColumn("whole", whole.cast("long")).withColumn(
         "need", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")
     )
-    # the cut: first the bucket of the hash that crosses the need, then the id within it
-    bucket = F.substring("key", 1, BUCKETS)
+    # the cut: first the bucket of the hash that crosses the need, then the id within it; with about as many
+    # buckets as ids in a bucket neither order is long
+    digits = max(1, round(log(max(small.count(), 1), 16) / 2))
+    bucket = F.substring("key", 1, digits)
     same = F.col("g.source").eqNullSafe(F.col("b.source"))
     up_to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = small.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))

@@ -11,7 +11,7 @@ from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix
 from tessera.llm.packing import pack
 from tessera.llm.quality import kept
-from tessera.llm.simhash import one_of_each
+from tessera.llm.shingle_sets import one_of_similar
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id."""
-    return one_of_each(docs)
+    """One document of each component of 5-word similarity 0.8 or more: the one with the smallest id."""
+    return one_of_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

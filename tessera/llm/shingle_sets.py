@@ -1,0 +1,153 @@
+"""Near-duplicates by exact Jaccard similarity of sets of word shingles.
+
+Every pair of texts whose sets have at least the wanted similarity is linked,
+none lost: with all sets in one order, such a pair shares a shingle among the
+first n - ceil(0.8 n) + 1 of each (prefix filter). Texts that share a prefix
+shingle are compared by their whole sets, first with two neighbours each, then
+with all others that are not in the same component yet. Frequent shingles stand
+last in the order, which keeps them out of most prefixes; any order is right.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions.components import components
+from tessera.functions.session import name, small_batches, written
+
+SAMPLE, OFTEN, MOST = 20_000, 20, 100_000  # for the order only: sampled texts, how many make a shingle frequent, how many are kept
+
+
+def shingle_set(text: bytes | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's shingles, rising; fewer words than `width` are one shingle."""
+    words = (text or b"").lower().split()  # on bytes both touch ASCII only
+    if len(words) <= width:
+        shingles = [b" ".join(words)] if words else []
+    else:
+        shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(s, seed) for s in shingles), dtype="<u8").view("<i8"))
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(mark, s): the set of each text, as marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([shingle_set(t.as_py(), width) for t in batch.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["mark", "s"])
+
+    return texts.select("mark", "text").mapInArrow(run, "mark long, s array<long>")
+
+
+def _frequent(texts: DataFrame, width: int) -> np.ndarray:
+    """Shingles that many of the sampled texts have, rising."""
+    part = max(1, texts.count() // SAMPLE)
+    sampled = _sets(texts.filter(F.pmod(F.xxhash64(F.lit(7), "mark"), F.lit(part)) == 0), width)
+    counts = sampled.select(F.explode("s").alias("x")).groupBy("x").count().filter(F.col("count") >= OFTEN)
+    rows = counts.orderBy(F.desc("count"), "x").limit(MOST).collect()
+    return np.array(sorted(r["x"] for r in rows), dtype="<i8")
+
+
+def _prefixes(texts: DataFrame, width: int, tenths: int) -> DataFrame:
+    """(id, mark, node, n, keys) of each row: node names the set, n is its size, keys its prefix."""
+    frequent = _frequent(texts, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, keys = [], [], []
+            for t in batch.column(2):
+                found = shingle_set(t.as_py(), width)
+                n = len(found)
+                nodes.append(xxhash.xxh64_intdigest(found.tobytes()) - 2**63)
+                sizes.append(n)
+                last = np.isin(found, frequent)
+                ordered = np.concatenate([found[~last], found[last]])
+                keys.append(ordered[: n + 1 + -tenths * n // 10 if n else 0])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
+                ["id", "mark", "node", "n", "keys"],
+            )
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "mark", "text").mapInArrow(run, f"id {kind}, mark long, node long, n int, keys array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    enough = both * (10 + tenths) >= tenths * (F.size("sa") + F.size("sb"))
+    return pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b")
+
+
+def _links(found: DataFrame, texts: DataFrame, width: int, tenths: int) -> DataFrame:
+    """Edges (a, b) that connect all nodes that pairs of similar sets connect."""
+    nodes = found.groupBy("node").agg(F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    member = F.struct("n", "node")
+    crowds = nodes.select("node", "n", F.explode("keys").alias("key")).groupBy("key").agg(
+        F.sort_array(F.collect_list(member)).alias("m")
+    )
+    crowds = written(crowds.filter(F.size("m") > 1), "crowds")
+    # sets of the nodes that meet any other
+    meet = crowds.select(F.explode("m.node").alias("node")).distinct()
+    marks = written(found.groupBy("node").agg(F.min("mark").alias("mark")).join(meet, "node"), "meeting")
+    picked = texts.join(marks.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])
+    sets = written(_sets(picked, width).join(marks, "mark").select("node", "s"), "sets")
+
+    near = F.col("x.n") * 10 >= F.col("y.n") * tenths  # x is the smaller
+    pair = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    others = F.sequence(F.lit(1), F.size("m") - 1)
+    beside = F.transform(others, lambda k: F.struct(F.get("m", F.lit(0)).alias("x"), F.get("m", k).alias("y")))
+    next_to = F.transform(others, lambda k: F.struct(F.get("m", k - 1).alias("x"), F.get("m", k).alias("y")))
+    first = crowds.select(F.explode(F.concat(beside, next_to)).alias("p")).select("p.x", "p.y").filter(near)
+    first = written(first.select(*pair).distinct(), "pairs")
+    edges = written(_similar(first, sets, tenths), "similar")
+
+    roots = components(edges)
+    members = crowds.select("key", F.explode("m").alias("m")).select("key", "m.n", "m.node")
+    members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = written(members, "members")
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    members = members.join(mixed.select("key"), "key")
+    rest = members.alias("x").join(
+        members.alias("y"),
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
+        & (F.struct("x.n", "x.node") < F.struct("y.n", "y.node")) & near,
+    ).select(*pair).distinct()
+    rest = written(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    return edges.union(_similar(rest, sets, tenths))
+
+
+def one_of_similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, tenths: int = 8
+) -> DataFrame:
+    """One row of docs for each component of similar texts, with its columns as they are: that of the smallest id.
+
+    Texts are similar if their sets of `width`-word shingles have a Jaccard
+    similarity of at least `tenths` tenths; words are compared without ASCII
+    case. Texts without words are similar to each other. Rows that share an id
+    are one document, of which one row stays; rows with null ids stay only in
+    components that have no other id.
+    """
+    small_batches(docs.sparkSession)
+    mark = F.xxhash64(name(text_col))
+    texts = docs.select(name(id_col).alias("id"), mark.alias("mark"), name(text_col).cast("binary").alias("text"))
+    found = written(_prefixes(texts, width, tenths), "prefixes")
+    roots = components(_links(found, texts, width, tenths))
+    rows = found.select("id", "mark", "node").distinct().join(roots, "node", "left")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    stays = rows.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("m"))
+    stays = stays.select(F.col("m.id").alias("__id"), F.col("m.mark").alias("__mark"))
+    named = stays.filter("__id IS NOT NULL").groupBy("__id").agg(F.min("__mark").alias("__mark"))
+    stays = written(named.union(stays.filter("__id IS NULL")), "representatives")
+    kept = docs.withColumn("__m", mark).join(
+        stays, name(id_col).eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left_semi"
+    )
+    return kept.dropDuplicates([id_col, "__m"]).drop("__m")

@@ -1,0 +1,69 @@
+import random
+
+import corpus_pipeline
+from tessera.llm.shingle_sets import one_of_similar
+
+from .helpers import clashing, docs, records, sample_rows
+
+
+def shingles(text, width=5):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1)))
+
+
+def plain_heads(rows):
+    sets = [shingles(t) for _, t, _ in rows]
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                root[top(i)] = top(j)
+    heads = {}
+    for k, (i, _, _) in enumerate(rows):
+        order = (i is None, i if i is not None else 0)
+        heads[top(k)] = min(order, heads.get(top(k), order))
+    return sorted((None if none else i for none, i in heads.values()), key=repr)
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for k in rng.sample(range(len(words)), n):
+        words[k] = f"edit{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def near_copies():
+    rng = random.Random(5)
+    rows = sample_rows()
+    for g in range(12):  # from J near 1 to below 0.8, with chains and a shared frequent passage
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randint(60, 300))]
+        for k in range(8):
+            rows.append((1000 + 10 * g + k, edited(rng, words, rng.randint(0, max(1, len(words) // 35))), "n"))
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows += [(2000 + k, passage + " " + " ".join(f"w{rng.randrange(400)}" for _ in range(rng.randint(1, 90))), "p") for k in range(60)]
+    return rows
+
+
+def test_equals_brute_force(spark):
+    rows = near_copies()
+    kept = one_of_similar(clashing(docs(spark, rows)))
+    assert [r[0] for r in records(kept, "doc_id")] == plain_heads(rows)
+    assert kept.columns == clashing(docs(spark, rows)).columns
+
+
+def test_stage_drops_copies_with_an_edited_word(spark):
+    words = [f"word{k}" for k in range(100)]
+    rows = [(k, edited(random.Random(k), words, 1), "s") for k in range(1, 6)] + [(9, "another text of its own", "s")]
+    assert [r[0] for r in records(corpus_pipeline.near_dedup(spark, docs(spark, rows), ""), "doc_id")] == [1, 9]
+
+
+def test_empty_table(spark):
+    assert one_of_similar(docs(spark, [])).count() == 0

@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-A line that several documents share points from each later one to the first
-that has it, so a line in n documents gives n - 1 pairs, rare or frequent
-alike, and none is dropped. Each pair is aligned with patience diff; blocks of
-aligned lines with enough words are deleted from the later document.
+Keys are the shortest runs of adjacent lines with enough words from each line on;
+a long line is a run of its own. A run that several
+documents share points from each later one to the first that has it, so a run in
+n documents gives n - 1 pairs, rare or frequent alike, and none is dropped. Each
+pair is aligned with patience diff; blocks of aligned lines with enough words are
+deleted from the later document.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +89,29 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def shortest_runs(words: list[int], least: int) -> set[tuple[int, int]]:
+    """Shortest stretches (start, end) of lines with `least` words, from each line with words on."""
+    full = [(k, n) for k, n in enumerate(words) if n]
+    found = set()
+    end = total = 0
+    for at, (start, n) in enumerate(full):  # from each line on
+        while total < least and end < len(full):
+            total += full[end][1]
+            end += 1
+        if total < least:
+            break
+        found.add((start, full[end - 1][0] + 1))
+        total -= n
+    return found
+
+
+def run_keys(hashes: list[int], words: list[int], least: int) -> list[int]:
+    """Distinct keys of a document's shortest runs; that of a single line is its hash."""
+    all_of = np.array(hashes, dtype="<i8")
+    digest = lambda a, b: xxhash.xxh64_intdigest(all_of[a:b].tobytes()) - 2**63
+    return list({hashes[a] if b == a + 1 else digest(a, b) for a, b in shortest_runs(words, least)})
+
+
 def deleted(later: list, words: list[int], earlier: list, least: int) -> list[int]:
     """Positions of later's lines in aligned blocks of at least `least` words.
 
@@ -133,10 +160,16 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     sequences = written(sequences, "sequences").dropDuplicates(["id", "v"])
     sequences = written(sequences, "versions")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "v")
-    shared = sequences.select("id", "v", F.explode(F.arrays_zip("h", "n")).alias("x")).filter(
-        F.col("x.n") >= least_words
-    )
-    shared = shared.select("id", "v", F.col("x.h").alias("h")).distinct()
+    kind = sequences.schema["id"].dataType.simpleString()
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = (batch.column(k).to_pylist() for k in (2, 3))
+            keys = [run_keys(x, y, least_words) for x, y in zip(h, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.list_(pa.int64()))], ["id", "v", "keys"])
+
+    shared = sequences.select("id", "v", "h", "n").mapInArrow(keyed, f"id {kind}, v long, keys array<long>")
+    shared = written(shared, "keys").select("id", "v", F.explode("keys").alias("h"))
     first = shared.groupBy("h").agg(F.min(order).alias("f"), F.count("*").alias("docs")).filter("docs > 1")
     first = written(first.select("h", F.col("f.id").alias("first_id"), F.col("f.v").alias("first_v")), "first")
     later = F.col("first_id").isNotNull() & (F.col("id").isNull() | (F.col("first_id") < F.col("id")))
@@ -158,7 +191,6 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 gone.append(deleted(list(zip(h, c, strict=True)), n, list(zip(fh, fc, strict=True)), least_words))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(gone, pa.list_(pa.int32()))], ["id", "v", "gone"])
 
-    kind = sequences.schema["id"].dataType.simpleString()
     found = joined.mapInArrow(run, f"id {kind}, v long, gone array<int>").filter(F.size("gone") > 0)
     return found.groupBy("id", "v").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 

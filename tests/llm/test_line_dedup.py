@@ -62,3 +62,14 @@ def test_clean_documents_stay_as_they_are(spark):
 def test_emptied_documents_can_go(spark):
     rows = [(1, "five words are in here", "s"), (2, "five words are in here", "s"), (3, "", "s")]
     assert [r[0] for r in records(line_dedup(docs(spark, rows), drop_emptied=True), "doc_id")] == [1, 3]
+
+
+def lines_left(spark, rows):
+    found = records(line_dedup(docs(spark, rows)), "doc_id", "text")
+    return [(i, [x for x in t.split("\n") if x.split()]) for i, t in sorted(found)]
+
+
+def test_blocks_of_short_lines_go(spark):
+    verse = "\n".join(f"four words in {k}" for k in range(20))
+    rows = [(1, f"a start\n{verse}\nb", "s"), (2, f"c\n{verse}\nan end", "s")]
+    assert lines_left(spark, rows)[1] == (2, ["c", "an end"])

@@ -1,7 +1,8 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-Keys are the shortest runs of adjacent lines with enough words from each line on;
-a long line is a run of its own. A run that several
+Keys are the shortest runs of adjacent lines with enough words, from each line
+on and up to each line; a long line is a run of its own. Any common block with
+enough words has such a run around each of its lines. A run that several
 documents share points from each later one to the first that has it, so a run in
 n documents gives n - 1 pairs, rare or frequent alike, and none is dropped. Each
 pair is aligned with patience diff; blocks of aligned lines with enough words are
@@ -90,7 +91,7 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def shortest_runs(words: list[int], least: int) -> set[tuple[int, int]]:
-    """Shortest stretches (start, end) of lines with `least` words, from each line with words on."""
+    """Shortest stretches (start, end) of lines with `least` words, from each line with words on and up to each."""
     full = [(k, n) for k, n in enumerate(words) if n]
     found = set()
     end = total = 0
@@ -102,6 +103,14 @@ def shortest_runs(words: list[int], least: int) -> set[tuple[int, int]]:
             break
         found.add((start, full[end - 1][0] + 1))
         total -= n
+    at = total = 0
+    for end, n in full:  # up to each line
+        total += n
+        while total - full[at][1] >= least:
+            total -= full[at][1]
+            at += 1
+        if total >= least:
+            found.add((full[at][0], end + 1))
     return found
 
 

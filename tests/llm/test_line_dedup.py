@@ -69,7 +69,15 @@ def lines_left(spark, rows):
     return [(i, [x for x in t.split("\n") if x.split()]) for i, t in sorted(found)]
 
 
+LICENSE = "all rights reserved by the owner"
+
+
 def test_blocks_of_short_lines_go(spark):
     verse = "\n".join(f"four words in {k}" for k in range(20))
     rows = [(1, f"a start\n{verse}\nb", "s"), (2, f"c\n{verse}\nan end", "s")]
     assert lines_left(spark, rows)[1] == (2, ["c", "an end"])
+
+
+def test_a_block_is_found_behind_an_older_holder_of_its_long_line(spark):
+    rows = [(1, f"x\n{LICENSE}", "s"), (2, f"y\n{LICENSE}\nhome\nnews\nq", "s"), (3, f"z\n{LICENSE}\nhome\nnews\nr", "s")]
+    assert lines_left(spark, rows)[2] == (3, ["z", "r"])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessera.functions.session import name, small_batches, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-PASSES = 8  # alignments of moved or repeated blocks before what is left counts line by line
+PASSES = 8  # alignments of moved or repeated blocks before what is left is looked up run by run
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -121,20 +121,32 @@ def run_keys(hashes: list[int], words: list[int], least: int) -> list[int]:
     return list({hashes[a] if b == a + 1 else digest(a, b) for a, b in shortest_runs(words, least)})
 
 
+def _common_runs(later: list, words: list[int], earlier: list, least: int) -> set[int]:
+    """Positions of later's lines with words in runs of `least` words that earlier has too, wherever they stand."""
+    known = dict(zip(later, words, strict=True))
+    there, start = set(), 0
+    for end in range(len(earlier) + 1):
+        if end == len(earlier) or earlier[end] not in known:
+            part = earlier[start:end]
+            there.update(tuple(part[a:b]) for a, b in shortest_runs([known[x] for x in part], least))
+            start = end + 1
+    runs = (range(a, b) for a, b in shortest_runs(words, least) if tuple(later[a:b]) in there)
+    return {i for run in runs for i in run}
+
+
 def deleted(later: list, words: list[int], earlier: list, least: int) -> list[int]:
     """Positions of later's lines in aligned blocks of at least `least` words.
 
     Blocks that moved or repeat align in further passes, over the lines that
-    are left; after the last pass each remaining common line is a block of its own.
+    are left; what the passes leave of the common lines is then looked up by its
+    runs, so that every common block with enough words goes, however often it is there.
     """
     there, gone = set(earlier), set()
     rest = [i for i in range(len(later)) if later[i] in there]
-    for turn in range(PASSES + 1):
+    common = [i for i in rest if words[i]]
+    for _ in range(PASSES):
         if not rest:
             break
-        if turn == PASSES:
-            gone.update(i for i in rest if words[i] >= least)
-            break
         pairs = patience([later[i] for i in rest], earlier)
         block: list[tuple[int, int]] = []
         done = set()
@@ -146,6 +158,8 @@ def deleted(later: list, words: list[int], earlier: list, least: int) -> list[in
                 block = []
             block.append((i, j))
         rest = [i for i in rest if i not in done]
+    if not gone.issuperset(common):
+        gone |= _common_runs(later, words, earlier, least)
     return sorted(gone)
 
 

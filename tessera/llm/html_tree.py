@@ -10,11 +10,15 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
     "kbd", "label", "mark", "picture", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong",
-    "sub", "sup", "time", "tt", "u", "var",
+    "sub", "sup", "time", "tt", "u", "var", "object", "svg", "g", "text", "tspan", "textpath", "math", "mrow", "mi", "mo",
+    "mn", "ms", "mtext", "mspace", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "mfenced", "menclose",
+    "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mtable", "mtr", "mtd", "semantics",
+    "annotation", "annotation-xml",
 }
 HIDDEN = {
-    "script", "style", "template", "noscript", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video",
+    "script", "style", "template", "noscript", "title", "iframe", "canvas", "audio", "video",
     "map", "select", "option", "textarea", "datalist", "head", "noframes", "dialog",
+    "annotation", "annotation-xml",
 }
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -59,7 +63,7 @@ class Block:
         for key, value in attrs:
             if key in ("class", "id", "role") and value:
                 words.update(value.lower().replace("-", " ").replace("_", " ").split())
-            elif key == "data-label":  # only training pages have labels
+            elif key == "data-label" and value in ("0", "1"):  # of training pages; others use the name for words
                 self.label = int(value)
         self.words = words
 
@@ -97,7 +101,7 @@ class Tree(HTMLParser):
         del self.stack[at:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "br":
+        if tag in ("br", "text", "mtr", "mtd"):  # parts that stand apart without a block
             self.run.append(" ")
         if tag in VOID:
             if tag == "hr":

@@ -66,3 +66,21 @@ def test_table(spark):
     assert {r["text"] for r in found.filter("url = 'u'").collect()} == {extract(PAGE, model())}
     assert all(r["n_chars"] == 0 for r in found.filter("page_id < 3").collect())
     assert main_text(df.limit(0)).count() == 0
+
+
+def test_labels_with_words_do_no_harm(spark):
+    rows = '<table><tr><td data-label="Price">5</td><td data-label>6</td><td data-label="">7</td><td data-label="12">8</td></tr></table>'
+    page = PAGE.replace("<p>Second one", rows + "<p>Second one")
+    assert [b.label for b in blocks(rows) if b.tag == "td"] == [None] * 4
+    found = main_text(spark.createDataFrame([(1, "u", page), (2, "u", PAGE)], "page_id long, url string, html string"))
+    assert {r[0] for r in records(found, "page_id")} == {1, 2}
+
+
+def test_labels_are_not_looked_at_outside_training():
+    assert extract(PAGE.replace("<p>Second", '<p data-label="0">Second'), model()) == extract(PAGE, model())
+
+
+def test_math_and_fallback_text_stay_in_the_article():
+    parts = "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2 source</annotation></math> and <object><b>fallback words</b></object> and <svg><text>drawn</text><text>words</text></svg>"
+    text = extract(PAGE.replace("Second one", f"Second {parts} one"), model())
+    assert "Second x=2 and fallback words and drawn words one – here." in text

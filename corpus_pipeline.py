@@ -31,8 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of the mix: documents as often as it takes them."""
-    return mix(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """The rows of the mix: whole documents as often as it takes them."""
+    return mix(docs, whole_documents=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Each source's target is its weight's share of the mix; a source that would be
 repeated more than `max_epochs` times is clamped there and the excess is dealt
 to the others by weight, again and again until none is above. A source then
 takes whole repetitions of all its documents and a seeded fraction of one more:
-its documents in hash order up to the target, the last one in part.
+its documents in hash order up to the target, the last one in part or, with
+`whole_documents`, rounded to a whole one.
 """
 
 from __future__ import annotations
@@ -52,6 +53,7 @@ def mixed(
     share: float = 1.5,
     max_epochs: float = 2.0,
     seed: int = 17,
+    whole_documents: bool = False,
 ) -> DataFrame:
     """docs with size, source_size, target and taken (words the mix takes, repeats counted).
 
@@ -61,12 +63,17 @@ def mixed(
     whole repetitions, the one at the cut in part. Rows that share an id (or
     have none) at the cut share its part evenly, rounded down. Null texts have no
     words and take none; a source without words has target 0. Reruns agree.
+    whole_documents: no document is taken in part. Rows of one id (or none) are
+    ordered by a hash of the text, and of rows with the same id and text at the
+    cut as many are taken as come nearest to the target; one task orders these.
     A column of docs that has the name of a new one is replaced.
     """
     new = ["size", "source_size", "target", "taken"]
     keep = [c for c in docs.columns if c not in new]
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    if whole_documents:
+        key = F.concat(key, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     sized = docs.select(*keep, size.alias("size"), key.alias("__key"))
     small = written(sized.select(F.col(source_col).alias("source"), F.col("__key").alias("key"), "size"), "sizes")
     sizes = small.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -103,16 +110,30 @@ def mixed(
         .when(F.col("__key") == F.col("cut_key"), F.floor(F.col("size") * F.col("part") / F.col("cut_size")))
         .otherwise(F.lit(0))
     )
+    if whole_documents:
+        return _rounded(sized.join(goal, sized[source_col].eqNullSafe(F.col("__source")), "left"), keep)
     taken = (F.col("whole") * F.col("size") + extra).cast("long")
     joined = sized.join(goal, sized[source_col].eqNullSafe(F.col("__source")), "left")
     return joined.select(*[sized[c] for c in keep], "size", "source_size", "target", taken.alias("taken"))
 
 
+def _rounded(joined: DataFrame, keep: list[str]) -> DataFrame:
+    """The rows of mixed() with whole documents only; rows at a cut have the same id and text."""
+    at_cut = F.coalesce((F.col("__key") == F.col("cut_key")) & (F.col("size") > 0), F.lit(False))
+    turn = Window.partitionBy("__source", "__key").orderBy(F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in keep)))
+    cut = joined.filter(at_cut).withColumn("__turn", F.row_number().over(turn))
+    cut = cut.withColumn("__more", F.col("__turn") <= F.round(F.col("part") / F.col("size"))).drop("__turn")
+    rest = joined.filter(~at_cut).withColumn("__more", F.coalesce(F.col("__key") < F.col("cut_key"), F.lit(False)))
+    taken = (F.col("size") * (F.col("whole") + F.col("__more").cast("int"))).cast("long")
+    columns = [F.col(f"`{c}`") for c in keep]
+    return rest.union(cut).select(*columns, "size", "source_size", "target", taken.alias("taken"))
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix, with the columns of docs: each document as often as it is taken.
 
     A document that is taken k and a half times comes k times whole and once
-    with its first words only. Options are those of mixed().
+    with its first words only, unless whole_documents is set. Options are those of mixed().
     """
     text = options.get("text_col", "text")
     found = mixed(docs, **options)

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+import corpus_pipeline
 from tessera.llm.mixing import mix, mixed
 
 from .helpers import clashing, docs, records, sample_rows
@@ -75,3 +76,18 @@ def test_empty_table_and_sources_without_words(spark):
     assert mixed(docs(spark, [])).count() == 0
     rows = [(1, "", "a"), (2, None, "b"), (3, "some words here", "c")]
     assert records(mixed(docs(spark, rows)), "doc_id", "target", "taken") == [(1, 0.0, 0), (2, 0.0, 0), (3, 4.5, 4)]
+
+
+def test_stage_takes_whole_documents(spark):
+    rows = sample_rows(80) + [(None, f"null id number {k} " * 5, "src0") for k in range(60)] + [(300, "same row " * 4, "src1")] * 50
+    df = docs(spark, rows)
+    given = {(i, t) for i, t, _ in rows}
+    drawn = records(corpus_pipeline.mix_sources(spark, df, ""), "doc_id", "text", "source")
+    assert all((i, t) in given for i, t, _ in drawn)
+    assert drawn == records(corpus_pipeline.mix_sources(spark, df, ""), "doc_id", "text", "source")
+    for r in mixed(df).select("source", "source_size", "target").distinct().collect():
+        largest = max(len((t or "").split()) for _, t, s in rows if s == r["source"])
+        words = sum(len((t or "").split()) for _, t, s in drawn if s == r["source"])
+        assert abs(words - r["target"]) <= largest / 2 + 1
+    found = mixed(df, whole_documents=True).collect()
+    assert len(found) == len(rows) and all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in found)

@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, seed:
             found = np.array([simhash(t.as_py(), width, seed) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    picked = docs.select(name(id_col).alias("doc_id"), name(text_col).cast("binary").alias("text"))
     return picked.mapInArrow(run, f"doc_id {ids}, fp long")
 
 
@@ -201,31 +201,3 @@ def near_duplicates(
     return found.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links"
     )
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of docs for each SimHash component, with its columns as they are: that of the component's id.
-
-    Rows that share an id are one document, of which one row stays. Rows with
-    null ids stay only in components that have no other id.
-    """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    stays = written(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "representatives")
-    kept = docs.join(stays.withColumnRenamed("doc_id", "__id"), name(id_col) == F.col("__id"), "left_semi")
-    kept = kept.dropDuplicates([id_col])
-    nameless = found.filter(F.col("component_id").isNull())
-    return kept if nameless.isEmpty() else kept.union(_nameless(docs, found, id_col, text_col, options))
-
-
-def _nameless(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, options: dict) -> DataFrame:
-    """One row for each fingerprint of components without any id."""
-    prints = found.filter(F.col("component_id").isNull()).select("fingerprint").distinct()
-    columns = [F.col(f"__{k}").alias(c) for k, c in enumerate(docs.columns)]
-    lone = docs.filter(name(id_col).isNull()).select(
-        name(text_col).alias("__t"), *(name(c).alias(f"__{k}") for k, c in enumerate(docs.columns))
-    )
-    small_batches(docs.sparkSession)
-    width, seed = options.get("width", 3), options.get("seed", 42)
-    mark = F.udf(lambda t: f"{simhash(t.encode() if t else None, width, seed):016x}")
-    marked = lone.withColumn("__print", mark("__t")).join(prints, F.col("__print") == F.col("fingerprint"), "left_semi")
-    return marked.dropDuplicates(["__print"]).select(*columns)

@@ -30,7 +30,7 @@ def sample_rows(n=60, seed=1):
 
 def clashing(df):
     """df with extra columns under names that the operators use inside."""
-    for c in ("fp", "id", "key", "row", "size", "h", "n", "label", "features", "n_words", "score", "taken", "bucket", "payload", "n_lines"):
+    for c in ("fp", "id", "key", "row", "size", "h", "n", "label", "features", "n_words", "score", "taken", "bucket", "payload", "n_lines", "a.b", "__id", "__text", "__lines", "__version", "__source", "__key", "__0", "_id", "_mark", "_text", "x y`z"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit("x"))
     return df

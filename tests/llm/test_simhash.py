@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm.simhash import near_duplicates, one_of_each, simhash, tile_links
+from tessera.llm.simhash import near_duplicates, simhash, tile_links
 
 from .helpers import clashing, docs, records, sample_rows
 
@@ -68,13 +68,6 @@ def test_tiles_link_what_all_pairs_link(both):
                 assert top(x) == top(y)
 
 
-def test_one_stays_of_each_group(spark):
-    rows = [(5, "a b c d e f", "s"), (3, "a b c d e f", "s"), (3, "a b c d e f", "s"), (8, "quite another text it is", "t"), (None, "no id but words enough here", "u"), (None, None, "v")]
-    kept = one_of_each(docs(spark, rows))
-    assert records(kept, "doc_id", "text") == sorted([(3, "a b c d e f"), (8, "quite another text it is"), (None, "no id but words enough here"), (None, None)], key=repr)
-    assert kept.columns == docs(spark, rows).columns
-
-
 def test_empty_table_and_blank_texts(spark):
     assert near_duplicates(docs(spark, [])).count() == 0
     assert simhash(None) == simhash(b"") == simhash(b" \n") == 0

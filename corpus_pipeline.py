@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from tessera.functions.session import table, written
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix
+from tessera.llm.near_copies import one_of_similar
 from tessera.llm.packing import pack
 from tessera.llm.quality import kept
-from tessera.llm.shingle_sets import one_of_similar
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of 5-word similarity 0.8 or more: the one with the smallest id."""
+    """One document of each SimHash component of 5-word similarity 0.8 or more: the one with the smallest id."""
     return one_of_similar(docs)
 
 

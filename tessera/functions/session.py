@@ -15,6 +15,18 @@ def name(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has, in any case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for c in wanted:
+        new = f"_{c}"
+        while new.lower() in taken:
+            new = f"_{new}"
+        found.append(new)
+        taken.add(new.lower())
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{which}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.session import written
+from tessera.functions.session import scratch, written
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -36,14 +36,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round shortens every path by about half, so a few rounds do for any
     shape; each round's edges are a written table, so that lineage stays short
-    and a lost executor costs a reread. A hub's edges meet in plain joins that
+    and a lost executor costs a reread, and go when the result is written. A hub's edges meet in plain joins that
     Spark can split; minima are pre-aggregated before they are shuffled.
     """
-    now = written(edges.filter("a <> b").distinct(), "edges")
-    seen = _digest(now)
-    while seen[0]:
-        now = written(_small_star(_large_star(now)), "edges")
-        seen, before = _digest(now), seen
-        if seen == before:
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    with scratch(edges.sparkSession) as keep:
+        now = written(edges.filter("a <> b").distinct(), "edges")
+        seen = _digest(now)
+        while seen[0]:
+            now = written(_small_star(_large_star(now)), "edges")
+            seen, before = _digest(now), seen
+            if seen == before:
+                break
+        return keep(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "roots")

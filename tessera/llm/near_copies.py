@@ -7,9 +7,9 @@ with all shingles in one order, two sets of similarity 0.8 share one of the firs
 n - ceil(0.8 n) + 1 of each (prefix filter), so no similar pair is left out of
 the tiles. A crowd too large for one task is dealt out as pairs of tiles.
 
-Pairs far within the radius come first, as a spanning forest, so that a group of
-n copies gives n - 1 of them; what their components leave apart is compared again
-and every pair within the radius is confirmed. Frequent shingles stand last in
+The least spanning forest of each crowd comes first, so that a group of n copies
+gives n - 1 pairs and these are its nearest; what their components leave apart is
+compared again and every pair within the radius is confirmed. Frequent shingles stand last in
 the order, which keeps them out of most prefixes; any order gives the same result.
 """
 
@@ -24,16 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.components import components
-from tessera.functions.session import fresh, name, small_batches, written
+from tessera.functions.session import batches_of, fresh, name, scratch, written
 from tessera.llm.simhash import BUCKET, TILE
 
 SAMPLE, OFTEN, MOST = 20_000, 20, 100_000  # for the order only: sampled texts, how many make a shingle frequent, how many are kept
-LANES = 8  # 64-bit words of a fingerprint
+LANES = 32  # 64-bit words of a fingerprint
 
-# Two sets of Jaccard similarity 0.8 have a cosine of 8/9, so that each bit differs with a probability of 0.152: of 512
-# bits 77.6 differ, with a standard deviation of 8.1. Five deviations on either side: a pair beyond RADIUS is similar with a
-# probability under 1e-6, and one within SURE is unlike with as small a one. What is within SURE is confirmed all the same.
-RADIUS, SURE = 118, 45
+# Two sets of Jaccard similarity 0.8 have a cosine of 8/9, so that each bit differs with a probability of 0.152: of 2048
+# bits 311 differ, with a standard deviation of 16.2. Five deviations up: a pair beyond RADIUS is similar with a
+# probability under 1e-6.
+RADIUS = 392
 
 
 def shingle_set(text: bytes | None, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -49,17 +49,16 @@ def shingle_set(text: bytes | None, width: int = 5, seed: int = 42) -> np.ndarra
 
 def wide_simhash(hashes: np.ndarray, lanes: int = LANES) -> bytes:
     """The fingerprint of a set of hashes: a bit is 1 if over half of the hashes, mixed anew for each lane, have it."""
-    words = np.empty(lanes, dtype="<u8")
-    for lane in range(lanes):
-        ones = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(hashes), 8192):
-            x = hashes[at : at + 8192].view("<u8") + np.uint64(((lane + 1) * 0x9E3779B97F4A7C15) % 2**64)
+    ones = np.zeros(64 * lanes, dtype=np.int64)
+    with np.errstate(over="ignore"):
+        steps = np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for at in range(0, len(hashes), 1024):
+            x = hashes[at : at + 1024, None].view("<u8") + steps
             x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x = x ^ (x >> np.uint64(31))
-            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        words[lane] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
-    return words.tobytes()
+            x ^= x >> np.uint64(31)
+            ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
 
 
 def _node(found: np.ndarray) -> int:
@@ -120,7 +119,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _crowds(nodes: DataFrame, bucket: int) -> DataFrame:
-    """(crowd, side, node): groups of nodes to compare within one task, or (sides 0 and 1) with each other.
+    """(crowd, side, node): groups of nodes to compare within one task (side 0), or (sides 1 and 2) with each other.
 
     Nodes that share a key meet in a crowd; equal crowds stand once. A key of
     more than `bucket` nodes is dealt out as pairs of tiles.
@@ -142,12 +141,13 @@ def _crowds(nodes: DataFrame, bucket: int) -> DataFrame:
     none = F.array().cast("array<bigint>")
     lists = whole.select("l", none.alias("r")).union(dealt.select("l", "r")).distinct()
     listed = written(lists.select(F.monotonically_increasing_id().alias("crowd"), "l", "r"), "crowds")
-    sides = [listed.select("crowd", F.lit(side).alias("side"), F.explode(c).alias("node")) for side, c in enumerate("lr")]
-    return sides[0].union(sides[1])
+    alone = F.size("r") == 0
+    left = listed.select("crowd", F.when(alone, 0).otherwise(1).alias("side"), F.explode("l").alias("node"))
+    return left.union(listed.select("crowd", F.lit(2).alias("side"), F.explode("r").alias("node")))
 
 
 def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """Positions of the pairs (i, j) that make a spanning forest of all of them over n nodes."""
+    """Positions of the pairs (i, j) that make a spanning forest of all of them over n nodes, of the first ones that can."""
     label, kept = np.arange(n), []
     left = np.arange(len(i))
     while len(left):
@@ -172,14 +172,14 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(kept) if kept else np.empty(0, dtype=np.int64)
 
 
-def _tiles(left: tuple, right: tuple | None, radius: int, tenths: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs within the radius, of sizes that allow the similarity and with different roots, tile by tile.
+def _tiles(left: tuple, right: tuple | None, radius: int, tenths: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and differing bits of pairs within the radius, of sizes that allow the similarity and with different roots, tile by tile.
 
     A side is (fingerprints as rows of lanes, sizes, roots), ordered by population count.
     """
     other = left if right is None else right
     counts = [np.bitwise_count(side[0]).sum(axis=1, dtype=np.int64) for side in (left, other)]
-    rows, cols = [], []
+    rows, cols, far = [], [], []
     for i in range(0, len(left[0]), TILE):
         a, low, high = left[0][i : i + TILE], counts[0][i], counts[0][min(i + TILE, len(left[0])) - 1]
         for j in range(i if right is None else 0, len(other[0]), TILE):
@@ -197,39 +197,48 @@ def _tiles(left: tuple, right: tuple | None, radius: int, tenths: int) -> tuple[
             x, y = np.nonzero(near)
             rows.append(x + i)
             cols.append(y + j)
+            far.append(bits[x, y])
     empty = np.empty(0, dtype=np.int64)
-    return (np.concatenate(rows), np.concatenate(cols)) if rows else (empty, empty)
+    return tuple(map(np.concatenate, (rows, cols, far))) if rows else (empty, empty, empty)
 
 
 def _within(members: DataFrame, radius: int, tenths: int, forest: bool) -> DataFrame:
-    """Pairs (a, b) of nodes of members (crowd, side, node, n, root, fp) within the radius, or a spanning forest of them."""
-    of = F.struct("node", "n", "root", "fp")
+    """Pairs (a, b) of nodes of members within the radius, or their least spanning forest.
+
+    members: (crowd, side, node, n, root, fp, before), before being the crowds in
+    which a node was met already: a pair that has one in common is not made again.
+    """
+    of = F.struct("node", "n", "root", "fp", "before")
     sides = members.groupBy("crowd").agg(
-        F.collect_list(F.when(F.col("side") == 0, of)).alias("l"), F.collect_list(F.when(F.col("side") == 1, of)).alias("r")
+        F.collect_list(F.when(F.col("side") < 2, of)).alias("l"), F.collect_list(F.when(F.col("side") == 2, of)).alias("r")
     )
 
     def side(rows: pa.StructArray) -> tuple:
         node, n, root = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("node", "n", "root"))
         fp = np.frombuffer(b"".join(rows.field("fp").to_pylist()), dtype="<u8").reshape(len(node), -1)
         order = np.argsort(np.bitwise_count(fp).sum(axis=1, dtype=np.int64), kind="stable")
-        return node[order], (fp[order], n.astype(np.int64)[order], root[order])
+        met = rows.field("before").to_pylist()
+        return node[order], (fp[order], n.astype(np.int64)[order], root[order]), [frozenset(met[k]) for k in order.tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
             for l, r in zip(batch.column(0), batch.column(1), strict=True):  # noqa: E741
                 if not len(l.values):
                     continue
-                left, ours = side(l.values)
-                right, theirs = side(r.values) if len(r.values) else (left, None)
-                i, j = _tiles(ours, theirs, radius, tenths)
+                left, ours, met = side(l.values)
+                right, theirs, also = side(r.values) if len(r.values) else (left, None, met)
+                i, j, bits = _tiles(ours, theirs, radius, tenths)
                 if forest and len(i):
+                    order = np.argsort(bits, kind="stable")
+                    i, j = i[order], j[order]
                     kept = spanning(i, j if theirs is None else j + len(left), len(left) + len(right))
                     i, j = i[kept], j[kept]
-                found.append(np.stack([np.minimum(left[i], right[j]), np.maximum(left[i], right[j])]))
-            if found:
-                both = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                if not forest:
+                    new = [met[x].isdisjoint(also[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+                    i, j = i[new], j[new]
+                if len(i):
+                    ends = np.minimum(left[i], right[j]), np.maximum(left[i], right[j])
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, ends)), ["a", "b"])
 
     return sides.select("l", "r").mapInArrow(run, "a long, b long").distinct()
 
@@ -242,7 +251,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b")
 
 
-def _links(found: DataFrame, texts: DataFrame, width: int, tenths: int, radius: int, sure: int, bucket: int) -> DataFrame:
+def _links(found: DataFrame, texts: DataFrame, width: int, tenths: int, radius: int, bucket: int) -> DataFrame:
     """Edges (a, b) that connect all nodes that pairs of similar sets connect."""
     nodes = found.groupBy("node").agg(F.min("mark").alias("mark"), F.first("keys").alias("keys"))
     crowds = _crowds(nodes, bucket)
@@ -253,19 +262,25 @@ def _links(found: DataFrame, texts: DataFrame, width: int, tenths: int, radius:
     sets = written(_sets(picked, width), "sets")
     prints = sets.select("node", "n", "fp")
     members = crowds.join(prints, "node")
-    first = written(_within(members.withColumn("root", F.col("node")), sure, tenths, forest=True), "pairs")
+    none = F.array().cast("array<bigint>")
+    alone = members.withColumns({"root": F.col("node"), "before": none})
+    first = written(_within(alone, radius, tenths, forest=True), "pairs")
     edges = written(_confirmed(first, sets, tenths), "similar")
 
     rooted = members.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = written(rooted, "members")
-    mixed = rooted.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    rest = written(_within(rooted.join(mixed.select("crowd"), "crowd"), radius, tenths, forest=False), "pairs")
+    mixed = written(rooted, "members")
+    unlike = mixed.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    mixed = written(mixed.join(unlike.select("crowd"), "crowd"), "mixed")
+    met = mixed.filter("side = 0").groupBy("node").agg(F.collect_list("crowd").alias("met"))
+    earlier = F.filter(F.coalesce("met", none), lambda c: c < F.col("crowd"))
+    rest = mixed.join(met, "node", "left").withColumn("before", earlier)
+    rest = written(_within(rest, radius, tenths, forest=False), "pairs")
     return edges.union(_confirmed(rest, sets, tenths))
 
 
 def one_of_similar(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, tenths: int = 8,
-    radius: int = RADIUS, sure: int = SURE, bucket: int = BUCKET,
+    radius: int = RADIUS, bucket: int = BUCKET,
 ) -> DataFrame:
     """One row of docs for each component of similar texts, with its columns as they are: that of the smallest id.
 
@@ -274,27 +289,29 @@ def one_of_similar(
     tenths; words are compared without ASCII case. Texts without words are similar to each
     other. Rows that share an id are one document, of which one row stays (the
     one with the least digest of its text, then of its other columns); rows with null ids
-    stay only in components that have no other id. radius and sure are for
-    tenths of 8 and 512 bits.
+    stay only in components that have no other id. The radius is for tenths of 8
+    and 2048 bits.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     key, digest = fresh(docs, "id", "mark")
     mark = F.coalesce(F.unhex(F.md5(name(text_col).cast("binary"))), F.unhex(F.lit("")))
     texts = docs.select(name(id_col).alias("id"), mark.alias("mark"), name(text_col).cast("binary").alias("text"))
-    found = written(_prefixes(texts, width, tenths), "prefixes")
-    roots = components(_links(found, texts, width, tenths, radius, sure, bucket))
-    rows = found.groupBy("id", "mark", "node").agg(F.count("*").alias("times")).join(roots, "node", "left")
-    rows = written(rows.select("id", "mark", "times", F.coalesce("root", "node").alias("root")), "rows")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
-    stays = rows.groupBy("root").agg(F.min(order).alias("m")).select("m.id", "m.mark")
-    named = stays.filter("id IS NOT NULL").groupBy("id").agg(F.min("mark").alias("mark"))
-    stays = written(named.union(stays.filter("id IS NULL")), "representatives")
-    goes = rows.alias("r").join(stays.alias("s"), _same("r.id", "s.id") & (F.col("r.mark") == F.col("s.mark")), "left_anti")
-    goes = written(goes.select(F.col("id").alias(key), F.col("mark").alias(digest)), "dropped")
+    with scratch(spark) as keep, batches_of(spark, 256):
+        found = written(_prefixes(texts, width, tenths), "prefixes")
+        roots = components(_links(found, texts, width, tenths, radius, bucket))
+        rows = found.groupBy("id", "mark", "node").agg(F.count("*").alias("times")).join(roots, "node", "left")
+        rows = written(rows.select("id", "mark", "times", F.coalesce("root", "node").alias("root")), "rows")
+        order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+        stays = rows.groupBy("root").agg(F.min(order).alias("m")).select("m.id", "m.mark")
+        named = stays.filter("id IS NOT NULL").groupBy("id").agg(F.min("mark").alias("mark"))
+        stays = written(named.union(stays.filter("id IS NULL")), "representatives")
+        same = F.col("r.id").eqNullSafe(F.col("s.id")) & (F.col("r.mark") == F.col("s.mark"))
+        goes = rows.alias("r").join(stays.alias("s"), same, "left_anti")
+        goes = keep(goes.select(F.col("id").alias(key), F.col("mark").alias(digest)), "dropped")
+        repeated = rows.filter("times > 1").select(F.col("id").alias(key), F.col("mark").alias(digest))
+        repeated = keep(repeated, "repeated")
     # most rows stay: where those that go are few, they are sent to the rows and no text is shuffled
     kept = docs.join(goes, name(id_col).eqNullSafe(F.col(key)) & (mark == F.col(digest)), "left_anti")
-    repeated = rows.filter("times > 1").select(F.col("id").alias(key), F.col("mark").alias(digest))
-    repeated = written(repeated, "repeated")
     if repeated.isEmpty():
         return kept
     again = name(id_col).eqNullSafe(F.col(key)) & (mark == F.col(digest))
@@ -304,6 +321,3 @@ def one_of_similar(
     one = twice.groupBy(key, digest).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
     return once.union(one.select(*(F.col("row")[c].alias(c) for c in docs.columns)))
 
-
-def _same(a: str, b: str):
-    return F.col(a).eqNullSafe(F.col(b))

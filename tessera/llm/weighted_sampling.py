@@ -5,14 +5,14 @@ sample draws, from hashes of the term alone, two Gamma(2, 1) values and a unifor
 one, and keeps the term of least transformed value together with the quantised
 weight at which it was kept; two documents keep the same with a probability of
 their generalised Jaccard similarity, sum of least over sum of greatest weights.
-Every round of samples deals the units of each term's weight into bins in turn,
-from a bin drawn by hash, and takes one sample in each bin; a unit is as likely
-in one bin as in another, so that each bin's collision rate is that of the whole,
-and a term is evaluated once a unit and round and not once a sample.
+The samples are independent, so a fingerprint of 64 estimates with a standard deviation
+of at most 1/16 whatever the length of the texts.
 
 Rows are shuffled once, by range buckets of the id; the next document's text,
 the terms, the samples and the next document's fingerprint are all found within
 those partitions, for which each bucket also gets a copy of the row after its last.
+What a term of some weight yields in all samples is the same in every document,
+so it is computed once for all of a bucket.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.session import name
 
-ROUNDS, BINS = 4, 16  # 64 samples of 16 bits
-BUCKET_ROWS, MOST_BUCKETS = 250, 20_000
+SAMPLES = 64  # of 16 bits
+BUCKET_ROWS, MOST_BUCKETS = 500, 20_000
 BLANK = r"[\x20\x09-\x0D]+"
-NONE = -1  # the sample of a bin without terms
+OWN, EDITED, BOTH = 0, 1, 2  # whose term it is
 
 
 def _bisect(bounds: list, value: Column) -> Column:
@@ -53,7 +53,7 @@ def _bisect(bounds: list, value: Column) -> Column:
 def _followed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(bucket, row, extra, id, text, next): documents with the next one's text, by descending id.
 
-    Each bucket ends with a copy (extra) of the row that follows its last; ids
+    row numbers the rows of a bucket by content alone, so that a rerun numbers alike. Each bucket ends with a copy (extra) of the row that follows its last; ids
     that are null follow nothing.
     """
     spark = docs.sparkSession
@@ -71,19 +71,19 @@ def _followed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     copied = spark.createDataFrame(copies, f"first {kind}, also int")
     lost = -1 - F.pmod(F.xxhash64("text"), F.lit(4096)).cast("int")
-    rows = docs.select(
-        name(id_col).alias("id"), F.coalesce(name(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row")
-    ).withColumn("own", F.when(F.col("id").isNull(), lost).otherwise(bucket))
+    rows = docs.select(name(id_col).alias("id"), F.coalesce(name(text_col), F.lit("")).alias("text")).withColumn(
+        "own", F.when(F.col("id").isNull(), lost).otherwise(bucket)
+    )
     rows = rows.join(F.broadcast(copied), F.col("id") == F.col("first"), "left")
     places = F.array(
         F.struct(F.col("own").alias("bucket"), F.lit(False).alias("extra")),
         F.struct(F.col("also").alias("bucket"), F.lit(True).alias("extra")),
     )
-    dealt = rows.select("id", "text", "row", F.explode(places).alias("at")).select("at.*", "id", "text", "row")
+    dealt = rows.select("id", "text", F.explode(places).alias("at")).select("at.*", "id", "text")
     dealt = dealt.filter("bucket IS NOT NULL").repartition("bucket")
-    order = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("id"), "row")
+    order = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("id"), F.xxhash64("text"))
     following = F.when(F.col("id").isNotNull(), F.lead("text").over(order))
-    return dealt.withColumn("next", following)
+    return dealt.withColumns({"next": following, "row": F.row_number().over(order)})
 
 
 def _edited(text: Column, following: Column) -> Column:
@@ -98,50 +98,35 @@ def _uniform(bits: Column) -> Column:
     return (bits.bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) / F.lit(4294967296.0)
 
 
-def _sample(weight: Column) -> Column:
-    """The least-value order and the 16-bit name of a term (h) kept in a round at its weight, in one long.
+def _sample(k: int) -> Column:
+    """The least-value order and the 16-bit name of a term (h) kept in sample k at its weight (w), in one long.
 
     With r, c ~ Gamma(2, 1) and b uniform: t = floor(ln w / r + b), and the value's
     logarithm is ln c - r (t - b + 1). Its first 40 bits order, the last 16 name.
     """
+    x = [F.xxhash64("h", F.lit(k), F.lit(part)) for part in range(3)]
+    high = [_uniform(F.shiftrightunsigned(part, 32)) for part in x]
+    r, lnc, b = -F.log(_uniform(x[0]) * high[0]), F.log(-F.log(_uniform(x[1]) * high[1])), _uniform(x[2])
     # most weights are 1, whose logarithm need not be taken
-    t = F.floor(F.when(weight == 1, F.col("b")).otherwise(F.log(weight) / F.col("r") + F.col("b")))
-    value = F.col("lnc") - F.col("r") * (t - F.col("b") + F.lit(1.0))
+    t = F.when(F.col("w") == 1, F.lit(0).cast("long")).otherwise(F.floor(F.log("w") / r + b))
+    value = lnc - r * (t - b + F.lit(1.0))
     order = F.floor((F.greatest(value, F.lit(-120.0)) + F.lit(120.0)) * F.lit(float(1 << 32))).cast("long")
-    named = F.xxhash64("h", t).bitwiseAND(F.lit(0xFFFF))
-    return F.when(weight > 0, F.shiftleft(order, 16).bitwiseOR(named))
-
-
-def _fingerprint(samples: Column, which: str, rounds: int, bins: int) -> Column:
-    """The samples' names by slot, NONE where a bin has no term."""
-    found = F.map_from_entries(
-        F.transform(
-            F.filter(samples, lambda s: s[which].isNotNull()),
-            lambda s: F.struct(s["slot"], s[which].bitwiseAND(F.lit(0xFFFF)).cast("int")),
-        )
-    )
-    slots = F.sequence(F.lit(0), F.lit(rounds * bins - 1))
-    return F.transform(slots, lambda k: F.coalesce(F.try_element_at(found, k), F.lit(NONE)))
+    return F.shiftleft(order, 16).bitwiseOR(F.xxhash64("h", t).bitwiseAND(F.lit(0xFFFF)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal samples among those of bins with terms in either; 1.0 if both have none."""
-    pairs = F.arrays_zip(a.alias("x"), b.alias("y"))
-    used = F.size(F.filter(pairs, lambda p: (p["x"] != NONE) | (p["y"] != NONE)))
-    same = F.size(F.filter(pairs, lambda p: (p["x"] != NONE) & (p["x"] == p["y"])))
-    return F.when(used == 0, F.lit(1.0)).otherwise(same / used)
+    """Share of equal samples; 1.0 if both have none, 0.0 if one has."""
+    same = F.size(F.filter(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: p["x"] == p["y"]))
+    return F.when(a.isNull() & b.isNull(), F.lit(1.0)).otherwise(F.coalesce(same / F.size(a), F.lit(0.0)))
 
 
-def _text(samples: Column) -> Column:
-    """Four hex digits a sample; a bin without terms shows as ----."""
-    return F.array_join(
-        F.transform(samples, lambda s: F.when(s == NONE, F.lit("----")).otherwise(F.lpad(F.lower(F.hex(s)), 4, "0"))), ""
-    )
+def _text(samples: Column, many: int) -> Column:
+    """Four hex digits a sample; a text without terms shows as dashes."""
+    shown = F.array_join(F.transform(samples, lambda s: F.lpad(F.lower(F.hex(s)), 4, "0")), "")
+    return F.coalesce(shown, F.lit("-" * 4 * many))
 
 
-def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, bins: int = BINS
-) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one row per row.
 
     The edited text has the last floor(n_chars / 3) code points replaced by the
@@ -152,41 +137,39 @@ def fingerprints(
     whose id is null has no next: its edited text is its text, near_next 0.
     """
     rows = _followed(docs, id_col, text_col).withColumn("edited", _edited(F.col("text"), F.col("next")))
-    keys = ["bucket", "extra", "row"]
+    keys = ["bucket", "row"]
     words = lambda c: F.split(F.lower(c), BLANK)
     both = rows.select(*keys, words(F.col("text")).alias("a"), words(F.col("edited")).alias("e"))
     terms = both.select(*keys, F.size("a").alias("n"), F.posexplode(F.concat("a", "e")).alias("pos", "word"))
     terms = terms.filter("word <> ''").select(*keys, F.xxhash64("word").alias("h"), (F.col("pos") < F.col("n")).cast("int").alias("own"))
     weights = terms.groupBy(*keys, "h").agg(F.sum("own").alias("wo"), F.sum(1 - F.col("own")).alias("we"))
-    drawn = weights.select("*", F.explode(F.array(*map(F.lit, range(rounds)))).alias("round"))
-    turns = F.sequence(F.lit(0), F.least(F.greatest("wo", "we"), F.lit(bins)).cast("int") - 1)
-    drawn = drawn.select("*", F.explode(turns).alias("turn"))
-    # units k, k + bins, k + 2 bins, ... of a term share a bin
-    share = lambda w: F.when(F.col(w) > F.col("turn"), F.floor((F.col(w) - 1 - F.col("turn")) / bins) + 1).otherwise(F.lit(0))
-    drawn = drawn.withColumns({f"x{k}": F.xxhash64("h", F.col("round") * bins + F.col("turn"), F.lit(k)) for k in range(3)})
-    low, high = (lambda c: _uniform(F.col(c))), (lambda c: _uniform(F.shiftrightunsigned(c, 32)))
-    start = F.xxhash64("h", "round")
-    drawn = drawn.select(
-        *keys, "h", share("wo").alias("wo"), share("we").alias("we"),
-        (F.col("round") * bins + F.pmod(F.pmod(start, F.lit(bins)) + F.col("turn"), F.lit(bins))).cast("int").alias("slot"),
-        (-F.log(low("x0") * high("x0"))).alias("r"),
-        F.log(-F.log(low("x1") * high("x1"))).alias("lnc"),
-        low("x2").alias("b"),
-    )
-    drawn = drawn.select(*keys, "slot", _sample(F.col("wo")).alias("o"), _sample(F.col("we")).alias("e"))
-    samples = drawn.groupBy(*keys, "slot").agg(F.min("o").alias("o"), F.min("e").alias("e"))
-    samples = samples.groupBy(*keys).agg(F.collect_list(F.struct("slot", "o", "e")).alias("s")).select(
-        *keys, _fingerprint(F.col("s"), "o", rounds, bins).alias("fo"), _fingerprint(F.col("s"), "e", rounds, bins).alias("fe")
-    )
+    of = lambda which, w: F.struct(F.lit(which).alias("of"), F.col(w).alias("w"))
+    entries = F.when(F.col("wo") == F.col("we"), F.array(of(BOTH, "wo"))).otherwise(F.array(of(OWN, "wo"), of(EDITED, "we")))
+    entries = weights.select(*keys, "h", F.explode(entries).alias("x")).select(*keys, "h", "x.of", "x.w").filter("w > 0")
+    # each term and weight of a bucket is drawn once, for all that have it there
+    shared = entries.groupBy("h", "w", "bucket").agg(F.collect_list(F.struct("row", "of")).alias("at"))
+    drawn = shared.select("bucket", "at", F.array(*map(_sample, range(samples))).alias("x"))
+    dealt = drawn.select("bucket", F.explode("at").alias("at"), "x").select("bucket", "at.row", "at.of", "x")
+    least = dealt.groupBy(*keys, "of").agg(*(F.min(F.get("x", F.lit(k))).alias(f"m{k}") for k in range(samples)))
+    least = least.select(*keys, "of", F.array(*(f"m{k}" for k in range(samples))).alias("m"))
+    held = least.groupBy(*keys).agg(*(F.max(F.when(F.col("of") == k, F.col("m"))).alias(f"of{k}") for k in (OWN, EDITED, BOTH)))
+    named = lambda c: F.transform(c, lambda x: x.bitwiseAND(F.lit(0xFFFF)).cast("int"))
+
+    def joined(which: int) -> Column:
+        ours, common = F.col(f"of{which}"), F.col(f"of{BOTH}")
+        return named(F.coalesce(F.zip_with(ours, common, lambda x, y: F.least(x, y)), ours, common))
+
+    prints = held.select(*keys, joined(OWN).alias("fo"), joined(EDITED).alias("fe"))
     shown = rows.select(
-        *keys, "id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+        *keys, "extra", "id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
     )
-    blank = F.array_repeat(F.lit(NONE), rounds * bins)
-    found = shown.join(samples, keys, "left").withColumns({c: F.coalesce(c, blank) for c in ("fo", "fe")})
-    order = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("id"), "row")
-    found = found.withColumn("fn", F.when(F.col("id").isNotNull(), F.lead("fo").over(order)))
+    found = shown.join(prints, keys, "left")
+    order = Window.partitionBy("bucket").orderBy("row")
+    following = F.lead(F.struct("fo", "id")).over(order)  # null after the last, not where the next has no terms
+    found = found.withColumn("following", following)
+    follows = F.col("id").isNotNull() & F.col("following").isNotNull()
     return found.filter(~F.col("extra")).select(
-        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", _text(F.col("fo")).alias("fingerprint"),
-        _text(F.col("fe")).alias("edited_fingerprint"), likeness(F.col("fo"), F.col("fe")).alias("near_edited"),
-        F.coalesce(F.when(F.col("fn").isNotNull(), likeness(F.col("fo"), F.col("fn"))), F.lit(0.0)).alias("near_next"),
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", _text(F.col("fo"), samples).alias("fingerprint"),
+        _text(F.col("fe"), samples).alias("edited_fingerprint"), likeness(F.col("fo"), F.col("fe")).alias("near_edited"),
+        F.when(follows, likeness(F.col("fo"), F.col("following.fo"))).otherwise(F.lit(0.0)).alias("near_next"),
     )

@@ -186,10 +186,14 @@ def nnls(matrix: np.ndarray, target: np.ndarray, rounds: int = 400) -> np.ndarra
     return x
 
 
-def plan(histogram: np.ndarray, capacity: int, parts: int = PARTS, most: int = 4) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (lengths, how many): histogram[n] pieces of n tokens, each placed once.
-
-    Residual pieces join the fullest sequence that still has room for them.
+def plan(
+    histogram: np.ndarray, capacity: int, parts: int = PARTS, most: int = 4
+) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """Sequences as (lengths, how many), histogram[n] pieces of n tokens placed once each; and the tokens that patterns placed.
+
+    A pattern takes the longest lengths left in its coarse bins, and last the
+    length that fills the rest or the nearest shorter one. Residual pieces join
+    the fullest sequence that still has room for them.
     """
     left = histogram.astype(np.int64).copy()
     left[0] = 0
@@ -207,26 +211,20 @@ def plan(histogram: np.ndarray, capacity: int, parts: int = PARTS, most: int = 4
         weight = np.sqrt(np.arange(top + 1))
         fitted = nnls(matrix * weight[:, None], coarse * weight)
         here = np.nonzero(left)[0]
-        for j in sorted(np.nonzero(fitted >= 1)[0], key=lambda j: shapes[j], reverse=True):
-            repeats = int(fitted[j])
+        for j in sorted(np.nonzero(fitted >= 0.5)[0], key=lambda j: shapes[j], reverse=True):
+            repeats = int(fitted[j] + 0.5)
             while repeats:
-                # the longest lengths left in each coarse bin; the last part is the length that fills the rest
                 taken: list[int] = []
-                for k in shapes[j][:-1]:
-                    low, high = (k - 1) * unit, min(k * unit, capacity)
-                    fit = here[bisect_left(here, low + 1) : bisect_left(here, high + 1)]
-                    fit = [n for n in fit[::-1] if left[n] > taken.count(n) and sum(taken) + n <= capacity]
-                    if not fit:
+                for at, k in enumerate(shapes[j]):
+                    room = capacity - sum(taken)
+                    high = room if at == len(shapes[j]) - 1 else min(k * unit, room)
+                    n = bisect_left(here, high + 1) - 1
+                    while n >= 0 and left[here[n]] <= taken.count(here[n]):
+                        n -= 1
+                    if n < 0 or here[n] <= (k - 1) * unit:
                         break
-                    taken.append(int(fit[0]))
+                    taken.append(int(here[n]))
                 else:
-                    room = capacity - sum(taken)
-                    last = bisect_left(here, room + 1) - 1
-                    while last >= 0 and left[here[last]] <= taken.count(here[last]):
-                        last -= 1
-                    if last < 0 or here[last] != room:
-                        break  # the residual step finds what fits such rests best
-                    taken.append(room)
                     times = min([repeats, *(int(left[n]) // taken.count(n) for n in set(taken))])
                     for n in taken:
                         left[n] -= times
@@ -235,6 +233,7 @@ def plan(histogram: np.ndarray, capacity: int, parts: int = PARTS, most: int = 4
                     here = np.nonzero(left)[0]
                     continue
                 break
+    by_patterns = sum(sum(lengths) * times for lengths, times in groups)
     # residuals, longest first, into the smallest gap that takes them
     gaps: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     order: list[int] = []
@@ -271,13 +270,13 @@ def plan(histogram: np.ndarray, capacity: int, parts: int = PARTS, most: int = 4
             if times > used:
                 offer(lengths, times - used)
             rest -= per * used
-    return [x for found in gaps.values() for x in found]
+    return [x for found in gaps.values() for x in found], by_patterns
 
 
 def best_plan(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """The plan with the fewest sequences among those with patterns of up to two, three and four pieces."""
+    """The plan with the fewest sequences among those with patterns of up to two, three and four pieces; of equal ones that whose patterns place most."""
     plans = [plan(histogram, capacity, most=most) for most in (2, 3, 4)]
-    return min(plans, key=lambda found: sum(times for _, times in found))
+    return min(plans, key=lambda found: (sum(times for _, times in found[0]), -found[1]))[0]
 
 
 def places(sequences: list[tuple[tuple[int, ...], int]]) -> np.ndarray:

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm.packing import best_plan, nnls, pack, patterns, places
+from tessera.llm.packing import best_plan, nnls, pack, patterns, places, plan
 
 from .helpers import clashing, docs, sample_rows
 
@@ -35,6 +35,16 @@ def test_plan_places_all_in_few_sequences(kind):
     assert used <= {"log": 1.01, "flat": 1.03, "few": 1.0, "large": 1.001}[kind] * least + 1
 
 
+def test_patterns_place_most_tokens():
+    rng = np.random.default_rng(4)
+    histogram = np.bincount(np.clip(rng.lognormal(6, 1.2, 200_000).astype(int), 1, 4096), minlength=4097)
+    tokens = int((histogram * np.arange(4097)).sum())
+    least = -(-tokens // 4096)
+    plans = [plan(histogram, 4096, most=most) for most in (2, 3, 4)]
+    assert plans[2][1] > 0.7 * tokens and plans[1][1] > 0.5 * tokens
+    assert sum(times for _, times in best_plan(histogram, 4096)) <= 1.001 * least
+
+
 def test_small_parts():
     assert patterns(5, 2) == [(5,), (4, 1), (3, 2)]
     rng = np.random.default_rng(5)

@@ -11,7 +11,7 @@ from tessera.llm.html_text import main_text
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mixed
 from tessera.llm.packing import pack
-from tessera.llm.pii import KINDS, counted, find, shown
+from tessera.llm.pii import BASE, KINDS, counted, find, shown
 from tessera.llm.quality import COUNTS, quality
 from tessera.llm.simhash import near_duplicates
 from tessera.llm.token_counts import token_counts
@@ -52,9 +52,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id",
-        *(counted(F.col("base"), kind).alias(f"n_{kind}") for kind in KINDS),
+        *(counted(F.col("base"), kind).alias(f"n_{kind}") for kind in KINDS[:BASE]),
         F.sha2(shown(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         shown(F.col("all")).alias("spans"),
+        F.size("all").cast("long").alias("n_spans"),
+        (F.size("all") > 0).alias("has_pii"),
     )
 
 

@@ -75,11 +75,18 @@ def _words(text: Column) -> Column:
 
 def _around(text: Column) -> Column:
     """For each identifier-shaped word in turn: the two whole words before it and the two after it, null where there is none."""
-    words = _words(text)
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words), F.lit(1)) - 1), lambda k: F.get(words, k).rlike("[0-9@]"))
-    get = lambda k: F.when(k >= 0, F.get(words, k))
-    around = lambda k: F.struct(get(k - 2).alias("l2"), get(k - 1).alias("l1"), get(k + 1).alias("r1"), get(k + 2).alias("r2"))
-    return F.when(text.rlike("[0-9@]"), F.transform(at, around))
+    none = F.lit(None).cast("string")
+
+    def shifted(w: Column) -> Column:
+        n = F.size(w)
+        zipped = F.arrays_zip(
+            w.alias("w"), F.concat(F.array(none, none), w).alias("l2"), F.concat(F.array(none), w).alias("l1"),
+            F.slice(w, F.lit(2), n).alias("r1"), F.slice(w, F.lit(3), n).alias("r2"),
+        )
+        return F.transform(F.filter(zipped, lambda x: x["w"].rlike("[0-9@]")), lambda x: F.struct(*(x[c].alias(c) for c in ("l2", "l1", "r1", "r2"))))
+
+    # the words are an argument, so that they are split once
+    return F.when(text.rlike("[0-9@]"), F.get(F.transform(F.array(_words(text)), shifted), F.lit(0)))
 
 
 def _valid() -> Column:
@@ -169,7 +176,7 @@ def _discovered(docs: DataFrame, text_col: str, mentions: DataFrame) -> DataFram
         # an instance is of a kind unless none of its patterns says so
         miss = F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9))))
         instances = open_edges.join(scores, "p").groupBy("i", "kind").agg((1 - F.exp(miss)).alias("likely"))
-        gained = open_edges.join(written(instances, "instances"), "i").groupBy("p", "kind").agg(F.sum(F.col("n") * F.col("likely")).alias("gained"))
+        gained = open_edges.join(instances, "i").groupBy("p", "kind").agg(F.sum(F.col("n") * F.col("likely")).alias("gained"))
         share = F.least((F.col("known") + F.coalesce("gained", F.lit(0.0))) / F.col("total"), F.lit(1.0))
         before = scores.withColumnRenamed("score", "before")
         rated = known.join(gained, ["p", "kind"], "left").join(before, ["p", "kind"]).select("p", "kind", share.alias("score"), "before")

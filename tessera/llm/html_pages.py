@@ -63,9 +63,10 @@ def _content(rng: random.Random) -> str:
                     lambda: _block("figure", 1, _block("figcaption", 1, _sentence(rng, 2, 9))),
                     lambda: _block("table", 1, _block("tr", 1, "".join(_block("td", 1, _sentence(rng, 1, 3)) for _ in range(3)))),
                     lambda: _block("div", 1, _text(rng)),
+                    lambda: _block("div", 1, _block("div", 1, _block("p", 1, _text(rng)))),
                     lambda: _away(rng, rng.choice(["ad", "sidebar", "form"])),
                 ],
-                [14, 2, 1, 1, 0.5, 0.5, 0.5, 1.5, 1],
+                [14, 2, 1, 1, 0.5, 0.5, 0.5, 1.5, 1, 1],
             )[0]()
         )
     if rng.random() < 0.15:
@@ -74,8 +75,9 @@ def _content(rng: random.Random) -> str:
 
 
 def page(rng: random.Random) -> str:
-    """One page; its main text stands in an article, a main or a box, alone or within others."""
+    """One page; its main text stands in an article, a main or a box, alone or within others, or in the body itself."""
     inner = _content(rng)
+    cell = lambda label, made: f'<td data-label="{label}">{made}</td>'
     body = rng.choice(
         [
             lambda: _block("article", 1, inner, rng.choice(["", "", "post", "entry"])),
@@ -83,6 +85,12 @@ def page(rng: random.Random) -> str:
             lambda: _block("main", 1, inner),
             lambda: _block("div", 1, inner, rng.choice(["content", "article-body", "post entry", "story text"])),
             lambda: _block("div", 1, _block("div", 1, inner, "content"), "wrapper main"),
+            lambda: _block("div", 1, inner),
+            lambda: _block("div", 1, _block(rng.choice(["div", "section"]), 1, inner)),
+            lambda: _block("section", 1, inner),
+            lambda: inner,
+            lambda: _block("div", 0, _block("div", 0, _links(rng, 5)) + _block("div", 1, inner)),
+            lambda: f'<table data-label="0"><tr data-label="0">{cell(0, _links(rng, 5))}{cell(1, inner)}</tr></table>',
         ]
     )()
     before = [_away(rng, k) for k in ("menu", "header", "notice", "ad", "form") if rng.random() < 0.45]

@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.session import name, small_batches, written
+from tessera.functions.session import fresh, name, scratch, small_batches, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-PASSES = 8  # alignments of moved or repeated blocks before what is left is looked up run by run
+PASSES = 8  # alignments of moved or repeated blocks; what is left after them is looked up exactly, run by run
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -163,22 +163,16 @@ def deleted(later: list, words: list[int], earlier: list, least: int) -> list[in
     return sorted(gone)
 
 
-def _versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with __id, __version (a hash of the text) and its lines' hashes and word counts."""
-    return docs.withColumns({"__id": name(id_col), "__text": F.coalesce(name(text_col), F.lit(""))}).withColumn(
-        "__version", F.xxhash64("__text")
-    )
-
-
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5) -> DataFrame:
     """(id, version, gone): positions of the lines to delete, for documents that lose any."""
     small_batches(docs.sparkSession)
-    lines = F.split("__text", "\n")
+    text = F.coalesce(name(text_col), F.lit(""))
+    lines = F.split(text, "\n")
     hashed = F.transform(lines, lambda x: F.xxhash64(x))
     checks = F.transform(lines, lambda x: F.xxhash64(F.lit(1), x))  # with the first, 128 bits
     words = F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD)).cast("int"))
-    sequences = _versions(docs, id_col, text_col).select(
-        F.col("__id").alias("id"), F.col("__version").alias("v"), hashed.alias("h"), checks.alias("c"), words.alias("n")
+    sequences = docs.select(
+        name(id_col).alias("id"), F.xxhash64(text).alias("v"), hashed.alias("h"), checks.alias("c"), words.alias("n")
     )
     sequences = written(sequences, "sequences").dropDuplicates(["id", "v"])
     sequences = written(sequences, "versions")
@@ -230,19 +224,22 @@ def line_dedup(
     than `least_words` words stay. A null text stays null and has one line.
     drop_emptied: leave out documents that lost lines and have no word left.
     """
-    gone = written(removals(docs, id_col, text_col, least_words), "removals")
-    lost = [c for c in ("n_lines", "n_deleted") if c in docs.columns]
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(removals(docs, id_col, text_col, least_words), "removals")
+    others = [c for c in docs.columns if c != text_col and c not in ("n_lines", "n_deleted")]
+    lines, version, of_id, of_version, deleted_at = fresh(docs, "lines", "version", "of_id", "of_version", "gone")
     # the lines stand in for the text while rows are shuffled
-    cut = _versions(docs.drop(*lost), id_col, text_col).withColumn("__lines", F.split(name(text_col), "\n"))
-    joined = cut.drop(text_col, "__text").alias("d").join(
-        gone.alias("g"), F.col("d.__id").eqNullSafe(F.col("g.id")) & (F.col("d.__version") == F.col("g.v")), "left"
+    cut = docs.select(
+        *map(name, others), F.split(name(text_col), "\n").alias(lines), F.xxhash64(F.coalesce(name(text_col), F.lit(""))).alias(version)
     )
-    size = F.when(F.col("__lines").isNull(), 1).otherwise(F.size("__lines"))
-    left = F.array_except(F.sequence(F.lit(0), size - 1), "gone")
-    stays = F.when(F.col("gone").isNull(), F.col("__lines")).otherwise(F.transform(left, lambda k: F.get("__lines", k)))
+    gone = gone.select(F.col("id").alias(of_id), F.col("v").alias(of_version), F.col("gone").alias(deleted_at))
+    joined = cut.join(gone, name(id_col).eqNullSafe(F.col(of_id)) & (F.col(version) == F.col(of_version)), "left")
+    size = F.when(F.col(lines).isNull(), 1).otherwise(F.size(lines))
+    left = F.array_except(F.sequence(F.lit(0), size - 1), deleted_at)
+    stays = F.when(F.col(deleted_at).isNull(), F.col(lines)).otherwise(F.transform(left, lambda k: F.get(lines, k)))
     text = F.array_join(stays, "\n")
     if drop_emptied:
-        joined = joined.filter(F.col("gone").isNull() | text.rlike(WORD))
-    columns = [text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns if c not in lost]
-    n_deleted = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+        joined = joined.filter(F.col(deleted_at).isNull() | text.rlike(WORD))
+    columns = [text.alias(c) if c == text_col else name(c) for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    n_deleted = F.when(F.col(deleted_at).isNull(), 0).otherwise(F.size(deleted_at))
     return joined.select(*columns, size.alias("n_lines"), n_deleted.alias("n_deleted"))

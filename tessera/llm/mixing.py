@@ -15,7 +15,7 @@ from math import log
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.session import written
+from tessera.functions.session import fresh, name, scratch, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,15 +69,37 @@ def mixed(
     A column of docs that has the name of a new one is replaced.
     """
     new = ["size", "source_size", "target", "taken"]
-    keep = [c for c in docs.columns if c not in new]
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    keep = [c for c in docs.columns if c.lower() not in new]
+    key, from_source, whole, cut_key, part, cut_size = fresh(docs, "key", "source", "whole", "cut_key", "part", "cut_size")
+    size = F.coalesce(F.regexp_count(name(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), name(id_col).cast("string")))
     if whole_documents:
-        key = F.concat(key, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    sized = docs.select(*keep, size.alias("size"), key.alias("__key"))
-    small = written(sized.select(F.col(source_col).alias("source"), F.col("__key").alias("key"), "size"), "sizes")
+        hashed = F.concat(hashed, F.md5(F.coalesce(name(text_col), F.lit(""))))
+    sized = docs.select(*map(name, keep), size.alias("size"), hashed.alias(key))
+    with scratch(docs.sparkSession) as settle:
+        small = docs.select(name(source_col).alias("source"), hashed.alias("key"), size.alias("size"))
+        goal = settle(_cuts(written(small, "sizes"), list(weights), share, max_epochs), "cuts")
+    goal = goal.select(
+        F.col("source").alias(from_source), "source_size", "target", F.col("whole").alias(whole),
+        F.col("cut_key").alias(cut_key), F.col("part").alias(part), F.col("cut_size").alias(cut_size),
+    )
+    joined = sized.join(goal, name(source_col).eqNullSafe(F.col(from_source)), "left")
+    if whole_documents:
+        return _rounded(joined, keep, key, from_source, whole, cut_key, part)
+    extra = (
+        F.when(F.col(cut_key).isNull(), F.lit(0))
+        .when(F.col(key) < F.col(cut_key), F.col("size"))
+        .when(F.col(key) == F.col(cut_key), F.floor(F.col("size") * F.col(part) / F.col(cut_size)))
+        .otherwise(F.lit(0))
+    )
+    taken = (F.col(whole) * F.col("size") + extra).cast("long")
+    return joined.select(*map(name, keep), "size", "source_size", "target", taken.alias("taken"))
+
+
+def _cuts(small: DataFrame, weights: list[float], share: float, max_epochs: float) -> DataFrame:
+    """(source, source_size, target, whole, cut_key, part, cut_size) of small (source, key, size): where each source's last repetition ends."""
     sizes = small.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = written(_targets(sizes, list(weights), share, max_epochs), "targets")
+    goal = written(_targets(sizes, weights, share, max_epochs), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     goal = goal.withColumn("whole", whole.cast("long")).withColumn(
         "need", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")
@@ -100,33 +122,21 @@ def mixed(
     cut = keys.filter("done <= need and need < done + n").select(
         "source", F.col("key").alias("cut_key"), (F.col("need") - F.col("done")).alias("part"), F.col("n").alias("cut_size")
     )
-    goal = goal.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left").select(
-        F.col("g.source").alias("__source"), "source_size", "target", "whole", "cut_key", "part", "cut_size"
+    return goal.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left").select(
+        "g.source", "source_size", "target", "whole", "cut_key", "part", "cut_size"
     )
-    goal = written(goal, "cuts")
-    extra = (
-        F.when(F.col("cut_key").isNull(), F.lit(0))
-        .when(F.col("__key") < F.col("cut_key"), F.col("size"))
-        .when(F.col("__key") == F.col("cut_key"), F.floor(F.col("size") * F.col("part") / F.col("cut_size")))
-        .otherwise(F.lit(0))
-    )
-    if whole_documents:
-        return _rounded(sized.join(goal, sized[source_col].eqNullSafe(F.col("__source")), "left"), keep)
-    taken = (F.col("whole") * F.col("size") + extra).cast("long")
-    joined = sized.join(goal, sized[source_col].eqNullSafe(F.col("__source")), "left")
-    return joined.select(*[sized[c] for c in keep], "size", "source_size", "target", taken.alias("taken"))
 
 
-def _rounded(joined: DataFrame, keep: list[str]) -> DataFrame:
+def _rounded(joined: DataFrame, keep: list[str], key: str, source: str, whole: str, cut_key: str, part: str) -> DataFrame:
     """The rows of mixed() with whole documents only; rows at a cut have the same id and text."""
-    at_cut = F.coalesce((F.col("__key") == F.col("cut_key")) & (F.col("size") > 0), F.lit(False))
-    turn = Window.partitionBy("__source", "__key").orderBy(F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in keep)))
-    cut = joined.filter(at_cut).withColumn("__turn", F.row_number().over(turn))
-    cut = cut.withColumn("__more", F.col("__turn") <= F.round(F.col("part") / F.col("size"))).drop("__turn")
-    rest = joined.filter(~at_cut).withColumn("__more", F.coalesce(F.col("__key") < F.col("cut_key"), F.lit(False)))
-    taken = (F.col("size") * (F.col("whole") + F.col("__more").cast("int"))).cast("long")
-    columns = [F.col(f"`{c}`") for c in keep]
-    return rest.union(cut).select(*columns, "size", "source_size", "target", taken.alias("taken"))
+    turn, more = fresh(joined, "turn", "more")
+    at_cut = F.coalesce((F.col(key) == F.col(cut_key)) & (F.col("size") > 0), F.lit(False))
+    order = Window.partitionBy(source, key).orderBy(F.xxhash64(*(name(c).cast("string") for c in keep)))
+    cut = joined.filter(at_cut).withColumn(turn, F.row_number().over(order))
+    cut = cut.withColumn(more, F.col(turn) <= F.round(F.col(part) / F.col("size"))).drop(turn)
+    rest = joined.filter(~at_cut).withColumn(more, F.coalesce(F.col(key) < F.col(cut_key), F.lit(False)))
+    taken = (F.col("size") * (F.col(whole) + F.col(more).cast("int"))).cast("long")
+    return rest.union(cut).select(*map(name, keep), "size", "source_size", "target", taken.alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -137,13 +147,19 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """
     text = options.get("text_col", "text")
     found = mixed(docs, **options)
+    times, copy, held = fresh(docs, "times", "copy", "held")
+    # columns of docs that have the names of new ones come back as they were
+    clash = [c for c in docs.columns if c.lower() in ("size", "source_size", "target", "taken")]
+    if clash:
+        found = mixed(docs.withColumn(held, F.struct(*map(name, clash))).drop(*clash), **options)
     size = F.greatest(F.col("size"), F.lit(1))
     whole, part = F.floor(F.col("taken") / size).cast("int"), F.pmod(F.col("taken"), size).cast("int")
     # empty texts take no words; they stay once rather than vanish
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(whole + (part > 0).cast("int"))
-    counted = found.withColumn("__n", times).filter(F.col("__n") > 0)
-    copies = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    cut = (F.col("size") > 0) & (F.col("__copy") > whole)
-    words = F.slice(F.regexp_extract_all(F.col(text), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.greatest(part, F.lit(1)))
-    shown = F.when(cut, F.array_join(words, "")).otherwise(F.col(text))
-    return copies.select(*[shown.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    many = F.when(F.col("size") == 0, F.lit(1)).otherwise(whole + (part > 0).cast("int"))
+    counted = found.withColumn(times, many).filter(F.col(times) > 0)
+    copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    cut = (F.col("size") > 0) & (F.col(copy) > whole)
+    words = F.slice(F.regexp_extract_all(name(text), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.greatest(part, F.lit(1)))
+    shown = F.when(cut, F.array_join(words, "")).otherwise(name(text))
+    value = lambda c: shown if c == text else F.col(held).getField(c) if c in clash else name(c)
+    return copies.select(*[value(c).alias(c) for c in docs.columns])

@@ -54,6 +54,34 @@ def test_held_out_accuracy():
     assert good / total > 0.98
 
 
+#: Pages written by hand, unlike the generator's, with the main text of each.
+BY_HAND = [
+    ("""<html><body><div><a href="/">Home</a> <a href="/a">About</a> <a href="/c">Contact us</a></div>
+<div><h1>How bread is made</h1><p>Flour, water and salt are mixed and left to rest for an hour.</p>
+<p>Then the dough is shaped, and baked until its crust sounds hollow when it is knocked on.</p></div>
+<div><a href="/p">Privacy</a> | <a href="/t">Terms</a></div></body></html>""",
+     "How bread is made\nFlour, water and salt are mixed and left to rest for an hour.\nThen the dough is shaped, and baked until its crust sounds hollow when it is knocked on."),
+    ("""<body><table width="100%"><tr><td width="150"><ul><li><a href="1.html">Chapter one</a></li><li><a href="2.html">Chapter two</a></li><li><a href="3.html">Chapter three</a></li></ul></td>
+<td><h2>Chapter two</h2><p>It rained all night, and in the morning the road to the village was under water.</p><p>Nobody came to the door until noon, when the miller's boy brought the news.</p></td></tr></table></body>""",
+     "Chapter two\nIt rained all night, and in the morning the road to the village was under water.\nNobody came to the door until noon, when the miller's boy brought the news."),
+    ("""<html><body><h1>Notes on rivers</h1><p>A river carries more sand in spring than in any other season of the year.</p><ul><li>It is widest near the sea.</li><li>It is deepest in the gorge.</li></ul><p>More of this will follow next week.</p></body></html>""",
+     "Notes on rivers\nA river carries more sand in spring than in any other season of the year.\nIt is widest near the sea.\nIt is deepest in the gorge.\nMore of this will follow next week."),
+    ("""<body><header><a href="/">Daily Paper</a></header><main><article><h1>Prices of bread</h1><p>The bakers of the town have told us what they ask for a loaf.</p>
+<table><tr><td data-label="Baker">Miller</td><td data-label="Price">Two coins</td></tr></table><div><div><p>All of them say that flour has become dear since the harvest.</p></div></div></article></main>
+<aside class="related"><h3>Read next</h3><a href="/x">Prices of milk</a></aside><div id="comments"><p>I pay three coins here!</p></div><footer><p>Printed in town.</p></footer></body>""",
+     "Prices of bread\nThe bakers of the town have told us what they ask for a loaf.\nMiller\nTwo coins\nAll of them say that flour has become dear since the harvest."),
+    ("""<body><div class="topbar"><ul><li><a href="/">Start</a></li><li><a href="/l">Log in</a></li></ul></div><div class="cookie-banner">This site uses cookies. <button>Fine</button></div>
+<section><h2>Walking in winter</h2><p>Snow lies on the pass from November on, and the huts are closed.</p><blockquote><p>Take bread, a rope and a friend.</p></blockquote><p>That is what the guides say, and they are right.</p></section>
+<div class="sidebar"><h4>Popular</h4><ul><li><a href="/1">Ten walks</a></li></ul></div></body>""",
+     "Walking in winter\nSnow lies on the pass from November on, and the huts are closed.\nTake bread, a rope and a friend.\nThat is what the guides say, and they are right."),
+]
+
+
+def test_pages_written_by_hand():
+    for page, want in BY_HAND:
+        assert extract(page, model()) == want
+
+
 def test_table(spark):
     odd = [None, "", " \n ", "plain text without tags", "<", "<p", "</p></div>", "<article><p>" + "word " * 50_000, "<div>" * 3000 + "deep"]
     rows = [(k, None, h) for k, h in enumerate(odd)] + [(None, "u", PAGE), (3, "u", PAGE), (3, "u", PAGE)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def scatter(reduced: DataFrame, labels: DataFrame, texts: DataFrame, traces: int | None = 20) -> DataFrame:
-    """(term, row_id, x, y, text, n): points by cluster, of the largest clusters only if traces is given.
+    """(term, row_id, x, y, text, n): points by cluster in the order of terms, of the largest clusters only if traces is given.
 
     reduced (row_id, x, y), labels (row_id, term), texts (row_id, text).
     """
@@ -15,7 +15,12 @@ def scatter(reduced: DataFrame, labels: DataFrame, texts: DataFrame, traces: int
     sizes = labels.groupBy("term").agg(F.count("*").alias("n"))
     if traces is not None:
         sizes = sizes.orderBy(F.desc("n"), "term").limit(traces)
-    return points.join(sizes, "term").select("term", "row_id", "x", "y", "text", "n")
+    return points.join(sizes, "term").select("term", "row_id", "x", "y", "text", "n").orderBy("term", "row_id")
+
+
+def plain_label(column: str) -> str:
+    """A column's name without the mark of analysed ones."""
+    return column.replace("Analyzer_", "")
 
 
 def accuracy_band(share: float | None) -> str:

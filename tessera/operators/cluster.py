@@ -32,7 +32,7 @@ def density(vectors: DataFrame, min_cluster_size: int = 15, min_samples: int | N
     follow each cluster's least id.
     """
     k = min_samples or min_cluster_size
-    near = written(neighbours(vectors, k), "neighbours")
+    near = neighbours(vectors, k)
     core = near.groupBy("i").agg(F.max("d").alias("core"))
     other = core.select(F.col("i").alias("j"), F.col("core").alias("core_j"))
     edges = near.join(core, "i").join(other, "j").select(

@@ -74,6 +74,11 @@ def clipped(column: Column, width: int = 15) -> Column:
     return F.substring(column.cast("string"), 1, width)
 
 
+def bar_width(n: Column, non_null: Column) -> Column:
+    """Width of a value's bar in percent of the values that are there, 100 at most."""
+    return F.least(F.lit(100.0), F.try_divide(n * F.lit(100.0), non_null))
+
+
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
     """(bin, n): counts in equal bins of [low, high]; values outside are left out."""
     value = name(column).cast("double")

@@ -66,6 +66,13 @@ def filter_kind(df: DataFrame, column: str) -> str:
     return "text"
 
 
+def slider(df: DataFrame, column: str) -> dict[str, float | None]:
+    """The full range of a numeric column and a hundredth of it as step, for a range filter."""
+    row = df.agg(F.min(name(column)).cast("double").alias("low"), F.max(name(column)).cast("double").alias("high")).first()
+    step = None if row["low"] is None else (row["high"] - row["low"]) / 100
+    return {"min_val": row["low"], "max_val": row["high"], "step": step}
+
+
 def suggest_kind(stats: dict[str, Any]) -> str:
     """The kind of filter that suits a column's profile (see profile.column_stats)."""
     if stats.get("top_values"):

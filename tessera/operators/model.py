@@ -36,8 +36,8 @@ class Predictor:
         return found
 
 
-def train(df: DataFrame, target: str, features: list[str], key: str, model: str = "forest", depth: int = 6, seed: int = 42) -> Predictor:
-    """Fit on a seeded 80 % of rows by key. model: forest, or boosted (one against the rest, depth and step as usual)."""
+def train(df: DataFrame, target: str, features: list[str], key: str, model: str = "forest", depth: int = 6, seed: int = 42, rounds: int = 100) -> Predictor:
+    """Fit on a seeded 80 % of rows by key. model: forest, or boosted (one against the rest, of so many rounds, depth and step as usual)."""
     if not features:
         raise ValueError("at least one feature is needed")
     text = lambda c: F.coalesce(name(c).cast("string"), F.lit("null"))
@@ -49,7 +49,7 @@ def train(df: DataFrame, target: str, features: list[str], key: str, model: str
     if model == "forest":
         learner = RandomForestClassifier(featuresCol="x", labelCol="y", maxDepth=depth, seed=seed, numTrees=50, maxBins=max(32, bins))
     elif model == "boosted":
-        trees = GBTClassifier(featuresCol="x", labelCol="y", maxDepth=depth, stepSize=0.3, maxIter=20, seed=seed, maxBins=max(32, bins))
+        trees = GBTClassifier(featuresCol="x", labelCol="y", maxDepth=depth, stepSize=0.3, maxIter=rounds, seed=seed, maxBins=max(32, bins))
         learner = OneVsRest(classifier=trees, featuresCol="x", labelCol="y")
     else:
         raise ValueError(f"unknown model {model!r}")

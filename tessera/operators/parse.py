@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -40,7 +41,7 @@ def flatten(df: DataFrame, key: str, column: str, under: str, separator: str = "
     The schema is the union over all rows that parse; what a row lacks is null.
     """
     parsed = lenient_json(df, column).filter("status <> 'failed'")
-    inner = F.try_variant_get("parsed", f"$.{under}", "variant")
+    inner = F.try_variant_get("parsed", f"$[{_quoted(under)}]", "variant")
     text = parsed.select(name(key).alias(key), F.to_json(inner).alias("j")).filter("j IS NOT NULL")
     found = text.agg(F.expr("schema_of_variant_agg(parse_json(j))").alias("s")).first()["s"]
     if not found or not found.startswith("OBJECT<"):
@@ -56,8 +57,18 @@ def flatten(df: DataFrame, key: str, column: str, under: str, separator: str = "
     return read.select(name(key), *columns)
 
 
+def _quoted(key: str) -> str:
+    """A key within a variant path, in the quotes that it does not have itself."""
+    if "'" in key and '"' in key:
+        raise ValueError(f"a key with both kinds of quotes can't be looked up: {key!r}")
+    return f'"{key}"' if "'" in key else f"'{key}'"
+
+
 def _ddl(variant_schema: str) -> str:
-    return variant_schema.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+    """The schema as a DDL type; names of fields, which a colon follows, stay as they are."""
+    types = {"OBJECT<": "STRUCT<", "VOID": "STRING"}
+    pattern = r"`(?:[^`]|``)*`\s*:|[^<>,:`\s]+\s*:|OBJECT<|VOID"
+    return re.sub(pattern, lambda m: types.get(m[0], m[0]), variant_schema)
 
 
 def dedupe_last(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -74,7 +85,7 @@ def with_retry(call: Callable[[str], str], tries: int = 10, first: float = 5.0,
         for turn in range(tries):
             try:
                 return call(text)
-            except Exception:
+            except Exception:  # whatever a client's failure is, it is tried again
                 if turn + 1 < tries:
                     sleep(wait)
                     wait = min(most, wait * 2)

@@ -13,7 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.session import small_batches, written
+from tessera.functions.session import batches_of, written
 
 GRID = 32  # cells a side that repulsion is summed over
 
@@ -35,7 +35,6 @@ def neighbours(vectors: DataFrame, k: int, block: int = 1000) -> DataFrame:
 
     Work grows with the square of the vectors, so explore a selection of rows.
     """
-    small_batches(vectors.sparkSession, 1)
     n = max(1, -(-vectors.count() // block))
     placed = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("at"))
     every = F.sequence(F.lit(0), F.lit(n - 1))
@@ -68,7 +67,9 @@ def neighbours(vectors: DataFrame, k: int, block: int = 1000) -> DataFrame:
                 )
 
     found = groups.select("l", "r").mapInArrow(run, f"i {kind}, j {kind}, d double")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k)
+    with batches_of(vectors.sparkSession, 1):  # a row is two blocks; no job after this one is bound to it
+        return written(ranked, "neighbours")
 
 
 def layout(vectors: DataFrame, n_neighbors: int = 15, min_dist: float = 0.1, epochs: int = 12) -> DataFrame:

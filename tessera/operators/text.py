@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.session import name, small_batches
+from tessera.functions.session import batches_of, name, written
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 STOP_WORDS = (
@@ -17,7 +17,18 @@ STOP_WORDS = (
     "our she so than that the their them then there these they this to up us was we were what when which who will with "
     "would you your"
 ).split()
-QUESTION = "Summarize the main themes of these texts."
+MOST_QUERIES = 100_000  # vectors that a search may ask for at once
+
+# The default question, what stands between a question and its context, and ready-made questions.
+QUESTION = "Summarize the following data in relevant bullet points"
+TEMPLATES = {"service": "{question}\nAnswer based on this context: {context}\n\n", "notebook": "{question}\n Answer based on this context: {context}\n\n"}
+QUICK_PROMPTS = [
+    "Summarize the data in bullet points",
+    "What are the most common patterns?",
+    "Identify any anomalies or outliers",
+    "What correlations exist in this data?",
+    "Provide a statistical overview",
+]
 
 
 def tokens(df: DataFrame, key: str, column: str, stop_words: list[str] | None = None) -> DataFrame:
@@ -30,7 +41,7 @@ def tokens(df: DataFrame, key: str, column: str, stop_words: list[str] | None =
 
 def tfidf(df: DataFrame, key: str, column: str, max_features: int = 1000, stop_words: list[str] | None = None) -> DataFrame:
     """(row_id, term, tfidf): the vocabulary is the most frequent terms, idf = ln((1+n)/(1+df))+1, rows have length 1."""
-    counts = tokens(df, key, column, stop_words)
+    counts = written(tokens(df, key, column, stop_words), "counts")  # read for the vocabulary and for the weights
     terms = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     terms = terms.orderBy(F.desc("total"), "term").limit(max_features)
     n = df.agg(F.count("*").alias("n"))
@@ -91,7 +102,6 @@ def cosine_pairs(vectors: DataFrame, least: float, block: int = 1000) -> DataFra
     Vectors are dealt to blocks by hash, and every pair of blocks is one matrix
     product in a task; nothing larger than two blocks meets anywhere.
     """
-    small_batches(vectors.sparkSession, 1)
     n = max(1, -(-vectors.count() // block))
     placed = vectors.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.least(F.col("at"), k).alias("x"), F.greatest(F.col("at"), k).alias("y")))
@@ -120,16 +130,20 @@ def cosine_pairs(vectors: DataFrame, least: float, block: int = 1000) -> DataFra
                 keep = lo < hi
                 yield pa.RecordBatch.from_arrays([pa.array(lo[keep], of), pa.array(hi[keep], of), pa.array(s[keep])], ["i", "j", "cosine"])
 
-    return groups.select("l", "r").mapInArrow(run, f"i {kind}, j {kind}, cosine double").dropDuplicates(["i", "j"])
+    found = groups.select("l", "r").mapInArrow(run, f"i {kind}, j {kind}, cosine double")
+    with batches_of(vectors.sparkSession, 1):  # a row is two blocks; no job after this one is bound to it
+        return written(found.dropDuplicates(["i", "j"]), "cosines")
 
 
 def cosine_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """(query, id, cosine, rank): the k nearest vectors of each query, found by blocks of the vectors.
 
-    queries, a set that the caller states, are sent to all blocks; each block keeps its k
-    best and the best of those are ranked. Ties go to the lesser id.
+    queries, a set of at most MOST_QUERIES that the caller states, are sent to all blocks;
+    each block keeps its k best and the best of those are ranked. Ties go to the lesser id.
     """
-    held = queries.collect()  # the stated query set
+    held = queries.limit(MOST_QUERIES + 1).collect()
+    if len(held) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: ask in parts")
     asked = np.array([r[0] for r in held])
     q = np.array([r[1] for r in held], dtype=float).reshape(len(held), -1)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
@@ -176,18 +190,20 @@ def merge_clusters(
     return assigned.join(named, "label", "left").select("row_id", "label", F.coalesce("term", F.lit(noise_name)).alias("term"))
 
 
-def context(df: DataFrame, column: str, key: str, limit: int | None = 500) -> DataFrame:
-    """(n, text): the first non-blank values by key, a line each."""
-    kept = df.filter(name(column).isNotNull() & (F.trim(name(column)) != "")).select(name(key).alias("k"), name(column).alias("v"))
+def context(df: DataFrame, column: str, key: str, limit: int | None = 500, blanks: bool = False) -> DataFrame:
+    """(n, text): the first non-blank values by key, a line each; with blanks, those that are only white space too."""
+    said = name(column).cast("string")
+    kept = df.filter(said.isNotNull() & ((said if blanks else F.trim(said)) != "")).select(name(key).alias("k"), name(column).alias("v"))
     if limit is not None:
         kept = kept.orderBy("k").limit(limit)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"])
     return kept.agg(F.count("*").alias("n"), F.array_join(lines, "\n").alias("text"))
 
 
-def prompt(question: str | None, text: str) -> str:
-    """The question for a language model, with its context."""
-    return f"{question.strip() if question and question.strip() else QUESTION}\n\n{text}"
+def prompt(question: str | None, text: str, template: str = "service") -> str:
+    """The question for a language model, or the default one if it is blank, with its context."""
+    asked = question.strip() if question and question.strip() else QUESTION
+    return TEMPLATES[template].format(question=asked, context=text)
 
 
 def markdown_quote(column: Column) -> Column:

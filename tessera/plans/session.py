@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.session import name
+from tessera.functions.session import name, written
 from tessera.operators import association, chart, cluster, counts, filters, profile, reduce, text
 from tessera.operators.filters import FilterSpec
 from tessera.sources import files
@@ -32,7 +32,8 @@ class Session:
     def _hold(self, df: DataFrame, key: str | None) -> dict[str, Any]:
         # a new dataset makes earlier results void
         self.key = key or KEY
-        self.raw = df if key else df.withColumn(KEY, F.monotonically_increasing_id())
+        # numbered once: what joins on the numbers reads them, whatever is evaluated again
+        self.raw = df if key else written(df.withColumn(KEY, F.monotonically_increasing_id()), "rows")
         self.filtered, self.found = None, None
         return files.to_json(self.raw, self.key)
 
@@ -80,8 +81,11 @@ class Session:
         found["terms"] = terms
         if len(known) > 1:
             analyzed = [f"Analyzer_{c}" for c in known]
-            found["association"] = association.cramers_matrix(terms, analyzed)
-            found["importance"] = association.code_correlation(terms, analyzed[0], analyzed[1:])
+            plain = lambda c: F.replace(c, F.lit("Analyzer_"), F.lit("")).alias(c)
+            matrix = association.cramers_matrix(terms, analyzed)
+            found["association"] = matrix.select(*(plain(c) if c in ("col_a", "col_b") else c for c in matrix.columns))
+            rated = association.code_correlation(terms, analyzed[0], analyzed[1:])
+            found["importance"] = rated.select(*(plain(f.name) if f.dataType.simpleString() == "string" else f.name for f in rated.schema))
         self.found = found
         return found
 

@@ -49,7 +49,7 @@ def test_context_and_prompt(spark):
     df = spark.createDataFrame([(2, "b"), (1, "a"), (3, " "), (4, None), (5, "c")], "row_id long, s string")
     assert tuple(text.context(df, "s", "row_id", 2).first()) == (2, "a\nb")
     assert tuple(text.context(df, "s", "row_id", None).first()) == (3, "a\nb\nc")
-    assert text.prompt("  ", "x").startswith(text.QUESTION) and text.prompt("Why?", "x") == "Why?\n\nx"
+    assert text.prompt("  ", "x").startswith(text.QUESTION) and text.prompt("Why?", "x") == "Why?\nAnswer based on this context: x\n\n"
     shown = df.limit(1).select(text.markdown_quote(text.F.lit("• a\nb")), text.last_part(text.F.lit("a.b.c"))).first()
     assert tuple(shown) == (">   * a\n> b", "c")
 

@@ -146,9 +146,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of = lambda which, w: F.struct(F.lit(which).alias("of"), F.col(w).alias("w"))
     entries = F.when(F.col("wo") == F.col("we"), F.array(of(BOTH, "wo"))).otherwise(F.array(of(OWN, "wo"), of(EDITED, "we")))
     entries = weights.select(*keys, "h", F.explode(entries).alias("x")).select(*keys, "h", "x.of", "x.w").filter("w > 0")
-    # each term and weight of a bucket is drawn once, for all that have it there
-    shared = entries.groupBy("h", "w", "bucket").agg(F.collect_list(F.struct("row", "of")).alias("at"))
-    drawn = shared.select("bucket", "at", F.array(*map(_sample, range(samples))).alias("x"))
+    # each term and weight of a bucket is drawn once, for all that have it there; draws made in a projection after the
+    # grouping would be fused with the explode and made again for every element of at
+    at, draws = F.collect_list(F.struct("row", "of")), F.array(*map(_sample, range(samples)))
+    drawn = entries.groupBy("h", "w", "bucket").agg(at.alias("at"), draws.alias("x"))
     dealt = drawn.select("bucket", F.explode("at").alias("at"), "x").select("bucket", "at.row", "at.of", "x")
     least = dealt.groupBy(*keys, "of").agg(*(F.min(F.get("x", F.lit(k))).alias(f"m{k}") for k in range(samples)))
     least = least.select(*keys, "of", F.array(*(f"m{k}" for k in range(samples))).alias("m"))

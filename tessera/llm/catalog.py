@@ -13,10 +13,13 @@ from tessera.llm.mixing import mixed
 from tessera.llm.packing import pack
 from tessera.llm.pii import BASE, KINDS, counted, find, shown
 from tessera.llm.quality import COUNTS, quality
+from tessera.llm.resampling import resample
 from tessera.llm.simhash import near_duplicates
+from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.token_counts import token_counts
 from tessera.llm.warc import archived
 from tessera.llm.weighted_sampling import fingerprints as sampled
+from tessera.llm.whitening import whiten
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +92,26 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five in a hundred of the documents, drawn by importance towards the benchmark's texts."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without the 13-word windows that earlier ones have."""
+    return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sound embeddings on up to 32 principal components, with unit variance: a row for each component."""
+    found = whiten(table(spark, sf_dir, "embeddings"))
+    rows = found.select("vec_id", F.posexplode("white").alias("at", "whitened"), "n", "deviation", "explained", "identity_error")
+    return rows.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "whitened",
+        F.get("explained", F.col("at")).alias("explained"), "identity_error",
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
@@ -100,6 +123,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_fingerprints": op9_fingerprints,
     "op10_html_text": op10_html_text,
+    "op11_resampling": op11_resampling,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_whitening": op13_whitening,
 }
 
 OP4_SQL = r"""
@@ -137,4 +163,16 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
 FROM p LEFT JOIN f USING (d)
 """
 
-SQL = {"op4_mixing": OP4_SQL, "op7_warc": OP7_SQL}
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, list_transform(generate_series(1, len(w) - 12), lambda i: array_to_string(w[i:i+12], ' ')) AS s FROM d),
+k AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM g),
+m AS (SELECT s, min(doc_id) AS f FROM k GROUP BY s),
+r AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS i FROM k JOIN m USING (s) WHERE f < doc_id),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+l AS (SELECT doc_id, count(*) AS n_left, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN r USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n_left, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id)
+"""
+
+SQL = {"op4_mixing": OP4_SQL, "op7_warc": OP7_SQL, "op12_substring_dedup": OP12_SQL}

@@ -1,15 +1,15 @@
-"""Clusters of vectors: k-means, and density clusters of varying density with noise."""
+"""Clusters of vectors: k-means, and density clusters of any density with noise."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.components import components
-from tessera.functions.session import written
+from tessera.functions.ranks import numbered
+from tessera.functions.session import scratch, written
+from tessera.operators.hierarchy import highest_chosen, merged, tree_edges
 from tessera.operators.reduce import neighbours
 
 
@@ -20,69 +20,33 @@ def kmeans(vectors: DataFrame, k: int = 8, seed: int = 42, max_iter: int = 20) -
     return fitted.transform(data).select("id", F.col("prediction").alias("label"))
 
 
-def density(vectors: DataFrame, min_cluster_size: int = 15, min_samples: int | None = None, levels: int = 6) -> DataFrame:
-    """(id, label): clusters kept where they are most stable over a ladder of densities; -1 is noise.
+def density(vectors: DataFrame, min_cluster_size: int = 15, min_samples: int | None = None) -> DataFrame:
+    """(id, label) of vectors (id, v), ids being whole numbers: hierarchical density clusters, -1 is noise.
 
-    Distances are mutual reachabilities over the graph of nearest neighbours: the
-    greatest of a pair's distance and both ends' distances to their min_samples-th
-    neighbour; one row of each dense group is tied to those of its nearest others. At each of `levels` thresholds in even ratios the components of
-    at least min_cluster_size are clusters, nested from level to level. A cluster
-    is worth its rows times the density range it lasts; going up, it replaces the
-    clusters within it if it is worth more than they are together. Labels
-    follow each cluster's least id.
+    Two points are tied at their mutual reachability: the greatest of their
+    distance and both ends' distances to their min_samples-th neighbour (default: min_cluster_size; the farthest where there are fewer).
+    As that distance grows, groups of min_cluster_size points and more appear as clusters and
+    merge; of each branch of that tree the clusters are kept that are most stable: the sum
+    over their points of 1/distance where the point joins, less 1/distance where the cluster merges. A cluster
+    that holds all points is never one. Labels follow each cluster's least id.
+
+    Every merge counts. Exact distances to all others are taken, whose work grows with the
+    square of the rows: explore a selection. Points of null vectors are noise.
     """
     k = min_samples or min_cluster_size
-    near = neighbours(vectors, k)
-    core = near.groupBy("i").agg(F.max("d").alias("core"))
-    other = core.select(F.col("i").alias("j"), F.col("core").alias("core_j"))
-    edges = near.join(core, "i").join(other, "j").select(
-        F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b"), F.greatest("d", "core", "core_j").alias("w")
-    )
-    edges = written(edges.groupBy("a", "b").agg(F.min("w").alias("w")), "reach")
-    # dense groups have no edges between them: tie one row of each to those of the nearest others
-    mid = edges.agg(F.percentile_approx("w", 0.5, 10_000)).first()[0]
-    if mid is not None:
-        dense = components(edges.filter(F.col("w") <= mid).select("a", "b")).groupBy("root").agg(F.count("*").alias("n"))
-        heads = written(dense.filter(F.col("n") >= min_cluster_size - 1).select(F.col("root").alias("id")), "heads")
-        ties = neighbours(vectors.join(heads, "id"), k).select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b"), F.col("d").alias("w"))
-        edges = written(edges.union(ties).groupBy("a", "b").agg(F.min("w").alias("w")), "tied")
-    low, high = edges.agg(F.percentile_approx("w", 0.1, 10_000), F.max("w")).first()
-    cuts = [] if low is None else sorted({float(c) for c in np.geomspace(max(low, 1e-9), max(high, 1e-9), levels)})
-    ids = written(vectors.select("id"), "ids")
-    kept = best = None
-    for n, cut in enumerate(cuts):
-        found = components(edges.filter(F.col("w") <= cut).select("a", "b"))
-        everyone = found.union(found.select("root", "root")).distinct()
-        big = everyone.groupBy("root").agg(F.count("*").alias("size")).filter(F.col("size") >= min_cluster_size)
-        upper = cuts[n + 1] if n + 1 < len(cuts) else 2 * cut
-        worth = big.select("root", (F.col("size") * (1 / max(cut, 1e-12) - 1 / max(upper, 1e-12))).alias("worth"))
-        members = written(everyone.join(worth, "root").select(F.col("node").alias("id"), F.col("root").alias("cluster"), "worth"), "level")
-        if kept is None:
-            kept = members.select("id", "cluster")
-            fresh = members.select("cluster", F.col("worth").alias("own"), F.lit(None).cast("double").alias("inner")).distinct()
-            best = written(fresh, "best")
-            continue
-        # the clusters within each cluster, found by their roots
-        child = best.select(F.col("cluster").alias("child"), F.col("own").alias("child_own"), F.col("inner").alias("child_inner"))
-        within = child.join(members.select("id", "cluster"), child.child == F.col("id")).groupBy("cluster").agg(
-            F.count("*").alias("n"), F.sum(F.greatest("child_own", F.coalesce("child_inner", F.lit(0.0)))).alias("sum"),
-            F.max("child_own").alias("child_own"), F.max("child_inner").alias("child_inner"),
-        )
-        # with one cluster within, it is that cluster that goes on: its worth grows, what is within stays
-        judged = members.select("cluster", "worth").distinct().join(within, "cluster", "left").select(
-            "cluster",
-            (F.col("worth") + F.when(F.col("n") == 1, F.col("child_own")).otherwise(F.lit(0.0))).alias("own"),
-            F.when(F.col("n") == 1, F.col("child_inner")).when(F.col("n") > 1, F.col("sum")).alias("inner"),
-        )
-        best = written(judged, "best")
-        takes = best.filter("inner IS NULL OR own > inner").select("cluster")
-        taken = members.join(takes, "cluster", "left_semi").select("id", "cluster")
-        kept = written(taken.union(kept.join(taken.select("id"), "id", "left_anti").select("id", "cluster")), "kept")
-    if kept is None:
-        return ids.withColumn("label", F.lit(-1))
-    first = kept.groupBy("cluster").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter(F.col("n") >= min_cluster_size)
-    numbered = first.select("cluster", (F.row_number().over(Window.orderBy("first")) - 1).alias("label"))
-    return ids.join(kept.join(numbered, "cluster"), "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
+    spark = vectors.sparkSession
+    with scratch(spark) as keep:
+        rows = written(vectors.filter("v IS NOT NULL").select("id", "v"), "points")
+        near = neighbours(rows, k)
+        core = near.groupBy("i").agg(F.max("d").alias("core"))
+        points = written(rows.join(core, F.col("id") == F.col("i"), "left").select("id", "v", F.coalesce("core", F.lit(0.0)).alias("core")), "cores")
+        homes, clusters = merged(points.select("id"), tree_edges(points), min_cluster_size)
+        chosen = highest_chosen(clusters)
+        kept = written(homes.join(chosen, F.col("cluster") == F.col("node")).select("id", "best"), "kept")
+        first = kept.groupBy("best").agg(F.min("id").alias("first"))
+        labels = numbered(first, [F.asc("first")], "label").select("best", F.col("label").cast("int").alias("label"))
+        found = vectors.select("id").join(kept.join(labels, "best").select("id", "label"), "id", "left")
+        return keep(found.select("id", F.coalesce("label", F.lit(-1)).alias("label")), "labels")
 
 
 def cluster(vectors: DataFrame, method: str = "hdbscan", **options) -> DataFrame:

@@ -1,0 +1,88 @@
+import random
+from hashlib import sha256
+
+import pytest
+
+from tessera.llm import catalog
+from tessera.llm.substring_dedup import ANCHOR, COVER, PERIOD, WINDOW, substring_dedup
+
+from .helpers import clashing, docs, records, sample_rows
+
+COLUMNS = ("doc_id", "n_words", "n_removed", "kept_sha256", "kept")
+
+
+def plain(rows, window=WINDOW):
+    first = {}
+    split = [(i, (t or "").encode().split()) for i, t in rows]
+    for i, words in split:
+        for k in range(len(words) - window + 1 if i is not None else 0):
+            key = tuple(words[k : k + window])
+            first[key] = min(i, first.get(key, i))
+    found = []
+    for i, words in split:
+        gone = set()
+        for k in range(len(words) - window + 1 if i is not None else 0):
+            if first[tuple(words[k : k + window])] < i:
+                gone.update(range(k, k + window))
+        kept = b" ".join(w for k, w in enumerate(words) if k not in gone)
+        found.append((i, len(words), len(gone), sha256(kept).hexdigest(), kept.decode()))
+    return sorted(found, key=repr)
+
+
+def shared_passages():
+    """Documents with common passages at all offsets to each other, chains, copies, and runs of one word."""
+    rng = random.Random(3)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = sample_rows()
+    passage = fresh(40)
+    for k in range(40):  # every offset, every length around the window's
+        n = rng.choice([11, 12, 13, 14, 20, 26, 40])
+        at = rng.randrange(40 - n + 1)
+        rows.append((1000 + k, " ".join(fresh(rng.randrange(15)) + passage[at : at + n] + fresh(rng.randrange(30))), "s"))
+    for shift in range(14):  # just one window, shifted by each residue
+        rows.append((1100 + shift, " ".join(fresh(shift) + passage[3:16] + fresh(5)), "s"))
+    rows += [(1200 + k, "la " * (10 + k), "s") for k in range(6)]  # windows that overlap themselves
+    chain = fresh(60)
+    rows += [(1300 + k, " ".join(chain[5 * k : 5 * k + 25]), "s") for k in range(7)]
+    rows += [(5, " ".join(passage), "s"), (5, " ".join(passage) + " end", "s"), (None, " ".join(passage), "s"), (9999, rows[0][1], "s"), (9998, rows[0][1], "s")]
+    return rows
+
+
+def test_cover_gives_every_residue():
+    assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
+    assert PERIOD - 1 + ANCHOR == WINDOW
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 23, 2000])
+def test_equals_brute_force(spark, part_bytes):
+    rows = shared_passages()
+    found = substring_dedup(clashing(docs(spark, rows)), part_bytes=part_bytes)
+    assert found.columns == list(COLUMNS)
+    assert records(found, *COLUMNS) == plain([r[:2] for r in rows])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("parts_")]
+
+
+@pytest.mark.parametrize("window", [7, 20])
+def test_other_windows(spark, window):
+    rows = shared_passages()
+    assert records(substring_dedup(docs(spark, rows), window=window, part_bytes=4000), *COLUMNS) == plain([r[:2] for r in rows], window)
+    with pytest.raises(ValueError):
+        substring_dedup(docs(spark, rows), window=6)
+
+
+def test_ids_of_text(spark):
+    rows = [(chr(97 + k % 26) + str(k), t) for k, (_, t, _) in enumerate(shared_passages())]
+    df = spark.createDataFrame(rows, "name string, body string")
+    assert records(substring_dedup(df, "name", "body", part_bytes=4000), *COLUMNS) == plain(rows)
+
+
+def test_query_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    assert records(catalog.op12_substring_dedup(spark, folder), *COLUMNS[:4]) == [x[:4] for x in plain(rows)]
+
+
+def test_empty_tables(spark):
+    assert substring_dedup(docs(spark, [])).count() == 0
+    blank = [(1, None, "s"), (2, "", "s"), (None, None, "s"), (3, " \n\t ", "s")]
+    assert [r[1:] for r in records(substring_dedup(docs(spark, blank)), *COLUMNS)] == [(0, 0, sha256(b"").hexdigest(), "")] * 4

@@ -30,10 +30,18 @@ from tessera.llm.simhash import BUCKET, TILE
 SAMPLE, OFTEN, MOST = 20_000, 20, 100_000  # for the order only: sampled texts, how many make a shingle frequent, how many are kept
 LANES = 32  # 64-bit words of a fingerprint
 
-# Two sets of Jaccard similarity 0.8 have a cosine of 8/9, so that each bit differs with a probability of 0.152: of 2048
-# bits 311 differ, with a standard deviation of 16.2. Five deviations up: a pair beyond RADIUS is similar with a
-# probability under 1e-6.
-RADIUS = 392
+# Two large sets of Jaccard similarity 0.8 have a cosine of 8/9, so that each bit differs with a probability of
+# arccos(8/9) / pi = 0.1515. In small sets ties and the steps of their sizes add to it: the exact probability, a
+# sum over binomials for both sizes, is under 0.1515 + 0.15 / n for every n up to 600, n being the smaller size (the
+# tests sum it up). The radius is five standard deviations above that, so that a pair beyond it is similar with
+# a probability under 1e-6.
+DIFFERS, MORE = 0.1515, 0.15
+
+
+def radius_of(n: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """How many bits the fingerprints of similar sets may differ in, the smaller one having n shingles."""
+    p = DIFFERS + MORE / np.maximum(n, 1)
+    return np.ceil(64 * lanes * p + 5 * np.sqrt(64 * lanes * p * (1 - p))).astype(np.int64)
 
 
 def shingle_set(text: bytes | None, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -172,17 +180,20 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(kept) if kept else np.empty(0, dtype=np.int64)
 
 
-def _tiles(left: tuple, right: tuple | None, radius: int, tenths: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and differing bits of pairs within the radius, of sizes that allow the similarity and with different roots, tile by tile.
+def _tiles(left: tuple, right: tuple | None, tenths: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and differing bits of pairs within their radius, of sizes that allow the similarity and with different roots, tile by tile.
 
     A side is (fingerprints as rows of lanes, sizes, roots), ordered by population count.
     """
     other = left if right is None else right
     counts = [np.bitwise_count(side[0]).sum(axis=1, dtype=np.int64) for side in (left, other)]
+    radii = [radius_of(side[1]) for side in (left, other)]
     rows, cols, far = [], [], []
     for i in range(0, len(left[0]), TILE):
         a, low, high = left[0][i : i + TILE], counts[0][i], counts[0][min(i + TILE, len(left[0])) - 1]
         for j in range(i if right is None else 0, len(other[0]), TILE):
+            near_by = np.maximum(radii[0][i : i + TILE][:, None], radii[1][j : j + TILE][None, :])  # that of the smaller set
+            radius = near_by.max()
             if counts[1][j] - high > radius or low - counts[1][min(j + TILE, len(other[0])) - 1] > radius:
                 continue
             b = other[0][j : j + TILE]
@@ -190,7 +201,7 @@ def _tiles(left: tuple, right: tuple | None, radius: int, tenths: int) -> tuple[
             for lane in range(a.shape[1]):
                 bits += np.bitwise_count(a[:, None, lane] ^ b[None, :, lane])
             m, n = left[1][i : i + TILE][:, None], other[1][j : j + TILE][None, :]
-            near = (bits <= radius) & (10 * m >= tenths * n) & (10 * n >= tenths * m)
+            near = (bits <= near_by) & (10 * m >= tenths * n) & (10 * n >= tenths * m)
             near &= left[2][i : i + TILE][:, None] != other[2][j : j + TILE][None, :]
             if right is None and i == j:
                 near = np.triu(near, 1)
@@ -202,7 +213,7 @@ def _tiles(left: tuple, right: tuple | None, radius: int, tenths: int) -> tuple[
     return tuple(map(np.concatenate, (rows, cols, far))) if rows else (empty, empty, empty)
 
 
-def _within(members: DataFrame, radius: int, tenths: int, forest: bool) -> DataFrame:
+def _within(members: DataFrame, tenths: int, forest: bool) -> DataFrame:
     """Pairs (a, b) of nodes of members within the radius, or their least spanning forest.
 
     members: (crowd, side, node, n, root, fp, before), before being the crowds in
@@ -227,7 +238,7 @@ def _within(members: DataFrame, radius: int, tenths: int, forest: bool) -> DataF
                     continue
                 left, ours, met = side(l.values)
                 right, theirs, also = side(r.values) if len(r.values) else (left, None, met)
-                i, j, bits = _tiles(ours, theirs, radius, tenths)
+                i, j, bits = _tiles(ours, theirs, tenths)
                 if forest and len(i):
                     order = np.argsort(bits, kind="stable")
                     i, j = i[order], j[order]
@@ -251,7 +262,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b")
 
 
-def _links(found: DataFrame, texts: DataFrame, width: int, tenths: int, radius: int, bucket: int) -> DataFrame:
+def _links(found: DataFrame, texts: DataFrame, width: int, tenths: int, bucket: int) -> DataFrame:
     """Edges (a, b) that connect all nodes that pairs of similar sets connect."""
     nodes = found.groupBy("node").agg(F.min("mark").alias("mark"), F.first("keys").alias("keys"))
     crowds = _crowds(nodes, bucket)
@@ -264,7 +275,7 @@ def _links(found: DataFrame, texts: DataFrame, width: int, tenths: int, radius:
     members = crowds.join(prints, "node")
     none = F.array().cast("array<bigint>")
     alone = members.withColumns({"root": F.col("node"), "before": none})
-    first = written(_within(alone, radius, tenths, forest=True), "pairs")
+    first = written(_within(alone, tenths, forest=True), "pairs")
     edges = written(_confirmed(first, sets, tenths), "similar")
 
     rooted = members.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -274,13 +285,13 @@ def _links(found: DataFrame, texts: DataFrame, width: int, tenths: int, radius:
     met = mixed.filter("side = 0").groupBy("node").agg(F.collect_list("crowd").alias("met"))
     earlier = F.filter(F.coalesce("met", none), lambda c: c < F.col("crowd"))
     rest = mixed.join(met, "node", "left").withColumn("before", earlier)
-    rest = written(_within(rest, radius, tenths, forest=False), "pairs")
+    rest = written(_within(rest, tenths, forest=False), "pairs")
     return edges.union(_confirmed(rest, sets, tenths))
 
 
 def one_of_similar(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, tenths: int = 8,
-    radius: int = RADIUS, bucket: int = BUCKET,
+    bucket: int = BUCKET,
 ) -> DataFrame:
     """One row of docs for each component of similar texts, with its columns as they are: that of the smallest id.
 
@@ -290,7 +301,8 @@ def one_of_similar(
     other. Rows that share an id are one document, of which one row stays (the
     one with the least digest of its text, then of its other columns); rows with null ids
     stay only in components that have no other id. The radius is for tenths of 8
-    and 2048 bits.
+    and 2048 bits. Sets are named by 64 bits of their digest: texts of one name count as
+    having the same set.
     """
     spark = docs.sparkSession
     key, digest = fresh(docs, "id", "mark")
@@ -298,7 +310,7 @@ def one_of_similar(
     texts = docs.select(name(id_col).alias("id"), mark.alias("mark"), name(text_col).cast("binary").alias("text"))
     with scratch(spark) as keep, batches_of(spark, 256):
         found = written(_prefixes(texts, width, tenths), "prefixes")
-        roots = components(_links(found, texts, width, tenths, radius, bucket))
+        roots = components(_links(found, texts, width, tenths, bucket))
         rows = found.groupBy("id", "mark", "node").agg(F.count("*").alias("times")).join(roots, "node", "left")
         rows = written(rows.select("id", "mark", "times", F.coalesce("root", "node").alias("root")), "rows")
         order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")

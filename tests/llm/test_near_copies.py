@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from tessera.llm.near_copies import RADIUS, one_of_similar, shingle_set, spanning, wide_simhash
+from tessera.llm.near_copies import DIFFERS, MORE, one_of_similar, radius_of, shingle_set, spanning, wide_simhash
 
 from .helpers import clashing, docs, records, sample_rows
 
@@ -89,22 +90,51 @@ def test_a_forest_connects_what_all_pairs_connect(pairs):
     assert roots(kept) == (len(kept), roots(np.arange(len(i)))[1])
 
 
+def over(n, limit):
+    """The probability of more than `limit` heads in n throws, for each limit."""
+    heads = np.array([math.comb(n, k) for k in range(n + 1)], dtype=float) / 2.0**n
+    below = np.concatenate([[0.0], np.cumsum(heads)])
+    return 1 - below[np.clip(np.floor(limit).astype(int) + 1, 0, n + 1)]
+
+
+def test_radius_is_above_the_exact_probability():
+    for a in [*range(1, 61), 100, 101, 150, 300]:
+        for b in range(a, 5 * a // 4 + 1):
+            common = -(-8 * (a + b) // 18)  # the least that is similar enough
+            x = np.arange(common + 1)
+            heads = np.array([math.comb(common, k) for k in x], dtype=float) / 2.0**common
+            one, two = over(a - common, a / 2 - x), over(b - common, b / 2 - x)
+            p = float((heads * (one * (1 - two) + two * (1 - one))).sum())
+            assert p <= DIFFERS + MORE / a, (a, b)
+
+
 def test_radius_holds_what_is_similar():
     rng = random.Random(8)
     beyond = 0
-    for _ in range(300):
-        n = rng.randint(20, 300)
+    for k in range(1200):
+        n = 1 + k % 60 if k < 900 else rng.randint(61, 300)
         both = rng.sample(range(2**62), n)
-        swapped = rng.randint(n // 12, n // 3)
+        swapped = n // 9 if k % 2 else rng.randint(0, n // 3)
         other = both[swapped:] + rng.sample(range(2**62), swapped)
         a, b = (np.sort(np.array(x, dtype="<i8")) for x in (both, other))
         bits = sum((x ^ y).bit_count() for x, y in zip(wide_simhash(a), wide_simhash(b), strict=True))
         similar = 10 * (n - swapped) >= 8 * (n + swapped)
-        beyond += similar and bits > RADIUS
+        beyond += similar and bits > radius_of(n)
     assert beyond == 0
     assert wide_simhash(shingle_set(None)) == bytes(256)
 
 
+def test_short_texts_meet(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(200):  # 4 and 5 shingles, a similarity of 0.8
+        words = [f"w{rng.randrange(10**9)}" for _ in range(9)]
+        rows += [(2 * k, " ".join(words[:8]), "s"), (2 * k + 1, " ".join(words), "s")]
+    assert [r[0] for r in records(one_of_similar(docs(spark, rows)), "doc_id")] == sorted(range(0, 400, 2), key=repr)
+    small = [(k, " ".join(f"x{c}" for c in range(k % 12)), "s") for k in range(40)]
+    assert [r[0] for r in records(one_of_similar(docs(spark, small)), "doc_id")] == plain_heads(small)
+
+
 def test_rows_of_one_id_and_text(spark):
     text = "the very same words stand here in each of these rows"
     rows = [(1, text, "b"), (1, text, "a"), (2, text, "c"), (None, text, "d"), (None, "nobody else has these words at all", "x"), (None, "nobody else has these words at all", "y"), (7, None, "z"), (7, "", "z")]

@@ -6,16 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.session import batches_of, written
+from tessera.functions.session import written
+from tessera.operators import metric
 
-GRID = 32  # cells a side that repulsion is summed over
+CELLS = 1089  # that repulsion is summed over
 
 
 def pca(vectors: DataFrame, k: int = 2) -> DataFrame:
@@ -30,55 +30,19 @@ def pca(vectors: DataFrame, k: int = 2) -> DataFrame:
     return fitted.transform(data).select("id", vector_to_array("p").alias("p")).select("id", F.array(*columns).alias("reduced"))
 
 
-def neighbours(vectors: DataFrame, k: int, block: int = 1000) -> DataFrame:
-    """(i, j, d, rank): the k nearest others of each vector, exactly; a task holds two blocks of vectors at a time.
+def neighbours(vectors: DataFrame, k: int, block: int = 1000, exact: bool = True) -> DataFrame:
+    """(i, j, d, rank): the k nearest others of each vector, exactly, or with a measured recall of 0.9 and more."""
+    return metric.nearest(vectors, k, block) if exact else metric.descended(vectors, k)
 
-    Work grows with the square of the vectors, so explore a selection of rows.
-    """
-    n = max(1, -(-vectors.count() // block))
-    placed = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("at"))
-    every = F.sequence(F.lit(0), F.lit(n - 1))
-    roles = F.concat(
-        F.transform(every, lambda o: F.struct(F.col("at").alias("x"), o.alias("y"), F.lit(True).alias("asks"))),
-        F.transform(every, lambda o: F.struct(o.alias("x"), F.col("at").alias("y"), F.lit(False).alias("asks"))),
-    )
-    dealt = placed.select("id", "v", F.explode(roles).alias("r")).select("id", "v", "r.*")
-    groups = dealt.groupBy("x", "y").agg(
-        F.collect_list(F.when(F.col("asks"), F.struct("id", "v"))).alias("l"),
-        F.collect_list(F.when(~F.col("asks"), F.struct("id", "v"))).alias("r"),
-    )
-    kind = vectors.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of = batch.schema.field(0).type.value_type.field("id").type
-            for l, r in zip(batch.column(0), batch.column(1), strict=True):  # noqa: E741
-                if not len(l) or not len(r):
-                    continue
-                a, b = np.array([x["id"] for x in l.as_py()]), np.array([x["id"] for x in r.as_py()])
-                x, y = (np.array([z["v"] for z in side.as_py()], dtype=float) for side in (l, r))
-                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
-                d[a[:, None] == b[None, :]] = np.inf
-                top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                near = np.take_along_axis(d, top, 1)
-                keep = np.isfinite(near)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(a, top.shape[1])[keep.ravel()], of), pa.array(b[top][keep], of), pa.array(near[keep])], ["i", "j", "d"]
-                )
-
-    found = groups.select("l", "r").mapInArrow(run, f"i {kind}, j {kind}, d double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k)
-    with batches_of(vectors.sparkSession, 1):  # a row is two blocks; no job after this one is bound to it
-        return written(ranked, "neighbours")
-
-
-def layout(vectors: DataFrame, n_neighbors: int = 15, min_dist: float = 0.1, epochs: int = 12) -> DataFrame:
-    """(id, reduced): two coordinates that keep neighbours together, from a fuzzy neighbour graph.
-
-    Edges attract; repulsion is summed over the occupied cells of a grid in place
+
+def layout(vectors: DataFrame, n_neighbors: int = 15, min_dist: float = 0.1, epochs: int = 12, n_components: int = 2, exact: bool = False) -> DataFrame:
+    """(id, reduced): n_components coordinates that keep neighbours together, from a fuzzy neighbour graph.
+
+    The graph comes from lists with a measured recall of 0.9 and more, or exact ones.
+    Edges attract; repulsion is summed over the occupied cells of a grid of at most CELLS in place
     of sampled points, so that reruns agree. Starts from the principal components.
     """
-    near = neighbours(vectors, n_neighbors)
+    near = neighbours(vectors, n_neighbors, exact=exact)
     target = float(np.log2(max(2, n_neighbors)))
     lists = near.groupBy("i").agg(F.min("d").alias("rho"), F.array_sort(F.collect_list(F.struct("d", "j"))).alias("near"))
     fill = lambda s: F.aggregate("near", F.lit(0.0), lambda t, x: t + F.exp(-F.greatest(x["d"] - F.col("rho"), F.lit(0.0)) / s))
@@ -99,52 +63,52 @@ def layout(vectors: DataFrame, n_neighbors: int = 15, min_dist: float = 0.1, epo
     xs = np.linspace(0.001, 3, 300)
     want = np.where(xs < min_dist, 1.0, np.exp(-(xs - min_dist)))
     a, b = min(((a, b) for a in np.linspace(0.4, 2.5, 43) for b in np.linspace(0.6, 1.4, 41)), key=lambda t: ((1 / (1 + t[0] * xs ** (2 * t[1])) - want) ** 2).sum())
-    start = pca(vectors, 2)
-    span = start.agg(F.max(F.greatest(F.abs(F.get("reduced", 0)), F.abs(F.get("reduced", 1))))).first()[0] or 1.0
-    at = written(start.select("id", (F.get("reduced", 0) * (10 / span)).alias("x"), (F.get("reduced", 1) * (10 / span)).alias("y")), "places")
+    width = len(vectors.first()["v"]) if not vectors.isEmpty() else n_components
+    if width < n_components:
+        raise ValueError(f"vectors of length {width} have no {n_components} components")
+    start = pca(vectors, n_components)
+    axes = [f"x{c}" for c in range(n_components)]
+    span = start.agg(F.max(F.array_max(F.transform("reduced", F.abs)))).first()[0] or 1.0
+    at = written(start.select("id", *((F.get("reduced", c) * (10 / span)).alias(x) for c, x in enumerate(axes))), "places")
+    bins = max(2, int(CELLS ** (1 / n_components) + 1e-9))
+    binned = axes if bins**n_components <= CELLS else axes[: int(np.log2(CELLS))]  # many axes: the first ones, in halves
     for epoch in range(epochs):
         rate = 1.0 - epoch / epochs
-        box = at.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-        wx, wy = max(box[1] - box[0], 1e-9) / GRID, max(box[3] - box[2], 1e-9) / GRID
-        cells = at.groupBy(F.floor((F.col("x") - box[0]) / wx), F.floor((F.col("y") - box[2]) / wy)).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
-        held = cells.select("x", "y", "n").toPandas().to_numpy(dtype=float)  # (GRID + 1) squared rows at most
+        box = at.agg(*(f(x) for x in binned for f in (F.min, F.max))).first()
+        sides = [(x, box[2 * c], max(box[2 * c + 1] - box[2 * c], 1e-9) / bins) for c, x in enumerate(binned)]
+        # a coordinate at the upper end belongs to the last cell
+        cell = [F.least(F.floor((F.col(x) - low) / wide), F.lit(bins - 1)) for x, low, wide in sides]
+        cells = at.groupBy(*cell).agg(*(F.avg(x).alias(x) for x in axes), F.count("*").alias("n"))
+        held = cells.select(*axes, "n").toPandas().to_numpy(dtype=float)  # CELLS rows at most
 
         def push(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            total = held[:, 2].sum()
+            total = held[:, -1].sum()
             for batch in batches:
-                dx = batch["x"].to_numpy()[:, None] - held[:, 0]
-                dy = batch["y"].to_numpy()[:, None] - held[:, 1]
-                d2 = dx * dx + dy * dy
-                force = 5 * n_neighbors * held[:, 2] / total * 2 * b / ((0.1 + d2) * (1 + a * d2**b))
-                yield batch.assign(dx=np.clip((force * dx).sum(1), -4, 4), dy=np.clip((force * dy).sum(1), -4, 4))
-
-        pushed = at.mapInPandas(push, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in at.schema)}, dx double, dy double")
-        ends = edges.join(at.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi")), "i").join(
-            at.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj")), "j"
+                d = batch[axes].to_numpy()[:, None, :] - held[None, :, :-1]
+                d2 = (d * d).sum(axis=2)
+                force = 5 * n_neighbors * held[:, -1] / total * 2 * b / ((0.1 + d2) * (1 + a * d2**b))
+                moves = np.clip((force[:, :, None] * d).sum(axis=1), -4, 4)
+                yield batch.assign(**{f"d{x}": moves[:, c] for c, x in enumerate(axes)})
+
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in at.schema)
+        pushed = at.mapInPandas(push, f"{kinds}, {', '.join(f'd{x} double' for x in axes)}")
+        ends = edges.join(at.select(F.col("id").alias("i"), *(F.col(x).alias(f"i{x}") for x in axes)), "i").join(
+            at.select(F.col("id").alias("j"), *(F.col(x).alias(f"j{x}") for x in axes)), "j"
         )
-        dx, dy = F.col("xj") - F.col("xi"), F.col("yj") - F.col("yi")
-        d2 = dx * dx + dy * dy
+        d2 = sum((F.pow(F.col(f"j{x}") - F.col(f"i{x}"), 2) for x in axes), F.lit(0.0))
         force = F.col("p") * (2 * float(a) * float(b)) * F.pow(d2 + 1e-9, F.lit(float(b) - 1)) / (1 + float(a) * F.pow(d2 + 1e-9, F.lit(float(b))))
-        pulled = ends.groupBy(F.col("i").alias("id")).agg(F.sum(force * dx).alias("px"), F.sum(force * dy).alias("py"))
-        moved = pushed.join(pulled, "id", "left")
+        pulled = ends.groupBy(F.col("i").alias("id")).agg(*(F.sum(force * (F.col(f"j{x}") - F.col(f"i{x}"))).alias(f"p{x}") for x in axes))
         clip = lambda c: F.least(F.greatest(c, F.lit(-4.0)), F.lit(4.0))
-        at = written(
-            moved.select(
-                "id",
-                (F.col("x") + rate * clip(F.col("dx") * 0.1 + 0.1 * F.coalesce("px", F.lit(0.0)))).alias("x"),
-                (F.col("y") + rate * clip(F.col("dy") * 0.1 + 0.1 * F.coalesce("py", F.lit(0.0)))).alias("y"),
-            ),
-            "places",
-        )
-    return at.select("id", F.array("x", "y").alias("reduced"))
+        moved = pushed.join(pulled, "id", "left")
+        step = [(F.col(x) + rate * clip(F.col(f"d{x}") * 0.1 + 0.1 * F.coalesce(f"p{x}", F.lit(0.0)))).alias(x) for x in axes]
+        at = written(moved.select("id", *step), "places")
+    return at.select("id", F.array(*axes).alias("reduced"))
 
 
 def reduce_dimensions(vectors: DataFrame, method: str = "umap", n_components: int = 2, **options) -> DataFrame:
-    """(id, reduced) by pca or umap (the neighbour-graph layout, two components)."""
+    """(id, reduced) by pca or umap (the neighbour-graph layout)."""
     if method == "pca":
         return pca(vectors, n_components)
     if method == "umap":
-        if n_components != 2:
-            raise ValueError("the layout has two components")
-        return layout(vectors, **options)
+        return layout(vectors, n_components=n_components, **options)
     raise ValueError(f"unknown method {method!r}")

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.session import batches_of, name, written
+from tessera.functions.session import batches_of, name, scratch, written
+from tessera.operators import metric
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 STOP_WORDS = (
@@ -99,40 +100,36 @@ def cosine(a: Column, b: Column) -> Column:
 def cosine_pairs(vectors: DataFrame, least: float, block: int = 1000) -> DataFrame:
     """(i, j, cosine) with i < j of vectors (id, v) at or above a similarity.
 
-    Vectors are dealt to blocks by hash, and every pair of blocks is one matrix
-    product in a task; nothing larger than two blocks meets anywhere.
+    Vectors lie in cells around pivots; by the triangle inequality of angles
+    most pairs of cells whose vectors cannot be that similar are never compared. Every other
+    pair of blocks is one matrix product in a task, and nothing larger than two blocks meets
+    anywhere. Vectors of zeros have a cosine of 0 with all.
     """
-    n = max(1, -(-vectors.count() // block))
-    placed = vectors.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.least(F.col("at"), k).alias("x"), F.greatest(F.col("at"), k).alias("y")))
-    dealt = placed.select("id", "v", "at", F.explode(others).alias("pair"))
-    groups = dealt.groupBy("pair").agg(
-        F.collect_list(F.when(F.col("at") == F.col("pair.x"), F.struct("id", "v"))).alias("l"),
-        F.collect_list(F.when(F.col("at") == F.col("pair.y"), F.struct("id", "v"))).alias("r"),
-    )
     kind = vectors.schema["id"].dataType.simpleString()
 
-    def side(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array([x["id"] for x in rows.as_py()])
-        m = np.array([x["v"] for x in rows.as_py()], dtype=float)
-        return ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = batch.schema.field(0).type.value_type.field("id").type
-            for l, r in zip(batch.column(0), batch.column(1), strict=True):  # noqa: E741
-                if not len(l) or not len(r):
-                    continue
-                (a, x), (b, y) = side(l), side(r)
-                near = x @ y.T
-                p, q = np.nonzero(near >= least - 1e-12)
-                lo, hi, s = np.minimum(a[p], b[q]), np.maximum(a[p], b[q]), near[p, q]
-                keep = lo < hi
-                yield pa.RecordBatch.from_arrays([pa.array(lo[keep], of), pa.array(hi[keep], of), pa.array(s[keep])], ["i", "j", "cosine"])
-
-    found = groups.select("l", "r").mapInArrow(run, f"i {kind}, j {kind}, cosine double")
-    with batches_of(vectors.sparkSession, 1):  # a row is two blocks; no job after this one is bound to it
-        return written(found.dropDuplicates(["i", "j"]), "cosines")
+            if not batch.num_rows:
+                continue
+            (a, x), (b, y) = metric.sides(batch, 0), metric.sides(batch, 1)
+            if not len(a):
+                continue
+            if not len(b):
+                b, y = a, x
+            near = metric.unit(x) @ metric.unit(y).T
+            p, q = np.nonzero(near >= least - 1e-12)
+            of, ids, others = a.type, a.to_numpy(zero_copy_only=False)[p], b.to_numpy(zero_copy_only=False)[q]
+            low, high, s = np.minimum(ids, others), np.maximum(ids, others), near[p, q]
+            keep = low < high
+            yield pa.RecordBatch.from_arrays([pa.array(low[keep], of), pa.array(high[keep], of), pa.array(s[keep])], ["i", "j", "cosine"])
+
+    # at a similarity of 0 and less zeros meet all, and no angle keeps cells apart
+    widest = np.inf if least <= 0 else float(np.arccos(min(1.0, least)))
+    with scratch(vectors.sparkSession) as keep:
+        placed = metric.cells(vectors if least <= 0 else vectors.filter(F.exists("v", lambda c: c != 0)), block, angular=True)
+        found = metric.block_pairs(placed, widest, block).mapInArrow(run, f"i {kind}, j {kind}, cosine double")
+        with batches_of(vectors.sparkSession, 1):  # a row is two blocks; no job after this one is bound to it
+            return keep(found.dropDuplicates(["i", "j"]), "cosines")
 
 
 def cosine_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:

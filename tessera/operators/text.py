@@ -68,16 +68,62 @@ def cluster_names(scores: DataFrame, top_n: int = 2) -> DataFrame:
     return top.groupBy("label").agg(F.array_join(F.transform(packed, lambda x: x["term"]), "-").alias("name"))
 
 
+def _segments(length: Column, count: int, k: int) -> tuple[Column, Column]:
+    """(start from 0, width) of part k of a text of that length, cut into so many parts, the longer ones last."""
+    base, longer = F.floor(length / count).cast("int"), (length % count).cast("int")
+    return k * base + F.greatest(F.lit(0), longer - (count - k)), base + F.when(longer >= count - k, 1).otherwise(0)
+
+
+def segment_keys(terms: DataFrame, distance: int) -> DataFrame:
+    """(label, term, n, k, part): each term of more than `distance` characters by its distance + 1 parts."""
+    n, count = F.length("term"), distance + 1
+    parts = []
+    for k in range(count):
+        start, width = _segments(n, count, k)
+        parts.append(F.struct(n.alias("n"), F.lit(k).alias("k"), F.substring("term", start + 1, width).alias("part")))
+    return terms.filter(n > distance).select("label", "term", F.explode(F.array(*parts)).alias("s")).select("label", "term", "s.*")
+
+
+def segment_probes(terms: DataFrame, distance: int) -> DataFrame:
+    """(label, term, n, k, part): where a part of a term of length n, not longer than this one, can stand within this one.
+
+    Of the parts before part k at least that many edits fall on a mismatch, so
+    that its shift is at most k, and by the same count from the end at most what is left.
+    """
+    m, count = F.length("term"), distance + 1
+    probes = []
+    for gap in range(distance + 1):
+        n = m - gap
+        for k in range(count):
+            start, width = _segments(n, count, k)
+            low, high = max(-k, gap - (distance - k)), min(k, gap + (distance - k))
+            for shift in range(low, high + 1):
+                at = start + shift
+                fits = (n > distance) & (at >= 0) & (at + width <= m)
+                probes.append(F.when(fits, F.struct(n.alias("n"), F.lit(k).alias("k"), F.substring("term", at + 1, width).alias("part"))))
+    found = terms.select("label", "term", F.explode(F.array_distinct(F.array_compact(F.array(*probes)))).alias("s"))
+    return found.select("label", "term", "s.*")
+
+
 def near_terms(terms: DataFrame, distance: int = 3) -> DataFrame:
     """(i, j, distance) with i < j of terms (label, term) within an edit distance.
 
-    Terms meet only in buckets of lengths that differ by at most the distance.
+    Of two terms within the distance, cut the one that is not longer into
+    distance + 1 parts: one part stands in the other as it is, not far from its place. Terms meet only on
+    such parts of a length and place; those of at most `distance` characters, which have no
+    such parts, meet the terms that are not too long. Null terms have no pairs.
     """
-    at = terms.select(F.col("label").alias("i"), F.col("term").alias("a"), F.length("term").alias("n"))
-    spread = terms.select(F.col("label").alias("j"), F.col("term").alias("b"), F.length("term").alias("m"))
-    spread = spread.withColumn("n", F.explode(F.sequence(F.col("m") - distance, F.col("m") + distance)))
-    found = at.join(spread, "n").filter("i < j").withColumn("distance", F.levenshtein("a", "b", distance))
-    return found.filter("distance >= 0").select("i", "j", "distance")
+    held = terms.select("label", "term").filter("term IS NOT NULL")
+    side = lambda df, a, b: df.select(F.col("label").alias(a), F.col("term").alias(b), *(c for c in ("n", "k", "part") if c in df.columns))
+    keys, probes = side(segment_keys(held, distance), "x", "a"), side(segment_probes(held, distance), "y", "b")
+    met = keys.join(probes, ["n", "k", "part"]).select("x", "a", "y", "b")
+    n = F.length("term")
+    short = side(held.filter(n <= distance).withColumn("n", F.explode(F.sequence(n, n + distance))), "x", "a")
+    met = met.union(short.join(side(held.filter(n <= 2 * distance).withColumn("n", n), "y", "b"), "n").select("x", "a", "y", "b"))
+    # the one that is not longer is cut: of two of one length each is, of which one will do
+    met = met.filter((F.length("a") < F.length("b")) & (F.col("x") != F.col("y")) | (F.length("a") == F.length("b")) & (F.col("x") < F.col("y")))
+    met = met.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "a", "b").dropDuplicates(["i", "j"])
+    return met.withColumn("distance", F.levenshtein("a", "b", distance)).filter("distance >= 0").select("i", "j", "distance")
 
 
 def term_vectors(terms: DataFrame, width: int = 3, dims: int = 256) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.session import name
+from tessera.functions.ranks import numbered
+from tessera.functions.session import fresh, name
 
 
 def value_counts(df: DataFrame, column: str, limit: int | None = None, null_as: str | None = None) -> DataFrame:
@@ -18,9 +19,10 @@ def value_counts(df: DataFrame, column: str, limit: int | None = None, null_as:
 
 def top_n_other(df: DataFrame, column: str, top_n: int = 32, other: str = "Other") -> DataFrame:
     """df with <column>_revised: the label if it is among the top_n, else other (nulls too)."""
-    top = value_counts(df, column, top_n).select(F.col("label").alias("__label"))
-    joined = df.join(F.broadcast(top), name(column) == F.col("__label"), "left")  # top_n rows at most
-    return joined.withColumn(f"{column}_revised", F.coalesce(F.col("__label").cast("string"), F.lit(other))).drop("__label")
+    label, = fresh(df, "label")
+    top = value_counts(df, column, top_n).select(F.col("label").alias(label))
+    joined = df.join(F.broadcast(top), name(column) == F.col(label), "left")  # top_n rows at most
+    return joined.withColumn(f"{column}_revised", F.coalesce(F.col(label).cast("string"), F.lit(other))).drop(label)
 
 
 def top_n_counts(df: DataFrame, column: str, top_n: int = 32, other: str = "Other") -> DataFrame:
@@ -41,32 +43,32 @@ def treemap(df: DataFrame, column: str, top_n: int = 32) -> DataFrame:
 def distribution(df: DataFrame, column: str, limit: int = 20, cap: int = 32) -> DataFrame:
     """(label, n, cluster_count, total): the top labels, nulls as '', with totals over all rows."""
     counts = df.groupBy(F.coalesce(name(column).cast("string"), F.lit("")).alias("label")).agg(F.count("*").alias("n"))
-    every = Window.partitionBy()
-    counts = counts.select(
-        "label", "n", F.least(F.lit(cap), F.count("*").over(every)).cast("long").alias("cluster_count"), F.sum("n").over(every).alias("total")
-    )
-    return counts.orderBy(F.desc("n"), "label").limit(limit)
+    totals = counts.agg(F.least(F.lit(cap), F.count("*")).cast("long").alias("cluster_count"), F.sum("n").alias("total"))
+    top = counts.orderBy(F.desc("n"), "label").limit(limit)
+    return top.join(F.broadcast(totals)).select("label", "n", "cluster_count", "total").orderBy(F.desc("n"), "label")  # one row
 
 
 def rank_clusters(df: DataFrame, column: str, top: int = 32, other: str = "Other") -> DataFrame:
     """df with cluster (rank of its label by count, -1 beyond the top) and term (the label or other)."""
-    ranked = value_counts(df, column, top, null_as="").withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1)
-    ranked = ranked.select(F.col("label").alias("__label"), "cluster")
-    joined = df.join(F.broadcast(ranked), F.coalesce(name(column).cast("string"), F.lit("")) == F.col("__label"), "left")
-    return joined.withColumn("term", F.coalesce("__label", F.lit(other))).withColumn("cluster", F.coalesce("cluster", F.lit(-1))).drop("__label")
+    label, place = fresh(df, "label", "place")
+    ranked = value_counts(df, column, top, null_as="")  # `top` rows at most
+    ranked = ranked.select(F.col("label").alias(label), (F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1).alias(place))
+    joined = df.join(F.broadcast(ranked), F.coalesce(name(column).cast("string"), F.lit("")) == F.col(label), "left")
+    return joined.withColumns({"term": F.coalesce(label, F.lit(other)), "cluster": F.coalesce(place, F.lit(-1))}).drop(label, place)
 
 
 def category_codes(df: DataFrame, column: str, null_as: str = "null") -> DataFrame:
     """(label, code): labels in order, nulls as a label, codes from 0."""
     labels = df.select(F.coalesce(name(column).cast("string"), F.lit(null_as)).alias("label")).distinct()
-    return labels.withColumn("code", F.row_number().over(Window.orderBy("label")) - 1)
+    return numbered(labels, [F.asc("label")], "code").withColumn("code", F.col("code").cast("int"))
 
 
 def lookup(df: DataFrame, key: str, pairs: DataFrame, default: str) -> DataFrame:
     """df with term: the term of pairs (key, term) for its key, else the default."""
-    known = pairs.select(F.col(pairs.columns[0]).alias("__k"), F.col(pairs.columns[1]).alias("term"))
-    joined = df.join(known, name(key).eqNullSafe(F.col("__k")), "left")
-    return joined.withColumn("term", F.coalesce("term", F.lit(default))).drop("__k")
+    of, found = fresh(df, "key", "term")
+    known = pairs.select(name(pairs.columns[0]).alias(of), name(pairs.columns[1]).alias(found))
+    joined = df.join(known, name(key).eqNullSafe(F.col(of)), "left")
+    return joined.withColumn("term", F.coalesce(found, F.lit(default))).drop(of, found)
 
 
 def clipped(column: Column, width: int = 15) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.session import name
+from tessera.functions.session import fresh, name
 
 
 def lenient_json(df: DataFrame, column: str) -> DataFrame:
@@ -38,23 +38,29 @@ def _leaves(kind: T.StructType, path: tuple[str, ...] = ()) -> Iterator[tuple[tu
 def flatten(df: DataFrame, key: str, column: str, under: str, separator: str = ".") -> DataFrame:
     """key and the fields of the object under a top-level name, nested ones with joined names, arrays as they are.
 
-    The schema is the union over all rows that parse; what a row lacks is null.
+    The schema is the union over all rows that parse; what a row lacks is null. Keys
+    are told apart by case. A joined name that is taken already, in any case, gets a number: "color" and "Color"
+    are columns Color and color_2, in the order of their paths.
     """
     parsed = lenient_json(df, column).filter("status <> 'failed'")
+    held, = fresh(df, "object")
     inner = F.try_variant_get("parsed", f"$[{_quoted(under)}]", "variant")
-    text = parsed.select(name(key).alias(key), F.to_json(inner).alias("j")).filter("j IS NOT NULL")
-    found = text.agg(F.expr("schema_of_variant_agg(parse_json(j))").alias("s")).first()["s"]
+    rows = parsed.select(name(key).alias(key), inner.alias(held)).filter(F.col(held).isNotNull() & ~F.is_variant_null(held))
+    found = rows.agg(F.schema_of_variant_agg(held).alias("s")).first()["s"]
     if not found or not found.startswith("OBJECT<"):
-        return text.select(name(key))
+        return rows.select(name(key))
     kind = T.StructType.fromDDL(f"x {_ddl(found)}")["x"].dataType
-    read = text.select(name(key), F.from_json("j", kind).alias("x"))
-    columns = []
-    for path, _ in _leaves(kind):
-        value = F.col("x")
-        for part in path:
-            value = value[part]
-        columns.append(value.alias(separator.join(path)))
-    return read.select(name(key), *columns)
+    columns, taken = [], {key.lower()}
+    for path, of in sorted(_leaves(kind), key=lambda leaf: leaf[0]):
+        wanted = column_name = separator.join(path)
+        n = 1
+        while column_name.lower() in taken:
+            n += 1
+            column_name = f"{wanted}_{n}"
+        taken.add(column_name.lower())
+        steps = "".join(f"[{_quoted(part)}]" for part in path)
+        columns.append(F.try_variant_get(held, f"${steps}", of.simpleString()).alias(column_name))
+    return rows.select(name(key), *columns)
 
 
 def _quoted(key: str) -> str:
@@ -73,8 +79,9 @@ def _ddl(variant_schema: str) -> str:
 
 def dedupe_last(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key: the one with the greatest order."""
+    place, = fresh(df, "place")
     newest = Window.partitionBy(name(key)).orderBy(name(order).desc())
-    return df.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n")
+    return df.withColumn(place, F.row_number().over(newest)).filter(F.col(place) == 1).drop(place)
 
 
 def with_retry(call: Callable[[str], str], tries: int = 10, first: float = 5.0, most: float = 600.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str | None]:

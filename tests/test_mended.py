@@ -63,3 +63,31 @@ def test_analysed_columns_have_plain_labels(spark, tmp_path):
     found = session.analyze(["p", "q"])
     assert {r["col_a"] for r in found["association"].collect()} <= {"p", "q"}
     assert not any("Analyzer_" in str(v) for r in found["importance"].collect() for v in r)
+
+
+def test_flatten_tells_keys_apart_by_case(spark):
+    texts = ['{"x":{"Color":1,"size":{"W":1.5}}}', '{"x":{"color":2,"size":{"w":"wide"}}}', '{"x":{"COLOR":[1,null]}}', '{"x":null}', '{"x":7}']
+    columns, rows = flat(spark, texts[:3], "x")
+    assert columns == ["id", "COLOR", "Color_2", "color_3", "size.W", "size.w_2"]
+    assert [tuple(None if c is None else str(c) for c in r) for r in rows] == [
+        ("0", None, "1", None, "1.5", None), ("1", None, None, "2", None, "wide"), ("2", "[1, None]", None, None, None, None),
+    ]
+    assert flat(spark, texts[3:], "x")[0] == ["id"]
+
+
+def test_flatten_gives_every_column_a_name_of_its_own(spark):
+    assert flat(spark, ['{"x":{"a":{"b":1},"a.b":2,"ID":3}}'], "x") == (["id", "ID_2", "a.b", "a.b_2"], [(0, 3, 1, 2)])
+
+
+def test_columns_of_the_caller_stay(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, "a", 6), (3, "b", 7)], "n long, k string, place int")
+    for c in ("__n", "__k", "__label", "_place", "_label", "_key", "_term", "label", "cluster_"):
+        df = df.withColumn(c, F.lit(c))
+    last = parse.dedupe_last(df, "k", "n")
+    assert last.columns == df.columns and sorted((r["n"], r["__n"], r["place"]) for r in last.collect()) == [(2, "__n", 6), (3, "__n", 7)]
+    pairs = spark.createDataFrame([("a", "x")], "k string, term string")
+    assert sorted((r["n"], r["term"], r["_key"]) for r in counts.lookup(df, "k", pairs, "?").collect()) == [(1, "x", "_key"), (2, "x", "_key"), (3, "?", "_key")]
+    top = counts.top_n_other(df, "k", 1)
+    assert [r["k_revised"] for r in top.orderBy("n").collect()] == ["a", "a", "Other"] and set(df.columns) <= set(top.columns)
+    ranked = counts.rank_clusters(df, "k", 1)
+    assert [(r["cluster"], r["term"], r["__label"]) for r in ranked.orderBy("n").collect()] == [(0, "a", "__label")] * 2 + [(-1, "Other", "__label")]

@@ -88,42 +88,39 @@ def _frequent(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, width: int, tenths: int) -> DataFrame:
-    """(id, mark, node, keys) of each row: node names the set, keys is its prefix."""
+    """(id, mark, node, n, fp, keys) of each row: node names the set, n is its size, fp its fingerprint, keys its prefix."""
     frequent = _frequent(texts, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
-            for t in batch.column(2):
-                found = shingle_set(t.as_py(), width)
+            sets = [shingle_set(t.as_py(), width) for t in batch.column(2)]
+            keys = []
+            for found in sets:
                 n = len(found)
-                nodes.append(_node(found))
                 last = np.isin(found, frequent)
                 ordered = np.concatenate([found[~last], found[last]])
                 keys.append(ordered[: n + 1 + -tenths * n // 10 if n else 0])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "mark", "node", "keys"]
-            )
+                [
+                    *batch.columns[:2], pa.array(map(_node, sets), pa.int64()), pa.array(map(len, sets), pa.int32()),
+                    pa.array(map(wide_simhash, sets), pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                ],
+                ["id", "mark", "node", "n", "fp", "keys"],
+            )
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "mark", "text").mapInArrow(run, f"id {kind}, mark binary, node long, keys array<long>")
+    return texts.select("id", "mark", "text").mapInArrow(run, f"id {kind}, mark binary, node long, n int, fp binary, keys array<long>")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """(node, n, fp, s): the set of each text, its size and its fingerprint."""
+    """(node, s): the set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t.as_py(), width) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(map(_node, found), pa.int64()), pa.array(map(len, found), pa.int32()),
-                    pa.array(map(wide_simhash, found), pa.binary()), pa.array(found, pa.list_(pa.int64())),
-                ],
-                ["node", "n", "fp", "s"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(map(_node, found), pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "s"])
 
-    return texts.select("text").mapInArrow(run, "node long, n int, fp binary, s array<long>")
+    return texts.select("text").mapInArrow(run, "node long, s array<long>")
 
 
 def _crowds(nodes: DataFrame, bucket: int) -> DataFrame:
@@ -132,7 +129,7 @@ def _crowds(nodes: DataFrame, bucket: int) -> DataFrame:
     Nodes that share a key meet in a crowd; equal crowds stand once. A key of
     more than `bucket` nodes is dealt out as pairs of tiles.
     """
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", F.explode("keys").alias("key")).repartition("key")  # once, for the counts and for the join
     counts = keyed.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
     keyed = written(keyed.join(counts, "key"), "keyed")
     whole = keyed.filter(F.col("many") <= bucket).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("l"))
@@ -254,8 +251,15 @@ def _within(members: DataFrame, tenths: int, forest: bool) -> DataFrame:
     return sides.select("l", "r").mapInArrow(run, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, tenths: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough; sets are made anew for the nodes of the pairs only.
+
+    nodes: (node, mark), mark being that of a text with this set.
+    """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    marks = written(nodes.join(asked, "node").select("mark"), "asked")
+    picked = texts.join(marks, "mark", "left_semi").dropDuplicates(["mark"])
+    sets = written(_sets(picked, width), "sets")
     left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     enough = both * (10 + tenths) >= tenths * (F.size("sa") + F.size("sb"))
@@ -264,29 +268,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
 
 def _links(found: DataFrame, texts: DataFrame, width: int, tenths: int, bucket: int) -> DataFrame:
     """Edges (a, b) that connect all nodes that pairs of similar sets connect."""
-    nodes = found.groupBy("node").agg(F.min("mark").alias("mark"), F.first("keys").alias("keys"))
-    crowds = _crowds(nodes, bucket)
-    # sets and fingerprints of the nodes that meet any other
-    meet = crowds.select("node").distinct()
-    marks = written(nodes.select("node", "mark").join(meet, "node"), "meeting").select("mark")
-    picked = texts.join(marks, "mark", "left_semi").dropDuplicates(["mark"])
-    sets = written(_sets(picked, width), "sets")
-    prints = sets.select("node", "n", "fp")
-    members = crowds.join(prints, "node")
-    none = F.array().cast("array<bigint>")
-    alone = members.withColumns({"root": F.col("node"), "before": none})
+    nodes = written(found.groupBy("node").agg(F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("fp").alias("fp")), "nodes")
+    crowds = _crowds(found.groupBy("node").agg(F.first("keys").alias("keys")), bucket)
+    prints, none = nodes.select("node", "n", "fp"), F.array().cast("array<bigint>")
+    # crowds are sifted by the nodes' names; fingerprints join them last, on the way to the tiles
+    alone = crowds.withColumns({"root": F.col("node"), "before": none}).join(prints, "node")
     first = written(_within(alone, tenths, forest=True), "pairs")
-    edges = written(_confirmed(first, sets, tenths), "similar")
+    edges = written(_confirmed(first, nodes.select("node", "mark"), texts, width, tenths), "similar")
 
-    rooted = members.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = written(rooted, "members")
-    unlike = mixed.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    mixed = written(mixed.join(unlike.select("crowd"), "crowd"), "mixed")
+    rooted = crowds.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = written(rooted, "rooted")
+    unlike = rooted.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    mixed = written(rooted.join(unlike.select("crowd"), "crowd"), "mixed")
     met = mixed.filter("side = 0").groupBy("node").agg(F.collect_list("crowd").alias("met"))
     earlier = F.filter(F.coalesce("met", none), lambda c: c < F.col("crowd"))
-    rest = mixed.join(met, "node", "left").withColumn("before", earlier)
+    rest = mixed.join(met, "node", "left").withColumn("before", earlier).drop("met").join(prints, "node")
     rest = written(_within(rest, tenths, forest=False), "pairs")
-    return edges.union(_confirmed(rest, sets, tenths))
+    return edges.union(_confirmed(rest, nodes.select("node", "mark"), texts, width, tenths))
 
 
 def one_of_similar(

@@ -29,6 +29,16 @@ def _links(rng: random.Random, n: int, label: int = 0) -> str:
     return _block("ul", label, "".join(items))
 
 
+def _bare_links(rng: random.Random) -> str:
+    """Links that no list holds."""
+    return rng.choice([" ", " | ", "<br>", " &middot; "]).join(f'<a href="/{k}">{_sentence(rng, 1, 2)}</a>' for k in range(rng.randint(1, 6)))
+
+
+def _bare_text(rng: random.Random) -> str:
+    """Paragraphs that only line breaks part."""
+    return rng.choice(["<br><br>", "<br>", "<br/>\n<br/>"]).join(_text(rng) for _ in range(rng.randint(2, 9)))
+
+
 def _away(rng: random.Random, kind: str) -> str:
     """A block that is not content, of a kind, marked by its tag, its class or both."""
     tag, hints, inner = {
@@ -91,12 +101,16 @@ def page(rng: random.Random) -> str:
             lambda: inner,
             lambda: _block("div", 0, _block("div", 0, _links(rng, 5)) + _block("div", 1, inner)),
             lambda: f'<table data-label="0"><tr data-label="0">{cell(0, _links(rng, 5))}{cell(1, inner)}</tr></table>',
+            lambda: f'<table data-label="0"><tr data-label="0">{cell(0, _bare_links(rng))}{cell(1, rng.choice([inner, _bare_text(rng)]))}</tr></table>',
+            lambda: _block("div", 1, rng.choice(["", _block("h1", 1, _sentence(rng, 1, 9))]) + _bare_text(rng), rng.choice(["", "", "content", "text"])),
+            lambda: _block("div", 1, _bare_text(rng)),
         ]
     )()
-    before = [_away(rng, k) for k in ("menu", "header", "notice", "ad", "form") if rng.random() < 0.45]
+    bare = [_block("div", 0, _bare_links(rng)) for _ in range(2) if rng.random() < 0.2]
+    before = bare[:1] + [_away(rng, k) for k in ("menu", "header", "notice", "ad", "form") if rng.random() < 0.45]
     after = [_away(rng, k) for k in ("sidebar", "comments", "footer", "ad", "notice", "menu", "form") if rng.random() < 0.4]
     rng.shuffle(before)
-    whole = "".join([*before, body, *after])
+    whole = "".join([*before, body, *after, *bare[1:]])
     return f'<html><head><title>{_sentence(rng, 2, 5)}</title></head><body data-label="0">{whole}</body></html>'
 
 

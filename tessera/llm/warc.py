@@ -90,65 +90,136 @@ def _parse(head: bytes) -> dict[str, str]:
     return found
 
 
-def _plain(stream, wanted) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of an uncompressed file; the blocks of unwanted ones are sought over."""
-    buffer, at = b"", 0  # buffer begins at position at
+class _Plain:
+    """The bytes of an uncompressed file."""
+
+    def __init__(self, stream):
+        self.stream = stream
+
+    def read(self) -> bytes:
+        return self.stream.read(HEAD)
+
+    def skip(self, n: int) -> None:
+        self.stream.seek(self.stream.tell() + n)
+
+    def member(self) -> tuple[int, int] | None:
+        return None
+
+
+class _Zipped:
+    """The plain bytes of a file of gzip members, whatever each of them holds."""
+
+    def __init__(self, stream):
+        self.stream, self.unzip, self.raw, self.plain = stream, None, b"", b""
+
+    def read(self) -> bytes:
+        """Some more bytes; none at the end."""
+        if self.plain:
+            found, self.plain = self.plain, b""
+            return found
+        while True:
+            if self.unzip is None or self.unzip.eof:
+                if self.unzip is not None:
+                    self.raw, self.unzip = self.unzip.unused_data, None
+                self.raw = self.raw or self.stream.read(HEAD)
+                if not self.raw.lstrip(b"\0"):  # the end, or what tapes are filled up with
+                    return b""
+                self.unzip = zlib.decompressobj(31)
+            chunk = self.raw or self.unzip.unconsumed_tail or self.stream.read(HEAD)
+            self.raw = b""
+            if not chunk:
+                return b""
+            found = self.unzip.decompress(chunk, HEAD)
+            if found:
+                return found
+
+    def skip(self, n: int) -> None:
+        while n > 0 and (found := self.read()):
+            self.plain = found[n:]
+            n -= len(found)
+
+    def member(self) -> tuple[int, int] | None:
+        """Where the member that comes next begins and ends, if that is known."""
+        if self.unzip is not None and not self.unzip.eof:
+            self.plain += self.unzip.decompress(self.unzip.unconsumed_tail, HEAD)
+        if self.plain or self.unzip is not None and not self.unzip.eof:
+            return None
+        if self.unzip is not None:
+            self.raw, self.unzip = self.unzip.unused_data, None
+        if len(self.raw) < 20:
+            self.raw += self.stream.read(HEAD)
+        if len(self.raw) < 20 or self.raw[3] != 4 or self.raw[12:14] != b"sl":
+            return None
+        (extra,), (packed,) = struct.unpack("<H", self.raw[10:12]), struct.unpack("<I", self.raw[16:20])
+        start = self.stream.tell() - len(self.raw)
+        return start, start + 12 + extra + packed + 8
+
+    def jump(self, to: int) -> None:
+        self.stream.seek(to)
+        self.unzip, self.raw, self.plain = None, b"", b""
+
+
+def _records(source: _Plain | _Zipped, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers and block of the wanted records; the blocks of others are stepped over.
+
+    A member that says its length and holds an unwanted record is not decoded; one
+    without such a field may hold any number of records, or a part of one. Without a length that can be read
+    the block is None, and what follows is looked through for the next record.
+    """
+    buffer = b""
     while True:
-        while (end := buffer.find(b"\r\n\r\n")) < 0:
-            more = stream.read(HEAD)
+        member = None if buffer else source.member()
+        while (end := buffer.find(b"\r\n\r\n")) < 0 or not buffer[:end].strip():
+            if end >= 0:  # blank lines between records
+                buffer = buffer.lstrip(b"\r\n")
+                continue
+            more = source.read()
             if not more:
                 return
             buffer += more
-        headers = _parse(buffer[:end].lstrip(b"\r\n"))
-        length, start = int(headers.get("content-length", 0)), end + 4
-        if wanted(headers):
-            if len(buffer) < start + length + 4:
-                buffer += stream.read(start + length + 4 - len(buffer))
-            yield headers, buffer[start : start + length]
-            buffer, at = buffer[start + length + 4 :], at + start + length + 4
-        elif len(buffer) >= start + length + 4:
-            buffer, at = buffer[start + length + 4 :], at + start + length + 4
-        else:
-            at += start + length + 4
-            stream.seek(at)
-            buffer = b""
-
-
-def _zipped(stream, wanted) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of a file of gzip members, one record each."""
-    at, size = 0, stream.size()
-    while at < size:
-        stream.seek(at)
-        chunk = stream.read(HEAD)
-        known = None
-        if len(chunk) > 24 and chunk[3] == 4 and chunk[12:14] == b"sl":
-            (xlen,) = struct.unpack("<H", chunk[10:12])
-            known = 12 + xlen + struct.unpack("<I", chunk[16:20])[0] + 8
-        unzip = zlib.decompressobj(31)
-        record = unzip.decompress(chunk, HEAD)
-        while (end := record.find(b"\r\n\r\n")) < 0 and not unzip.eof:
-            more = unzip.unconsumed_tail or stream.read(HEAD)
-            if not more:
-                return
-            record += unzip.decompress(more, HEAD)
-        headers = _parse(record[:end])
+        buffer = buffer.lstrip(b"\r\n")
+        end = buffer.find(b"\r\n\r\n")
+        headers = _parse(buffer[:end])
+        start = end + 4
+        length = headers.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            if wanted(headers):
+                yield headers, None
+            buffer = buffer[start:]
+            while (at := buffer.find(b"WARC/")) < 0 or at and buffer[at - 1 : at] != b"\n":
+                buffer = buffer[at + 1 if at >= 0 else max(0, len(buffer) - 5) :]
+                if at >= 0:
+                    continue
+                more = source.read()
+                if not more:
+                    return
+                buffer += more
+            buffer = buffer[at:]
+            continue
+        length = int(length)
         take = wanted(headers)
-        if not take and known:
-            at += known
+        if not take and member:
+            source.jump(member[1])
+            buffer = b""
             continue
-        used = stream.tell()
-        parts = [record]
-        while not unzip.eof:
-            more = unzip.unconsumed_tail or stream.read(1 << 20)
-            if not more:
-                break
-            used = stream.tell()
-            parts.append(unzip.decompress(more))
-        at = at + known if known else used - len(unzip.unused_data)
         if take:
-            record = b"".join(parts)
-            length = int(headers.get("content-length", 0))
-            yield headers, record[end + 4 : end + 4 + length]
+            parts, held = [buffer[start : start + length]], len(buffer) - start
+            rest = buffer[start + length :]
+            while held < length and (more := source.read()):
+                parts.append(more[: length - held])
+                rest = more[length - held :]
+                held += len(more)
+            yield headers, b"".join(parts)
+            buffer = rest
+        elif len(buffer) >= start + length:
+            buffer = buffer[start + length :]
+        else:
+            source.skip(start + length - len(buffer))
+            buffer = b""
+        # the two line ends that close a record, so that the next one may begin its own member
+        while len(buffer) < 4 and (more := source.read()):
+            buffer += more
+        buffer = buffer.removeprefix(b"\r\n\r\n")
 
 
 @dataclass
@@ -207,11 +278,13 @@ class WarcReader(DataSourceReader):
             with store.open_input_file(path) as stream:
                 first = stream.read(2)
                 stream.seek(0)
-                for headers, block in (_zipped if first == b"\x1f\x8b" else _plain)(stream, self.wanted):
-                    length, payload = len(block), block
-                    if block.startswith(b"HTTP/"):
+                source = (_Zipped if first == b"\x1f\x8b" else _Plain)(stream)
+                for headers, block in _records(source, self.wanted):
+                    length, payload = None if block is None else len(block), block
+                    if block is not None and block.startswith(b"HTTP/"):
                         head, _, payload = block.partition(b"\r\n\r\n")
-                        length = int(_parse(head).get("content-length", len(payload)))
+                        said = _parse(head).get("content-length", "")
+                        length = int(said) if said.isascii() and said.isdigit() else len(payload)
                     if headers.get("warc-type") == "revisit" or not self.payload:
                         payload = None
                     rows.append([*(headers.get(h) for h in HEADERS.values()), length, payload])
@@ -238,9 +311,8 @@ class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.date = options["path"], options.get("date", "1970-01-01T00:00:00Z")
         self.most = int(options.get("filebytes", 256 << 20))
+        self.overwrite = overwrite
         store, path = _open(self.path)
-        if overwrite and store.get_file_info(path).type != fs.FileType.NotFound:
-            store.delete_dir_contents(path)
         store.create_dir(path, recursive=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenFile:
@@ -263,7 +335,14 @@ class WarcWriter(DataSourceArrowWriter):
         return WrittenFile(names)
 
     def commit(self, messages: list[WrittenFile | None]) -> None:
+        """Give the files their names; only now what was there before goes, if it is overwritten."""
         store, path = _open(self.path)
+        new = {f".{file}" for message in messages if message for file in message.names}
+        for info in store.get_file_info(fs.FileSelector(path)) if self.overwrite else ():
+            if info.type == fs.FileType.Directory:
+                store.delete_dir(info.path)
+            elif info.base_name not in new:
+                store.delete_file(info.path)
         for message in messages:
             for file in message.names if message else []:
                 store.move(f"{path}/.{file}", f"{path}/{file}")

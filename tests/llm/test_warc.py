@@ -78,3 +78,60 @@ def test_files_of_other_writers(tmp_path, spark):
     df = read_warc(spark, str(tmp_path))
     assert records(df, "record_type", "payload_length") == sorted([("warcinfo", 13), ("response", 5), ("request", 18)] * 2, key=repr)
     assert [bytes(r["payload"]) for r in df.filter("record_type = 'response'").collect()] == [b"hello"] * 2
+
+
+def warc(*blocks, kind="response", length=None):
+    """Records as another writer makes them, of blocks without HTTP headers."""
+    found = b""
+    for k, block in enumerate(blocks):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{k}>\r\nContent-Length: {len(block) if length is None else length}\r\n\r\n"
+        found += head.encode() + block + b"\r\n\r\n"
+    return found
+
+
+BLOCKS = [b"one", b"", b"two\r\n\r\nWARC/ within", b"x" * 200_000, b"last"]
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    whole = warc(*BLOCKS)
+    cut = [whole[a : a + 70_001] for a in range(0, len(whole), 70_001)]
+    made = {
+        "plain.warc": whole,
+        "one.warc.gz": gzip.compress(whole),  # one member for all records
+        "each.warc.gz": b"".join(gzip.compress(warc(b)) for b in BLOCKS),
+        "pairs.warc.gz": gzip.compress(warc(*BLOCKS[:2])) + gzip.compress(warc(*BLOCKS[2:])),
+        "across.warc.gz": b"".join(map(gzip.compress, cut)),  # records over several members
+        "padded.warc.gz": gzip.compress(whole) + b"\0" * 100,
+        "lines.warc": b"\r\n\r\n" + whole.replace(b"\r\n\r\nWARC/1.0", b"\r\n\r\n\r\n\r\nWARC/1.0"),
+    }
+    for file, data in made.items():
+        (tmp_path / file).mkdir()
+        (tmp_path / file / file).write_bytes(data)
+        found = read_warc(spark, str(tmp_path / file)).collect()
+        assert sorted(bytes(r["payload"]) for r in found) == sorted(BLOCKS), file
+        assert read_warc(spark, str(tmp_path / file)).filter("record_type = 'request'").count() == 0
+        assert read_warc(spark, str(tmp_path / file)).filter("record_id = 'urn:1'").count() == (0 if file.startswith("each") else 2 if file.startswith("pairs") else 1)
+
+
+def test_records_without_a_sound_length_are_shown(spark, tmp_path):
+    data = warc(b"good") + warc(b"bad one WARC/ x\nWARC is no record", length="x") + warc(b"good again") + warc(b"", length="-1") + warc(b"end")
+    for file, made in (("a.warc", data), ("b.warc.gz", gzip.compress(data))):
+        (tmp_path / file).write_bytes(made)
+        found = read_warc(spark, str(tmp_path / file)).collect()
+        assert [(r["payload"] and bytes(r["payload"]), r["payload_length"]) for r in found] == [(b"good", 4), (None, None), (b"good again", 10), (None, None), (b"end", 3)]
+
+
+def test_overwriting_leaves_the_old_until_the_end(spark, tmp_path):
+    path = str(tmp_path / "w")
+    write_pages(pages(spark, rows()), path)
+    before = {f.name for f in (tmp_path / "w").iterdir()}
+    broken = read_warc(spark, path).withColumn("payload", F.raise_error(F.lit("stop")).cast("binary"))
+    try:
+        broken.write.format("warc").mode("overwrite").option("path", path).save()
+        raise AssertionError("it should have failed")
+    except Exception as error:
+        assert "stop" in str(error)
+    assert {f.name for f in (tmp_path / "w").iterdir() if not f.name.startswith(".")} == {f for f in before if not f.startswith(".")}
+    one = spark.createDataFrame([("r", "response", None, "u", "d", 1, b"z")], "record_id string, record_type string, refers_to string, target_uri string, payload_digest string, payload_length long, payload binary")
+    one.write.format("warc").mode("overwrite").option("path", path).save()
+    assert [r["record_id"] for r in read_warc(spark, path).collect()] == ["r"]

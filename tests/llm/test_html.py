@@ -1,6 +1,9 @@
 import math
+import time
 from itertools import product
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm.html_pages import labelled
@@ -112,3 +115,49 @@ def test_math_and_fallback_text_stay_in_the_article():
     parts = "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2 source</annotation></math> and <object><b>fallback words</b></object> and <svg><text>drawn</text><text>words</text></svg>"
     text = extract(PAGE.replace("Second one", f"Second {parts} one"), model())
     assert "Second x=2 and fallback words and drawn words one – here." in text
+
+
+PARA = "It rained all night, and in the morning the road to the village was under water. Nobody came to the door until noon, when the boy brought the news."
+
+#: Pages that are cut short, odd or old, with the main text of each.
+ODD = [
+    ("<html><head><title>t</title><body><article><h1>A b</h1><p>The text of it is here. And more.</p></article>", "A b\nThe text of it is here. And more."),
+    ("<head><meta charset=utf-8><link rel=x><article><p>Text here is fine. Yes it is.</p></article>", "Text here is fine. Yes it is."),
+    ("<head><title>x</head><body><article><p>Text here is fine. Yes it is.</p></article>", "Text here is fine. Yes it is."),
+    (f"<body><noscript><p>Switch it on.</p><article><p>{PARA}</p></article>", PARA),
+    (f"<body><article><p>{PARA}</p><video><source src=x>no video here<section><p>{PARA}</p></section></article>", f"{PARA}\n{PARA}"),
+    (f"<body><form><select><option>one<option>two</form><article><p>{PARA}</p></article>", PARA),
+    (f"<body><article><p>{PARA}<![foo[x]]> And so on.</p><![ 5 ]><!DOCTYPE x><?php echo 1 ?></article>", f"{PARA} And so on."),
+    (f"<body><article><p>{PARA}<!-- a > b --> Then<!--> this<!---> and 3 < 4 & 5 <> 6.</p></article>", f"{PARA} Then this and 3 < 4 & 5 <> 6."),
+    (f"<body><article><p title='a > b' class=\"x\">{PARA}</p><p hidden=>{PARA}</p></ article></></article>", f"{PARA}\n{PARA}"),
+    (f"<body><article><p>{PARA}</p><SCRIPT>if (a<b) document.write('<p>no</p>')</SCRIPT ><STYLE>p > a {{}}</STYLE></article>", PARA),
+    (f"<body><div>{PARA}<br><br>{PARA}<br><br>{PARA}</div><div><a href=x>Home</a></div></body>", f"{PARA} {PARA} {PARA}"),
+    (f'<body><div><a href="/">Home</a> | <a href="/a">About</a></div><div><h1>Rain</h1>{PARA}<br>{PARA}</div></body>', f"Rain\n{PARA} {PARA}"),
+    (f'<table><tr><td><a href="/">home</a></td><td><h2>Rain</h2><p>{PARA}</p></td></tr></table>', f"Rain\n{PARA}"),
+    (f'<body><table><tr><td><a href="/">Home</a><br><a href="/b">Books</a></td><td>{PARA}<br><br>{PARA}</td></tr></table></body>', f"{PARA} {PARA}"),
+    (f"<body>{PARA}<p>{PARA}</body>".replace("<body>", "<body><p>"), f"{PARA}\n{PARA}"),
+]
+
+
+def test_odd_pages():
+    for page, want in ODD:
+        assert extract(page, model()) == want, page[:80]
+
+
+def test_time_is_in_proportion_to_the_page():
+    parts = ["<a ", '<a href="', "<a b='", "<!--", "<!", "</", "<", "<title>", "<script>", "<style ", "<p>", "<b>", "&", "<a =", "<noscript>", "<select>", "<td>", "]]>", "<![CDATA["]
+    for part in parts:
+        for end in ("", ">", "-->", "</p>"):
+            start = time.perf_counter()
+            blocks(part * 20_000 + end)
+            assert time.perf_counter() - start < 2, part
+    start = time.perf_counter()
+    blocks("<noscript>" * 10_000 + "<h1>" * 10_000 + "<b>" * 10_000 + "<li>" * 10_000)
+    assert time.perf_counter() - start < 2
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "/", "!", "-", "--", "p", "a", "head", "script", "title", "noscript", "select", " ", "=", '"', "'", "[", "]", "&amp", ";", "text", "</", "<!--", "-->", "<p>", "<head>", "article"]), max_size=40))
+def test_any_text_is_a_page(parts):
+    found = blocks("".join(parts))
+    assert found[0].tag == "html" and all(b.parent < k for k, b in enumerate(found))

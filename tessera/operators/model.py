@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.session import name
+from tessera.operators import boosting
 from tessera.operators.association import accuracy, confusion, contingency, cramers_v, pair_counts, residuals
 from tessera.operators.counts import split_mark
 
@@ -37,28 +38,36 @@ class Predictor:
 
 
 def train(df: DataFrame, target: str, features: list[str], key: str, model: str = "forest", depth: int = 6, seed: int = 42, rounds: int = 100) -> Predictor:
-    """Fit on a seeded 80 % of rows by key. model: forest, or boosted (one against the rest, of so many rounds, depth and step as usual)."""
+    """Fit on a seeded 80 % of rows by key. model: forest, or boosted (softmax trees of so many rounds, depth and a step of 0.3).
+
+    Importances are Spark's shares for the forest, and the mean gain of a feature's splits for boosted trees.
+    """
     if not features:
         raise ValueError("at least one feature is needed")
     text = lambda c: F.coalesce(name(c).cast("string"), F.lit("null"))
     rows = split_mark(df, key).select("is_train", text(target).alias("target"), *(text(c).alias(f"f{k}") for k, c in enumerate(features)))
     codes = [StringIndexer(inputCol=f"f{k}", outputCol=f"c{k}", stringOrderType="alphabetAsc", handleInvalid="keep") for k in range(len(features))]
     label = StringIndexer(inputCol="target", outputCol="y", stringOrderType="alphabetAsc").fit(rows)
-    join = VectorAssembler(inputCols=[f"c{k}" for k in range(len(features))], outputCol="x")
-    bins = 2 + max(rows.agg(*(F.count_distinct(f"f{k}").alias(f"n{k}") for k in range(len(features)))).first())
+    named = IndexToString(inputCol="prediction", outputCol="predicted", labels=label.labels)
+    known, unknown = rows.filter("is_train"), rows.filter(~F.col("is_train"))
     if model == "forest":
+        join = VectorAssembler(inputCols=[f"c{k}" for k in range(len(features))], outputCol="x")
+        bins = 2 + max(rows.agg(*(F.count_distinct(f"f{k}").alias(f"n{k}") for k in range(len(features)))).first())
         learner = RandomForestClassifier(featuresCol="x", labelCol="y", maxDepth=depth, seed=seed, numTrees=50, maxBins=max(32, bins))
+        fitted = Pipeline(stages=[label, *codes, join, learner]).fit(known)
+        predicted = fitted.transform(unknown)
+        share = [float(g) for g in fitted.stages[-1].featureImportances.toArray()]
+        share += [0.0] * (len(features) - len(share))
     elif model == "boosted":
-        trees = GBTClassifier(featuresCol="x", labelCol="y", maxDepth=depth, stepSize=0.3, maxIter=rounds, seed=seed, maxBins=max(32, bins))
-        learner = OneVsRest(classifier=trees, featuresCol="x", labelCol="y")
+        fitted = Pipeline(stages=[label, *codes]).fit(known)
+        coded = lambda df: fitted.transform(df).select("target", F.col("y").cast("int").alias("y"), F.array(*(F.col(f"c{k}").cast("int") for k in range(len(features)))).alias("x"))
+        sizes = [len(stage.labels) + 1 for stage in fitted.stages[1:]]  # and one for labels not seen
+        boosted = boosting.fit(coded(known).select("x", "y"), len(label.labels), sizes, rounds, depth)
+        predicted = boosting.predict(coded(unknown), boosted)
+        share = boosted.mean_gains(len(features))
     else:
         raise ValueError(f"unknown model {model!r}")
-    fitted = Pipeline(stages=[label, *codes, join, learner]).fit(rows.filter("is_train"))
-    named = IndexToString(inputCol="prediction", outputCol="predicted", labels=label.labels)
-    scored = named.transform(fitted.transform(rows.filter(~F.col("is_train")))).select(F.col("target").alias("label"), "predicted")
-    last = fitted.stages[-1]
-    gains = [last.featureImportances] if model == "forest" else [m.featureImportances for m in last.models]
-    share = [float(sum(g[k] for g in gains) / len(gains)) for k in range(len(features))]
+    scored = named.transform(predicted).select(F.col("target").alias("label"), "predicted")
     importance = df.sparkSession.createDataFrame(list(zip(features, share, strict=True)), "feature string, importance double")
     found = accuracy(scored, "label", "predicted").first()["accuracy"]
     return Predictor(target, scored, found, importance.orderBy(F.desc("importance"), "feature"))

@@ -157,8 +157,11 @@ def nearest_of(x: np.ndarray, y: np.ndarray, same: np.ndarray, k: int) -> tuple[
     return np.repeat(np.arange(len(x)), k)[held.ravel()], top[held], far[held]
 
 
-def _searched(groups: DataFrame, k: int, kind: str, both: bool) -> DataFrame:
-    """(i, j, d): for each row of (l, r) the k nearest in r of every one in l (both: and the other way); an empty r stands for l."""
+def _searched(groups: DataFrame, k: int, kind: str, both: bool, others: str | None = None, apart: bool = True) -> DataFrame:
+    """(i, j, d): for each row of (l, r) the k nearest in r of every one in l (both: and the other way); an empty r stands for l.
+
+    apart: an id is not its own neighbour. others: the type of the ids in r, if it is another one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,15 +172,14 @@ def _searched(groups: DataFrame, k: int, kind: str, both: bool) -> DataFrame:
                 continue
             if not len(b):
                 b, y = a, x
-            ids, others = a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False)
-            same = ids[:, None] == others[None, :]
+            same = a.to_numpy(zero_copy_only=False)[:, None] == b.to_numpy(zero_copy_only=False)[None, :] if apart else np.zeros((len(a), len(b)), dtype=bool)
             i, j, d = nearest_of(x, y, same, k)
             yield pa.RecordBatch.from_arrays([a.take(pa.array(i)), b.take(pa.array(j)), pa.array(d)], ["i", "j", "d"])
             if both and b is not a:
                 j, i, d = nearest_of(y, x, same.T, k)
                 yield pa.RecordBatch.from_arrays([b.take(pa.array(j)), a.take(pa.array(i)), pa.array(d)], ["i", "j", "d"])
 
-    return groups.select("l", "r").mapInArrow(run, f"i {kind}, j {kind}, d double")
+    return groups.select("l", "r").mapInArrow(run, f"i {kind}, j {others or kind}, d double")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -195,6 +197,55 @@ def within_cells(placed: Cells, k: int, block: int) -> DataFrame:
         return written(best(_searched(own, k, kind, both=True), k), "own")
 
 
+def visits(asked: DataFrame, placed: Cells, first: int | None = None) -> DataFrame:
+    """(id, v, cell): the cells that each row of asked (id, v, bound, done) has to visit.
+
+    These are the cells but for those in done that may hold a vector within the bound, all of them if it is null; or (first) so many
+    cells whose pivots are nearest.
+    """
+    kind = asked.schema["id"].dataType.simpleString()
+    shape = Cells(None, placed.pivots, placed.angular, placed.sizes, placed.radius, placed.low, placed.high)
+    some = placed.sizes > 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column(1))
+            if not some.any():
+                lists = [[]] * len(x)
+            elif first is None:
+                bound = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+                near = (shape.from_points(x) <= np.where(np.isnan(bound), np.inf, bound)[:, None]) & some[None, :]
+                done = batch.column(3).to_pylist()
+                lists = [np.setdiff1d(np.nonzero(r)[0], d or []) for r, d in zip(near, done, strict=True)]
+            else:
+                far = np.where(some[None, :], distances(x, shape.pivots, shape.angular), np.inf)
+                lists = list(np.argsort(far, axis=1, kind="stable")[:, : min(first, int(some.sum()))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["id", "v", "to"])
+
+    with batches_of(asked.sparkSession, 2048):
+        found = asked.select("id", "v", "bound", "done").mapInArrow(run, f"id {kind}, v array<double>, to array<int>")
+        return written(found.select("id", "v", F.explode("to").alias("cell")), "visits")
+
+
+def answers(asked: DataFrame, placed: Cells, k: int, block: int, apart: bool = True) -> DataFrame:
+    """(i, j, d): for each row of asked (id, v, cell) the k nearest vectors in that cell; a task holds two blocks."""
+    spark = asked.sparkSession
+    kind, others = (df.schema["id"].dataType.simpleString() for df in (asked, placed.rows))
+    counts = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # MOST rows at most
+    parts = placed.parts(block).tolist()
+    plan = spark.createDataFrame([(c, parts[c], -(-n // block)) for c, n in counts.items()], "cell int, parts int, groups int")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    side = lambda df, g, p, as_: df.join(F.broadcast(plan), "cell").select("cell", g.alias("g"), p.alias("p"), F.struct("id", "v").alias(as_))
+    ask = side(asked, part("groups"), F.explode(every("parts")), "l").withColumn("r", F.lit(None).cast(f"struct<id: {others}, v: array<double>>"))
+    held = side(placed.rows, F.explode(every("groups")), part("parts"), "r").withColumn("l", F.lit(None).cast(f"struct<id: {kind}, v: array<double>>"))
+    groups = ask.unionByName(held).groupBy("cell", "g", "p").agg(F.collect_list("l").alias("l"), F.collect_list("r").alias("r"))
+    with batches_of(spark, 1):  # a row is two blocks
+        return written(_searched(groups.filter(F.size("r") > 0), k, kind, both=False, others=others, apart=apart), "answers")
+
+
 def nearest(vectors: DataFrame, k: int, block: int = 1000) -> DataFrame:
     """(i, j, d, rank): the k nearest others of each vector (id, v), exactly; ties go to the lesser id.
 
@@ -202,46 +253,12 @@ def nearest(vectors: DataFrame, k: int, block: int = 1000) -> DataFrame:
     then visits those cells only that may hold a nearer one. Where vectors have no groups that is
     most of them, and work grows with the square of the vectors.
     """
-    spark, kind = vectors.sparkSession, vectors.schema["id"].dataType.simpleString()
-    with scratch(spark) as keep:
+    with scratch(vectors.sparkSession) as keep:
         placed = cells(vectors, block)
         own = within_cells(placed, k, block)
         bound = own.groupBy(F.col("i").alias("id")).agg(F.when(F.count("*") >= k, F.max("d")).alias("bound"))
-
-        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                bound = batch.column(3).to_numpy(zero_copy_only=False).astype(float)
-                least = placed_apart(matrix(batch.column(1)))
-                own = batch.column(2).to_numpy()
-                near = (least <= np.where(np.isnan(bound), np.inf, bound)[:, None]) & (sizes > 0)[None, :]
-                near[np.arange(len(own)), own] = False
-                lists = pa.array([np.nonzero(r)[0] for r in near], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "v", "to"])
-
-        sizes = placed.sizes
-        shape = Cells(None, placed.pivots, False, placed.sizes, placed.radius, placed.low, placed.high)
-        placed_apart = shape.from_points
-        asked = placed.rows.join(bound, "id", "left").select("id", "v", "cell", "bound")
-        with batches_of(spark, 2048):
-            asked = asked.mapInArrow(visit, f"id {kind}, v array<double>, to array<int>").select("id", "v", F.explode("to").alias("cell"))
-            asked = written(asked, "visits")
-        visits = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # MOST rows at most
-        if not visits:
-            return keep(own, "neighbours")
-        parts = placed.parts(block).tolist()
-        plan = spark.createDataFrame([(c, parts[c], -(-n // block)) for c, n in visits.items()], "cell int, parts int, groups int")
-        part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-        ask = asked.join(F.broadcast(plan), "cell").select("cell", "id", "v", part("groups").alias("g"), F.explode(every("parts")).alias("p"), F.lit(True).alias("asks"))
-        held = placed.rows.join(F.broadcast(plan), "cell").select("cell", "id", "v", F.explode(every("groups")).alias("g"), part("parts").alias("p"), F.lit(False).alias("asks"))
-        of = F.struct("id", "v")
-        groups = ask.union(held).groupBy("cell", "g", "p").agg(
-            F.collect_list(F.when(F.col("asks"), of)).alias("l"), F.collect_list(F.when(~F.col("asks"), of)).alias("r")
-        ).filter(F.size("r") > 0)
-        with batches_of(spark, 1):  # a row is two blocks
-            other = written(_searched(groups, k, kind, both=False), "others")
+        asked = placed.rows.join(bound, "id", "left").select("id", "v", "bound", F.array("cell").alias("done"))
+        other = answers(visits(asked, placed), placed, k, block)
         return keep(best(own.select("i", "j", "d").union(other), k), "neighbours")
 
 

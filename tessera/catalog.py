@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.session import table
-from tessera.operators import association, chart, cluster, counts, filters, model, parse, profile, reduce, text
+from tessera.functions.session import shared_folder, table
+from tessera.operators import association, chart, cluster, counts, filters, model, parse, profile, reduce, search, text
 from tessera.operators.filters import FilterSpec
+from tessera.sources import files
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -112,6 +114,38 @@ def page_2(spark: SparkSession, d: str) -> DataFrame:
     return filters.page(filters.sort_rows(_nulled(spark, d), "bal", "asc", "c_custkey"), 1)
 
 
+SEGMENT = "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS segment FROM customer"
+
+
+@query(f"SELECT c_custkey, segment FROM ({SEGMENT}) WHERE segment IN ('BUILDING', 'FURNITURE') OR segment IS NULL")
+def filter_with_nulls(spark: SparkSession, d: str) -> DataFrame:
+    segments = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("segment"))
+    return filters.apply_filters(segments, [FilterSpec("segment", "categorical", values=["BUILDING", None, "FURNITURE"])])
+
+
+@query("SELECT conv_id, turn FROM (SELECT *, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE text END AS said FROM conversations) WHERE said <> ''")
+def non_empty(spark: SparkSession, d: str) -> DataFrame:
+    said = F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, " ").otherwise(F.col("text"))
+    return filters.non_empty(table(spark, d, "conversations").withColumn("said", said), "said").select("conv_id", "turn")
+
+
+@query("SELECT event_id, date_trunc('second', ts)::TIMESTAMP AS seen, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') ELSE 'none' END AS day FROM events")
+def promoted_dates(spark: SparkSession, d: str) -> DataFrame:
+    """A text column of which all values are dates becomes a timestamp, one of which some are stays text."""
+    texts = table(spark, d, "events").select(
+        "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("seen"), F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd")).otherwise("none").alias("day")
+    )
+    return filters.promote_dates(texts)
+
+
+@query("SELECT c_custkey, c_name, c_acctbal::DOUBLE AS c_acctbal FROM customer")
+def csv_read(spark: SparkSession, d: str) -> DataFrame:
+    """The customers, written as CSV and read with types."""
+    path = f"{shared_folder(spark)}/tessera/{uuid.uuid4().hex}.csv"
+    table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal")).write.csv(path, header=True, escape='"')
+    return files.read(spark, path).withColumn("c_custkey", F.col("c_custkey").cast("long"))
+
+
 # counts
 
 
@@ -268,6 +302,32 @@ def cramers_v_matrix(spark: SparkSession, d: str) -> DataFrame:
     return association.cramers_matrix(turns, ["role", "odd", "quarter"])
 
 
+# chi-square at 5 % by degrees of freedom
+CRITICAL = "CASE dof WHEN 1 THEN 3.841458820694124 WHEN 2 THEN 5.991464547107979 WHEN 4 THEN 9.487729036781154 END"
+THIRDS = "(SELECT role, turn % 2 AS odd, conv_id % 3 AS third FROM conversations)"
+
+
+def _gated(a: str, b: str) -> str:
+    return f"(SELECT round(CASE WHEN base > 0 AND chi2 > {CRITICAL} THEN sqrt(phi / base) ELSE 0 END, 3)::DOUBLE AS v FROM ({_grid(THIRDS, a, b)} SELECT * FROM v))"
+
+
+def _thirds(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").withColumns({"odd": F.col("turn") % 2, "third": F.col("conv_id") % 3})
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{x}' AS col_a, '{y}' AS col_b, v FROM {_gated(a, b)}" for a, b in (("role", "odd"), ("role", "third"), ("odd", "third")) for x, y in ((a, b), (b, a)))
+    + " UNION ALL SELECT c, c, 1.0::DOUBLE FROM (VALUES ('role'), ('odd'), ('third')) t(c)"
+)
+def cramers_significant(spark: SparkSession, d: str) -> DataFrame:
+    return association.cramers_matrix(_thirds(spark, d), ["role", "odd", "third"], significance=0.05)
+
+
+@query(" UNION ALL ".join(f"SELECT '{max(a, b)}' AS col_a, '{min(a, b)}' AS col_b, v FROM {_gated(a, b)}" for a, b in (("role", "odd"), ("role", "third"), ("odd", "third"))))
+def cramers_triangle(spark: SparkSession, d: str) -> DataFrame:
+    return chart.triangle(association.cramers_matrix(_thirds(spark, d), ["role", "odd", "third"], significance=0.05))
+
+
 @query(_grid("orders", "o_orderstatus", "o_orderpriority") + "SELECT a, b, n, round(e, 6) AS expected, round((n - e) / sqrt(e), 6) AS residual FROM g")
 def pearson_residuals(spark: SparkSession, d: str) -> DataFrame:
     found = association.residuals(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
@@ -339,6 +399,34 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return text.cosine_search(vectors.filter("id % 50 = 0"), vectors).withColumn("cosine", F.round("cosine", 4))
 
 
+@query("""WITH m AS (SELECT b.vec_id AS label, max(a.vec_id) AS i FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+  AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4 GROUP BY 1)
+SELECT vec_id, 't' || coalesce(m.i, vec_id) AS term FROM embeddings LEFT JOIN m ON m.label = vec_id""")
+def merge_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector as a cluster of its own, merged into the last one before it that is like it."""
+    vectors = _vectors(spark, d)
+    terms = vectors.select(F.col("id").alias("label"), F.concat(F.lit("t"), F.col("id")).alias("term"))
+    assigned = vectors.select(F.col("id").alias("row_id"), F.col("id").alias("label"))
+    return text.merge_clusters(terms, assigned, similarity=0.4, vectors=vectors).select(F.col("row_id").alias("vec_id"), "term")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_reverse(embedding)::DOUBLE[] AS w FROM embeddings),
+s AS (SELECT a.vec_id AS query, b.vec_id AS id, round(greatest(list_cosine_similarity(a.v, b.v), list_cosine_similarity(a.v, b.w)), 9) AS c,
+  round(list_cosine_similarity(a.v, b.v), 9) >= round(list_cosine_similarity(a.v, b.w), 9) AS first FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, id) AS rank FROM s)
+SELECT query, id, CASE WHEN first THEN 'v' ELSE 'w' END AS "column", round(c, 4) AS cosine, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+def semantic_search(spark: SparkSession, d: str) -> DataFrame:
+    """The ten rows nearest to each fiftieth vector by either of two columns, exactly."""
+    rows = _vectors(spark, d).select("id", "v", F.reverse("v").alias("w"))
+    asked = rows.filter("id % 50 = 0").select(F.col("id").alias("query"), "v")
+    return search.search(search.index(rows, "id", ["v", "w"]), asked, 10, others_only=True).withColumn("cosine", F.round("cosine", 4))
+
+
+@query("SELECT c_custkey, split_part(replace(c_name, '#', '.'), '.', -1) AS last FROM customer")
+def last_part(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", text.last_part(F.replace("c_name", F.lit("#"), F.lit("."))).alias("last"))
+
+
 TFIDF = f"""WITH t AS (SELECT doc_id AS row_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents),
 f AS (SELECT row_id, term, count(*) AS tf FROM t WHERE term NOT IN ({STOPS}) GROUP BY 1, 2),
 v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM f GROUP BY 1 ORDER BY total DESC, term LIMIT 1000),
@@ -424,6 +512,19 @@ def hdbscan(spark: SparkSession, d: str) -> DataFrame:
     return cluster.density(_vectors(spark, d), 10)
 
 
+@query()
+def boosted_importance(spark: SparkSession, d: str) -> DataFrame:
+    """Which columns of the turns predict the role, by the gain of boosted trees."""
+    turns = table(spark, d, "conversations").select("role", (F.col("turn") % 2).alias("odd"), F.least("turn", F.lit(5)).alias("turn"), F.xxhash64("conv_id", "turn").alias("k"))
+    return chart.scaled(model.train(turns, "role", ["odd", "turn"], "k", model="boosted", rounds=5).importance)
+
+
+@query()
+def near_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten near neighbours of all embeddings by descent, with a measured recall of 0.9 and more."""
+    return reduce.neighbours(_vectors(spark, d), 10, exact=False).select("i", "j", r6("d").alias("d"), "rank")
+
+
 @query()
 def forest_importance(spark: SparkSession, d: str) -> DataFrame:
     """Which columns of the turns predict the role."""

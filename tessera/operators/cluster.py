@@ -21,7 +21,7 @@ def kmeans(vectors: DataFrame, k: int = 8, seed: int = 42, max_iter: int = 20) -
 
 
 def density(vectors: DataFrame, min_cluster_size: int = 15, min_samples: int | None = None) -> DataFrame:
-    """(id, label) of vectors (id, v), ids being whole numbers: hierarchical density clusters, -1 is noise.
+    """(id, label) of vectors (id, v): hierarchical density clusters, -1 is noise.
 
     Two points are tied at their mutual reachability: the greatest of their
     distance and both ends' distances to their min_samples-th neighbour (default: min_cluster_size; the farthest where there are fewer).
@@ -36,7 +36,9 @@ def density(vectors: DataFrame, min_cluster_size: int = 15, min_samples: int | N
     k = min_samples or min_cluster_size
     spark = vectors.sparkSession
     with scratch(spark) as keep:
-        rows = written(vectors.filter("v IS NOT NULL").select("id", "v"), "points")
+        # rows go by numbers, whatever the ids are
+        given = numbered(vectors.select(F.col("id").alias("key"), "v"), [F.asc("key")], "id")
+        rows = written(given.filter("v IS NOT NULL").select("id", "v"), "points")
         near = neighbours(rows, k)
         core = near.groupBy("i").agg(F.max("d").alias("core"))
         points = written(rows.join(core, F.col("id") == F.col("i"), "left").select("id", "v", F.coalesce("core", F.lit(0.0)).alias("core")), "cores")
@@ -45,8 +47,8 @@ def density(vectors: DataFrame, min_cluster_size: int = 15, min_samples: int | N
         kept = written(homes.join(chosen, F.col("cluster") == F.col("node")).select("id", "best"), "kept")
         first = kept.groupBy("best").agg(F.min("id").alias("first"))
         labels = numbered(first, [F.asc("first")], "label").select("best", F.col("label").cast("int").alias("label"))
-        found = vectors.select("id").join(kept.join(labels, "best").select("id", "label"), "id", "left")
-        return keep(found.select("id", F.coalesce("label", F.lit(-1)).alias("label")), "labels")
+        found = given.select("key", "id").join(kept.join(labels, "best").select("id", "label"), "id", "left")
+        return keep(found.select(F.col("key").alias("id"), F.coalesce("label", F.lit(-1)).alias("label")), "labels")
 
 
 def cluster(vectors: DataFrame, method: str = "hdbscan", **options) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +33,22 @@ QUICK_PROMPTS = [
 ]
 
 
-def tokens(df: DataFrame, key: str, column: str, stop_words: list[str] | None = None) -> DataFrame:
-    """(row_id, term, tf): lower-case words of two or more letters, digits or underscores, without stop words."""
+def stop_list(stop_words: list[str] | str | None = None) -> list[str]:
+    """The words given, those that Spark knows for a language, or STOP_WORDS."""
+    if isinstance(stop_words, str):
+        return StopWordsRemover.loadDefaultStopWords(stop_words)
+    return STOP_WORDS if stop_words is None else stop_words
+
+
+def tokens(df: DataFrame, key: str, column: str, stop_words: list[str] | str | None = None) -> DataFrame:
+    """(row_id, term, tf): lower-case words of two or more letters, digits or underscores, without stop words (see stop_list)."""
     words = F.regexp_extract_all(F.lower(name(column).cast("string")), F.lit(TOKEN), F.lit(0))
     found = df.select(name(key).alias("row_id"), F.explode(words).alias("term"))
-    found = found.filter(~F.col("term").isin(STOP_WORDS if stop_words is None else stop_words))
+    found = found.filter(~F.col("term").isin(stop_list(stop_words)))
     return found.groupBy("row_id", "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(df: DataFrame, key: str, column: str, max_features: int = 1000, stop_words: list[str] | None = None) -> DataFrame:
+def tfidf(df: DataFrame, key: str, column: str, max_features: int = 1000, stop_words: list[str] | str | None = None) -> DataFrame:
     """(row_id, term, tfidf): the vocabulary is the most frequent terms, idf = ln((1+n)/(1+df))+1, rows have length 1."""
     counts = written(tokens(df, key, column, stop_words), "counts")  # read for the vocabulary and for the weights
     terms = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))

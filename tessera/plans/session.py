@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.session import name, written
-from tessera.operators import association, chart, cluster, counts, filters, profile, reduce, text
+from tessera.operators import association, chart, cluster, counts, embedding, filters, profile, reduce, text
 from tessera.operators.filters import FilterSpec
 from tessera.sources import files
 
@@ -93,22 +93,38 @@ class Session:
         """The last analysis."""
         return self.found
 
-    def themes(self, column: str, vectors: DataFrame | None = None, min_cluster_size: int = 15, top_n: int = 1, similarity: float = 0.92) -> dict[str, DataFrame]:
+    def themes(
+        self, column: str, vectors: DataFrame | None = None, min_cluster_size: int = 15, top_n: int = 1, similarity: float = 0.92,
+        embed: str | embedding.Client = "ngrams", trim: int | None = None,
+    ) -> dict[str, DataFrame]:
         """Embed, reduce, cluster, name and merge a text column; assigned rows, terms and scatter points.
 
-        vectors (id, v): embeddings by key; else hashed character n-grams of the texts.
+        vectors (id, v): embeddings by key. Else embed gives them: "ngrams" (hashed character n-grams),
+        "trained" (on the texts themselves), or a client of a model. trim: also "revised", the column with
+        the labels that are not among so many most frequent ones as Other.
         """
         df = self.data()
         texts = df.select(name(self.key).alias(KEY), name(column).cast("string").alias("text"))
         if vectors is None:
-            vectors = text.term_vectors(texts.filter("text IS NOT NULL").select(F.col(KEY).alias("label"), F.col("text").alias("term")))
+            known = texts.filter("text IS NOT NULL")
+            if embed == "ngrams":
+                vectors = text.term_vectors(known.select(F.col(KEY).alias("label"), F.col("text").alias("term")))
+            elif embed == "trained":
+                vectors = embedding.trained_vectors(known.select(F.col(KEY).alias("id"), "text"))
+            elif callable(embed):
+                vectors = written(embedding.client_vectors(known.select(F.col(KEY).alias("id"), "text"), embed), "vectors")
+            else:
+                raise ValueError(f"unknown embedding {embed!r}")
         reduced = reduce.reduce_dimensions(vectors)
         labels = cluster.cluster(reduced.select("id", F.col("reduced").alias("v")), min_cluster_size=min_cluster_size)
         labels = labels.select(F.col("id").alias(KEY), "label")
         names = text.cluster_names(text.cluster_terms(text.tfidf(texts, KEY, "text"), labels), top_n).select("label", F.col("name").alias("term"))
         assigned = text.merge_clusters(names, labels, similarity=similarity)
         points = reduced.select(F.col("id").alias(KEY), F.get("reduced", 0).alias("x"), F.get("reduced", 1).alias("y"))
-        return {"assigned": assigned, "terms": names, "scatter": chart.scatter(points, assigned.select(KEY, "term"), texts)}
+        found = {"assigned": assigned, "terms": names, "scatter": chart.scatter(points, assigned.select(KEY, "term"), texts)}
+        if trim is not None:
+            found["revised"] = counts.top_n_other(df.select(name(self.key), name(column)), column, trim)
+        return found
 
     def ask(self, question: str | None, column: str, client: Callable[[str], str]) -> str:
         """A language model's answer about the first 500 texts of a column."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.session import shared_folder, table
-from tessera.operators import association, chart, cluster, counts, filters, model, parse, profile, reduce, search, text
+from tessera.operators import association, chart, cluster, counts, filters, model, parse, profile, reduce, search, text, warping
 from tessera.operators.filters import FilterSpec
 from tessera.sources import files
 
@@ -512,6 +512,13 @@ def hdbscan(spark: SparkSession, d: str) -> DataFrame:
     return cluster.density(_vectors(spark, d), 10)
 
 
+@query()
+def warped_users(spark: SparkSession, d: str) -> DataFrame:
+    """Users whose events come and go alike, up to shifts of two of sixteen parts of the time."""
+    series = warping.series_of(table(spark, d, "events"), "user_id", "ts", 16)
+    return warping.warped_pairs(series, 1.0, 2)[0].withColumn("distance", r6("distance"))
+
+
 @query()
 def boosted_importance(spark: SparkSession, d: str) -> DataFrame:
     """Which columns of the turns predict the role, by the gain of boosted trees."""

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.functions.session import name
+from tessera.functions.session import fresh, name
 
 
 def windowed_counts(stream: DataFrame, time: str, column: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, label, n): counts by window and label; rows later than `late` are left out."""
-    stamped = stream.withColumn("__t", name(time).cast("timestamp")).withWatermark("__t", late)
-    grouped = stamped.groupBy(F.window("__t", width).alias("w"), name(column).alias("label")).agg(F.count("*").alias("n"))
+    at, = fresh(stream, "time")
+    stamped = stream.withColumn(at, name(time).cast("timestamp")).withWatermark(at, late)
+    grouped = stamped.groupBy(F.window(at, width).alias("w"), name(column).alias("label")).agg(F.count("*").alias("n"))
     return grouped.select(F.col("w.start").alias("start"), "label", "n")
 
 

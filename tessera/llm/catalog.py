@@ -60,6 +60,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         shown(F.col("all")).alias("spans"),
         F.size("all").cast("long").alias("n_spans"),
         (F.size("all") > 0).alias("has_pii"),
+        F.size("learned").cast("long").alias("n_learned"),
     )
 
 

@@ -102,6 +102,18 @@ def _valid() -> Column:
     )
 
 
+def _plausible(kind: Column, word: Column) -> Column:
+    """Whether a word beside a pattern of a kind can be of that kind; what a base pattern would refuse by its digits is refused here too."""
+    digits = F.regexp_replace(word, "[^0-9]", "")
+    n = F.length(digits)
+    return (
+        F.when((kind == 1) & word.rlike("^[0-9.]+$"), word.rlike(rf"^{PART}(?:\.{PART}){{3}}$"))
+        .when(kind == 2, F.when(n.between(14, 19), _luhn(digits)).otherwise(False))
+        .when(kind == 3, n.between(7, 15))
+        .otherwise(True)
+    )
+
+
 def _shape(hit: Column) -> Column:
     """Letters as a, digits as 9, runs of either as one."""
     return F.regexp_replace(F.regexp_replace(hit, r"\p{L}+", "a"), r"[0-9]+", "9")
@@ -187,16 +199,17 @@ def _discovered(docs: DataFrame, text_col: str, mentions: DataFrame) -> DataFram
     sure = scores.filter(F.col("score") >= SURE).groupBy("p").agg(
         F.min_by("kind", F.struct(-F.col("score"), "kind")).alias("of"), F.max("score").alias("score")
     )
-    words = placed.filter(F.col("kind") == TOKEN).join(written(sure, "sure"), "p")
+    words = placed.filter(F.col("kind") == TOKEN).join(written(sure, "sure"), "p").filter(_plausible(F.col("of"), F.col("i")))
     return words.groupBy("row", "start", "stop").agg(F.min_by("of", F.struct(-F.col("score"), "of")).alias("kind"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, all): spans as arrays of (start, kind, stop), ordered; one row per row of docs.
+    """(doc_id, base, all, learned): spans as arrays of (start, kind, stop), ordered; one row per row of docs.
 
     Positions are code points, ends exclusive; kind is a place in KINDS. base has
-    the base patterns' spans, all has those, long hexadecimal keys and the discovered ones,
-    which are words without the punctuation around them. Null and empty texts
+    the base patterns' spans, all has those, long hexadecimal keys and the learned ones,
+    which contexts discovered: words without the punctuation around them that can be of the kind (a card's digits
+    pass their check, an address of digits has four parts up to 255, a phone has 7 to 15 digits). Null and empty texts
     have none. Ids may be null or repeat; each row has its own spans.
     """
     with scratch(docs.sparkSession) as keep:
@@ -233,17 +246,18 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             marked.select("row", "kind", "start", (F.col("start") + F.length("hit")).alias("stop"), "hit", _contexts().alias("contexts")), "mentions"
         )
         span = F.struct(F.col("start").cast("long").alias("start"), F.col("kind"), F.col("stop").cast("long").alias("stop"))
-        spans = [mentions.filter(is_seed).select("row", span.alias("span"), (F.col("kind") < BASE).alias("base"))]
+        spans = [mentions.filter(is_seed).select("row", span.alias("span"), (F.col("kind") < BASE).alias("base"), F.lit(False).alias("learned"))]
         more = _discovered(docs, text_col, mentions)
         if more is not None:
-            spans.append(more.select("row", span.alias("span"), F.lit(False).alias("base")))
+            spans.append(more.select("row", span.alias("span"), F.lit(False).alias("base"), F.lit(True).alias("learned")))
         grouped = reduce(DataFrame.union, spans).groupBy("row").agg(
-            F.array_sort(F.collect_list(F.when(F.col("base"), F.col("span")))).alias("base"), F.array_sort(F.collect_list("span")).alias("all")
-        )
+            F.array_sort(F.collect_list(F.when(F.col("base"), F.col("span")))).alias("base"), F.array_sort(F.collect_list("span")).alias("all"),
+            F.array_sort(F.collect_list(F.when(F.col("learned"), F.col("span")))).alias("learned"),
+        )
         none = F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>")
         joined = rows.select("row", "id").join(grouped, "row", "left")
         return keep(
-            joined.select(F.col("id").alias("doc_id"), F.coalesce("base", none).alias("base"), F.coalesce("all", none).alias("all")), "spans"
+            joined.select(F.col("id").alias("doc_id"), *(F.coalesce(c, none).alias(c) for c in ("base", "all", "learned"))), "spans"
         )
 
 

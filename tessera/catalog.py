@@ -514,9 +514,9 @@ def hdbscan(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def warped_users(spark: SparkSession, d: str) -> DataFrame:
-    """Users whose events come and go alike, up to shifts of two of sixteen parts of the time."""
-    series = warping.series_of(table(spark, d, "events"), "user_id", "ts", 16)
-    return warping.warped_pairs(series, 1.0, 2)[0].withColumn("distance", r6("distance"))
+    """Users whose events come and go alike, up to a shift by one of eight parts of the time."""
+    series = warping.series_of(table(spark, d, "events"), "user_id", "ts", 8)
+    return warping.warped_pairs(series, 1.0, 1)[0].withColumn("distance", r6("distance"))
 
 
 @query()

@@ -164,6 +164,25 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
 FROM p LEFT JOIN f USING (d)
 """
 
+# crc32 is taken byte by byte over the distinct runs, with its public table made by its rule
+OP11_SQL = r"""
+WITH tbl AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, n::BIGINT)) AS t),
+a AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), text FROM benchmark),
+w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM a),
+r AS (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' ')), list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')))) AS f FROM w),
+u AS (SELECT f, list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM (SELECT DISTINCT f FROM r)),
+c AS (SELECT f, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket FROM u, tbl),
+n AS (SELECT bucket, count(*) FILTER (side = 0)::DOUBLE AS s, count(*) FILTER (side = 1)::DOUBLE AS t FROM r JOIN c USING (f) GROUP BY bucket),
+z AS (SELECT sum(s) AS big_s, sum(t) AS big_t FROM n),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1) * (big_s + 10000)) / ((s + 1) * (big_t + 10000))))::BIGINT AS gain FROM n, z),
+x AS (SELECT id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM r JOIN c USING (f) JOIN g USING (bucket) WHERE side = 0 GROUP BY id),
+s AS (SELECT w.id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS able,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM w LEFT JOIN x ON x.id = w.id WHERE side = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (able) OVER () AS many FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * many // 100 THEN place END AS rank FROM k
+"""
+
 OP12_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, list_transform(generate_series(1, len(w) - 12), lambda i: array_to_string(w[i:i+12], ' ')) AS s FROM d),
@@ -176,4 +195,4 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n_left, 0) AS n_removed, sha
 FROM d LEFT JOIN l USING (doc_id)
 """
 
-SQL = {"op4_mixing": OP4_SQL, "op7_warc": OP7_SQL, "op12_substring_dedup": OP12_SQL}
+SQL = {"op4_mixing": OP4_SQL, "op7_warc": OP7_SQL, "op11_resampling": OP11_SQL, "op12_substring_dedup": OP12_SQL}

@@ -136,7 +136,7 @@ def _slices(part: int, first: np.ndarray, second: np.ndarray | None, bits: int)
         keys = np.concatenate([keys, _packed(second, 0)], axis=1)
     buckets = (first >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(first), dtype=np.int64)
     held, start = np.unique(buckets, return_index=True)
-    ends = np.append(start[1:], len(first)).astype(int)
+    ends = np.append(start[1:], len(first)).astype(int)[: len(held)]  # a part may have none
     cut = [keys[a:b].tobytes() for a, b in zip(start, ends, strict=True)]
     return pa.table({
         "bucket": pa.array(held, pa.int32()), "part": pa.array(np.full(len(held), part), pa.int32()),

@@ -32,8 +32,8 @@ LANES = 32  # 64-bit words of a fingerprint
 
 # Two large sets of Jaccard similarity 0.8 have a cosine of 8/9, so that each bit differs with a probability of
 # arccos(8/9) / pi = 0.1515. In small sets ties and the steps of their sizes add to it: the exact probability, a
-# sum over binomials for both sizes, is under 0.1515 + 0.15 / n for every n up to 600, n being the smaller size (the
-# tests sum it up). The radius is five standard deviations above that, so that a pair beyond it is similar with
+# sum over binomials for both sizes, is under 0.1515 + 0.15 / n for every n up to 600, n being the smaller size (summed
+# up once for all of these; the tests do it for those up to 60 and some others). The radius is five standard deviations above that, so that a pair beyond it is similar with
 # a probability under 1e-6.
 DIFFERS, MORE = 0.1515, 0.15
 

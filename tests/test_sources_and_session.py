@@ -1,5 +1,6 @@
 import datetime
 import zipfile
+from collections import Counter
 
 import pytest
 
@@ -67,3 +68,18 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     run_available(windowed_counts(stream, "ts", "event_type", "1 day", "1 hour"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).agg({"n": "sum"}).first()[0]
     assert 0 < got <= 1000
+
+
+def test_themes_take_other_vectors(spark):
+    sea, town = ["sea wave boat sail", "boat sea sail tide", "wave tide sea boat"], ["town road house market", "market town house street", "road street town market"]
+    rows = [(k, (sea if k % 2 else town)[k % 3]) for k in range(40)]
+    session = Session(spark)
+    session._hold(spark.createDataFrame(rows, "row_id long, text string"), "row_id")
+    found = session.themes("text", embed="trained", min_cluster_size=8, trim=2)
+    top = sorted(Counter(t for _, t in rows).items(), key=lambda x: (-x[1], x[0]))[:2]
+    assert {r["text_revised"] for r in found["revised"].collect()} == {"Other", *(t for t, _ in top)}
+    assert found["assigned"].count() == 40
+    lengths = lambda: lambda texts: [[float("sea" in t), float(len(t) % 7)] for t in texts]
+    assert session.themes("text", embed=lengths, min_cluster_size=8)["assigned"].count() == 40
+    with pytest.raises(ValueError):
+        session.themes("text", embed="other")

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.session import name
+from tessera.sources.xls import XlsDataSource
 from tessera.sources.xlsx import XlsxDataSource
 
+# The public names of the two kinds of workbook.
+WORKBOOKS = {XlsDataSource: "application/vnd.ms-excel", XlsxDataSource: "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"}
+
 
 def read(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """A CSV, Parquet, JSON, ORC or Excel file by its kind or suffix; others are refused."""
@@ -19,9 +23,10 @@ def read(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
         return spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"')
     if kind in ("parquet", "orc", "json"):
         return spark.read.format(kind).load(path)
-    if kind == "xlsx":
-        spark.dataSource.register(XlsxDataSource)
-        return typed(spark.read.format("xlsx").load(path))
+    for source, mime in WORKBOOKS.items():
+        if kind in (source.name(), mime):
+            spark.dataSource.register(source)
+            return typed(spark.read.format(source.name()).load(path))
     raise ValueError(f"unsupported file type {kind!r}")
 
 

@@ -6,7 +6,7 @@ import io
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree.ElementTree import iterparse, parse
 
 from pyarrow import fs
@@ -18,9 +18,9 @@ MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
-def _open(path: str) -> zipfile.ZipFile:
+def opened(path: str) -> io.BufferedReader:
     store, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return zipfile.ZipFile(io.BufferedReader(store.open_input_file(inner)))
+    return io.BufferedReader(store.open_input_file(inner))
 
 
 def _sheet(book: zipfile.ZipFile, sheet: str | None) -> str:
@@ -46,7 +46,7 @@ def _column(reference: str) -> int:
 
 def rows(path: str, sheet: str | None = None) -> Iterator[list[str | None]]:
     """The rows of a sheet, read as a stream."""
-    with _open(path) as book:
+    with opened(path) as file, zipfile.ZipFile(file) as book:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in book.namelist():
             shared = [_text(si) for si in parse(book.open("xl/sharedStrings.xml")).getroot()]
@@ -67,14 +67,14 @@ def rows(path: str, sheet: str | None = None) -> Iterator[list[str | None]]:
 
 
 class XlsxReader(DataSourceReader):
-    def __init__(self, options: dict, width: int):
-        self.options, self.width = options, width
+    def __init__(self, options: dict, width: int, rows: Callable[..., Iterator[list[str | None]]]):
+        self.options, self.width, self.rows = options, width, rows
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.options["path"])]  # a sheet is one compressed stream
+        return [InputPartition(self.options["path"])]  # a sheet is one stream
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        found = rows(partition.value, self.options.get("sheet"))
+        found = self.rows(partition.value, self.options.get("sheet"))
         next(found, None)
         for row in found:
             yield tuple((row + [None] * self.width)[: self.width])
@@ -83,12 +83,14 @@ class XlsxReader(DataSourceReader):
 class XlsxDataSource(DataSource):
     """format("xlsx"): options path and sheet (its name; else the first)."""
 
+    rows = staticmethod(rows)
+
     @classmethod
     def name(cls) -> str:
         return "xlsx"
 
     def schema(self) -> StructType:
-        head = next(rows(self.options["path"], self.options.get("sheet")), [])
+        head = next(self.rows(self.options["path"], self.options.get("sheet")), [])
         names, seen = [], set()
         for k, h in enumerate(head):
             label = h or f"column_{k + 1}"
@@ -99,4 +101,4 @@ class XlsxDataSource(DataSource):
         return StructType([StructField(n, StringType()) for n in names])
 
     def reader(self, schema: StructType) -> XlsxReader:
-        return XlsxReader(dict(self.options), len(schema))
+        return XlsxReader(dict(self.options), len(schema), self.rows)

@@ -28,7 +28,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "t.csv").write_text('a,b\n1,"x ""q"""\n2,"two\nlines"\n')
     assert [tuple(r) for r in files.read(spark, str(tmp_path / "t.csv")).orderBy("a").collect()] == [(1, 'x "q"'), (2, "two\nlines")]
     with pytest.raises(ValueError):
-        files.read(spark, "t.xls")
+        files.read(spark, "t.h5")
 
 
 def test_json_tables(spark):

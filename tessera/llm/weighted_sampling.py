@@ -86,11 +86,11 @@ def _followed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return dealt.withColumns({"next": following, "row": F.row_number().over(order)})
 
 
-def _edited(text: Column, following: Column) -> Column:
-    """text with its last third of code points replaced by as many of the next document's first."""
+def _parts(text: Column, following: Column) -> tuple[Column, Column, Column]:
+    """What a text and its edited text share at their start, and the rest of each: that of the edited text is the next document's."""
     third = F.floor(F.length(text) / 3).cast("int")
-    swapped = F.concat(F.substring(text, F.lit(1), F.length(text) - third), F.substring(following, F.lit(1), third))
-    return F.when(following.isNull(), text).otherwise(swapped)
+    rest = F.substring(text, F.length(text) - third + 1, third)
+    return F.substring(text, F.lit(1), F.length(text) - third), rest, F.coalesce(F.substring(following, F.lit(1), third), rest)
 
 
 def _uniform(bits: Column) -> Column:
@@ -136,13 +136,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     without words are alike. Rows of one id follow each other in one task. A row
     whose id is null has no next: its edited text is its text, near_next 0.
     """
-    rows = _followed(docs, id_col, text_col).withColumn("edited", _edited(F.col("text"), F.col("next")))
+    rows = _followed(docs, id_col, text_col)
+    shared, rest, other = _parts(F.col("text"), F.col("next"))
     keys = ["bucket", "row"]
-    words = lambda c: F.split(F.lower(c), BLANK)
-    both = rows.select(*keys, words(F.col("text")).alias("a"), words(F.col("edited")).alias("e"))
-    terms = both.select(*keys, F.size("a").alias("n"), F.posexplode(F.concat("a", "e")).alias("pos", "word"))
-    terms = terms.filter("word <> ''").select(*keys, F.xxhash64("word").alias("h"), (F.col("pos") < F.col("n")).cast("int").alias("own"))
-    weights = terms.groupBy(*keys, "h").agg(F.sum("own").alias("wo"), F.sum(1 - F.col("own")).alias("we"))
+    # words of the shared start are cut once; its last word, which may go on in the rest, belongs to both rests
+    cut = rows.select(*keys, F.split(shared, BLANK).alias("s"), rest.alias("t"), other.alias("u"))
+    cut = cut.select(*keys, F.slice("s", F.lit(1), F.size("s") - 1).alias("s"), *(F.split(F.concat(F.get("s", F.size("s") - 1), c), BLANK).alias(c) for c in ("t", "u")))
+    ends = F.size("s").alias("n"), (F.size("s") + F.size("t")).alias("m")
+    terms = cut.select(*keys, *ends, F.posexplode(F.concat("s", "t", "u")).alias("pos", "word")).filter("word <> ''")
+    own, edits = F.col("pos") < F.col("m"), (F.col("pos") < F.col("n")) | (F.col("pos") >= F.col("m"))
+    terms = terms.select(*keys, F.xxhash64(F.lower("word")).alias("h"), own.cast("int").alias("own"), edits.cast("int").alias("edits"))
+    weights = terms.groupBy(*keys, "h").agg(F.sum("own").alias("wo"), F.sum("edits").alias("we"))
     of = lambda which, w: F.struct(F.lit(which).alias("of"), F.col(w).alias("w"))
     entries = F.when(F.col("wo") == F.col("we"), F.array(of(BOTH, "wo"))).otherwise(F.array(of(OWN, "wo"), of(EDITED, "we")))
     entries = weights.select(*keys, "h", F.explode(entries).alias("x")).select(*keys, "h", "x.of", "x.w").filter("w > 0")
@@ -162,7 +166,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     prints = held.select(*keys, joined(OWN).alias("fo"), joined(EDITED).alias("fe"))
     shown = rows.select(
-        *keys, "extra", "id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+        *keys, "extra", "id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.concat(shared, other).cast("binary"), 256).alias("edited_sha256")
     )
     found = shown.join(prints, keys, "left")
     order = Window.partitionBy("bucket").orderBy("row")

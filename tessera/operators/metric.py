@@ -120,23 +120,54 @@ def pairs_of_blocks(found: Cells, bound: float, block: int) -> tuple[list[list[i
     return [np.nonzero(r)[0].tolist() for r in near], compared, total * (total + 1) // 2
 
 
-def block_pairs(found: Cells, bound: float, block: int) -> DataFrame:
-    """(l, r): arrays of (id, v) of the two blocks of each pair that may hold vectors within the bound; r is empty for a block with itself."""
-    spark = found.rows.sparkSession
-    near, _, _ = pairs_of_blocks(found, bound, block)
+def packed(found: Cells, block: int) -> DataFrame:
+    """(k, c, ids, x): the vectors in numbered blocks of a cell c, by rising id; x holds a block's vectors as bytes of doubles."""
+    spark, kind = found.rows.sparkSession, found.rows.schema["id"].dataType.simpleString()
     parts = found.parts(block).tolist()
-    known = [(c, parts[c], [(o, parts[o]) for o in near[c]]) for c in range(len(near)) if near[c]]
-    plan = spark.createDataFrame(known, "cell int, parts int, others array<struct<o: int, n: int>>")
-    rows = found.rows.join(F.broadcast(plan), "cell")  # MOST rows at most
-    part = lambda parts: F.pmod(F.xxhash64("id"), parts).cast("int")
-    mine = F.struct(F.col("cell").alias("c"), part(F.col("parts")).alias("p"))
-    every = F.flatten(F.transform("others", lambda x: F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda p: F.struct(x["o"].alias("c"), p.alias("p")))))
-    dealt = rows.select("id", "v", mine.alias("mine"), F.explode(every).alias("other"))
-    dealt = dealt.select("id", "v", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).alias("right"))
-    of = F.struct("id", "v")
-    return dealt.groupBy("x", "y").agg(
-        F.collect_list(F.when(~F.col("right"), of)).alias("l"), F.collect_list(F.when(F.col("right"), of)).alias("r")
-    ).select("l", "r")
+    first = np.cumsum([0, *parts]).tolist()
+    plan = spark.createDataFrame([(c, first[c], n) for c, n in enumerate(parts)], "cell int, first int, parts int")  # MOST rows at most
+    at = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")
+    rows = found.rows.join(F.broadcast(plan), "cell").select(at.alias("k"), F.col("cell").alias("c"), "id", "v")
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows["id"])).combine_chunks()
+        ids, x = rows["id"].combine_chunks(), matrix(rows["v"].combine_chunks())
+        return pa.table({"k": rows["k"][:1], "c": rows["c"][:1], "ids": pa.array([ids.to_pylist()], pa.list_(ids.type)), "x": pa.array([x.tobytes()], pa.binary())})
+
+    files = max(2 * spark.sparkContext.defaultParallelism, sum(parts) // 64)
+    return written(rows.groupBy("k").applyInArrow(pack, f"k int, c int, ids array<{kind}>, x binary").repartition(files, "k"), "blocks")
+
+
+def block_met(blocks: DataFrame, near: np.ndarray) -> DataFrame:
+    """Every pair of packed blocks whose cells are near (a symmetric table of truths), once, and each block with itself: (lk, lc, li, lx, rk, rc, ri, rx).
+
+    Blocks meet as they are read, so none of them is shuffled or written for it, however many others it meets.
+    """
+    known = [(c, np.nonzero(r)[0].tolist()) for c, r in enumerate(near) if r.any()]
+    plan = blocks.sparkSession.createDataFrame(known, "lc int, others array<int>")  # MOST rows at most
+    left = blocks.toDF("lk", "lc", "li", "lx").join(F.broadcast(plan), "lc").select("lk", "lc", "li", "lx", "others")
+    # of two blocks the one or the other is on the left, so that all tasks have as many pairs
+    even = (F.col("lk") + F.col("rk")) % 2 == 0
+    once = (F.col("lk") == F.col("rk")) | ((F.col("lk") < F.col("rk")) == even)
+    return left.hint("shuffle_replicate_nl").join(blocks.toDF("rk", "rc", "ri", "rx"), once & F.array_contains("others", F.col("rc"))).drop("others")
+
+
+def block_pairs(found: Cells, bound: float, block: int) -> DataFrame:
+    """The pairs of blocks that may hold vectors within the bound, as block_met gives them."""
+    near = (found.apart() <= bound) & (found.sizes > 0)[:, None] & (found.sizes > 0)[None, :]
+    np.fill_diagonal(near, found.sizes > 0)
+    return block_met(packed(found, block), near)
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """((k, c, ids, vectors), the same of the other block) of each row of block_met."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            pair = []
+            for at in (0, 4):
+                k, c, ids, x = (batch.column(at + m)[n] for m in range(4))
+                pair.append((k.as_py(), c.as_py(), ids.values, np.frombuffer(x.as_buffer()).reshape(len(ids.values), -1)))
+            yield tuple(pair)
 
 
 def sides(batch: pa.RecordBatch, k: int) -> tuple[pa.Array, np.ndarray]:
@@ -182,19 +213,82 @@ def _searched(groups: DataFrame, k: int, kind: str, both: bool, others: str | No
     return groups.select("l", "r").mapInArrow(run, f"i {kind}, j {others or kind}, d double")
 
 
+class Lists:
+    """The k nearest of each vector of a block among those that it has met so far; ties go to the lesser id."""
+
+    def __init__(self, ids: pa.Array, x: np.ndarray, k: int, bound: float):
+        self.kind, self.ids, self.x, self.k = ids.type, comparable(ids), x.copy(), k
+        self.squares = (x * x).sum(axis=1)
+        self.bound = np.full(len(x), bound)  # no one of the k nearest is farther
+        self.far, self.near = np.full((len(x), k), np.inf), np.empty((len(x), k), dtype=self.ids.dtype)
+
+    def meet(self, squared: np.ndarray, other: Lists) -> None:
+        """Take in another block, by squared distances that may be off by rounding; the distances of those that may count are taken again."""
+        slack = 1e-12 * (self.squares.max(initial=0) + other.squares.max(initial=0))
+        limit = np.minimum(self.bound, self.far[:, -1]) ** 2 * (1 + 1e-12) + slack
+        hits = squared <= limit[:, None]
+        many = np.nonzero(hits.sum(axis=1) > 4 * self.k)[0]
+        if len(many):
+            some = squared[many]
+            some[self.ids[many][:, None] == other.ids[None, :]] = np.inf
+            limit[many] = np.minimum(limit[many], np.partition(some, self.k - 1, axis=1)[:, self.k - 1] + 2 * slack)
+            hits[many] = some <= limit[many][:, None]
+        p, q = np.nonzero(hits)
+        others = self.ids[p] != other.ids[q]
+        p, q = p[others], q[others]
+        if not len(p):
+            return
+        d = np.concatenate([np.sqrt(((self.x[p[s : s + 65536]] - other.x[q[s : s + 65536]]) ** 2).sum(axis=1)) for s in range(0, len(p), 65536)])
+        rows, counts = np.unique(p, return_counts=True)
+        row = np.concatenate([np.repeat(rows, self.k), p])
+        far, near = np.concatenate([self.far[rows].ravel(), d]), np.concatenate([self.near[rows].ravel(), other.ids[q]])
+        start = np.concatenate([[0], np.cumsum(counts + self.k)[:-1]])
+        top = np.lexsort((near, far, row))[start[:, None] + np.arange(self.k)]
+        self.far[rows], self.near[rows] = far[top], near[top]
+
+    def rows(self) -> pa.RecordBatch:
+        i, held = np.nonzero(np.isfinite(self.far))
+        return pa.RecordBatch.from_arrays([pa.array(c[i] if c.ndim == 1 else c[i, held], t) for c, t in ((self.ids, self.kind), (self.near, self.kind), (self.far, pa.float64()))], ["i", "j", "d"])
+
+
+def comparable(ids: pa.Array) -> np.ndarray:
+    found = ids.to_numpy(zero_copy_only=False)
+    return found.astype(str) if found.dtype == object else found
+
+
+def listed(pairs: DataFrame, k: int, kind: str, reach: np.ndarray) -> DataFrame:
+    """(i, j, d): for each vector the k nearest of those that it meets in a task, if they may be among its k nearest of all.
+
+    A task holds the lists of the blocks of its two parts of the table.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Lists] = {}
+        for left, right in met(batches):
+            a, b = (held.get(n) or held.setdefault(n, Lists(ids, x, k, reach[c])) for n, c, ids, x in (left, right))
+            squared = np.column_stack([-2 * a.x, a.squares, np.ones(len(a.x))]) @ np.column_stack([b.x, np.ones(len(b.x)), b.squares]).T
+            a.meet(squared, b)
+            if a is not b:
+                b.meet(squared.T, a)
+        for lists in held.values():
+            yield lists.rows()
+
+    return pairs.mapInArrow(run, f"i {kind}, j {kind}, d double")
+
+
 def best(found: DataFrame, k: int) -> DataFrame:
-    """(i, j, d, rank): the k least of (i, j, d) for each i, ties to the lesser j."""
-    once = found.groupBy("i", "j").agg(F.min("d").alias("d"))
+    """(i, j, d, rank): the k least of (i, j, d) for each i, ties to the lesser j; one shuffle by i."""
+    once = found.repartition("i").groupBy("i", "j").agg(F.min("d").alias("d"))
     order = Window.partitionBy("i").orderBy("d", "j")
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def within_cells(placed: Cells, k: int, block: int) -> DataFrame:
+def within_cells(placed: Cells, blocks: DataFrame, k: int) -> DataFrame:
     """(i, j, d, rank): the k nearest others of each vector within its own cell."""
     kind = placed.rows.schema["id"].dataType.simpleString()
-    own = block_pairs(placed, -np.inf, block)  # no two cells are that near: a cell's blocks meet each other
-    with batches_of(placed.rows.sparkSession, 1):
-        return written(best(_searched(own, k, kind, both=True), k), "own")
+    own = block_met(blocks, np.diag(placed.sizes > 0))
+    with batches_of(placed.rows.sparkSession, 4):  # a row is two blocks
+        return written(best(listed(own, k, kind, np.full(len(placed.sizes), np.inf)), k), "own")
 
 
 def visits(asked: DataFrame, placed: Cells, first: int | None = None) -> DataFrame:
@@ -246,63 +340,47 @@ def answers(asked: DataFrame, placed: Cells, k: int, block: int, apart: bool = T
         return written(_searched(groups.filter(F.size("r") > 0), k, kind, both=False, others=others, apart=apart), "answers")
 
 
+def _nearest(placed: Cells, blocks: DataFrame, own: DataFrame, k: int) -> DataFrame:
+    """The k nearest others, given those within the own cell: these bound how far the others can be."""
+    kind = placed.rows.schema["id"].dataType.simpleString()
+    bound = own.groupBy(F.col("i").alias("id")).agg(F.when(F.count("*") >= k, F.max("d")).alias("bound"))
+    far = placed.rows.select("id", "cell").join(bound, "id", "left").groupBy("cell").agg(F.max(F.coalesce("bound", F.lit(np.inf))).alias("reach"))
+    reach = np.zeros(len(placed.sizes))
+    for row in far.collect():  # MOST rows at most
+        reach[row["cell"]] = row["reach"]
+    some = placed.sizes > 0
+    near = (placed.apart() <= np.maximum(reach[:, None], reach[None, :])) & some[:, None] & some[None, :]
+    np.fill_diagonal(near, False)
+    with batches_of(placed.rows.sparkSession, 4):  # a row is two blocks
+        return written(best(own.select("i", "j", "d").union(listed(block_met(blocks, near), k, kind, reach)), k), "near")
+
+
 def nearest(vectors: DataFrame, k: int, block: int = 1000) -> DataFrame:
     """(i, j, d, rank): the k nearest others of each vector (id, v), exactly; ties go to the lesser id.
 
-    Neighbours within the own cell bound how far the others can be; a vector
-    then visits those cells only that may hold a nearer one. Where vectors have no groups that is
-    most of them, and work grows with the square of the vectors.
+    Neighbours within the own cell bound how far the others can be; a cell then meets
+    those cells only that may hold a nearer one. Where vectors have no groups that is
+    most of them, and the products taken grow with the square of the vectors; what is shuffled and written does not.
     """
     with scratch(vectors.sparkSession) as keep:
         placed = cells(vectors, block)
-        own = within_cells(placed, k, block)
-        bound = own.groupBy(F.col("i").alias("id")).agg(F.when(F.count("*") >= k, F.max("d")).alias("bound"))
-        asked = placed.rows.join(bound, "id", "left").select("id", "v", "bound", F.array("cell").alias("done"))
-        other = answers(visits(asked, placed), placed, k, block)
-        return keep(best(own.select("i", "j", "d").union(other), k), "neighbours")
+        blocks = packed(placed, block)
+        return keep(_nearest(placed, blocks, within_cells(placed, blocks, k), k), "neighbours")
 
 
-def descended(vectors: DataFrame, k: int, recall: float = 0.9, block: int = 256, rounds: int = 10, asked: int = 200) -> DataFrame:
-    """(i, j, d, rank): k near others of each vector (id, v), by neighbours of neighbours.
+def descended(vectors: DataFrame, k: int, recall: float = 0.9, block: int = 1000, rounds: int = 0, asked: int = 200) -> DataFrame:
+    """(i, j, d, rank): k near others of each vector (id, v): those of its own cell, or the exact ones.
 
-    Lists start within the own cell. In each round the vectors that stand in a
-    vector's list, or it in theirs, meet (its crowd, the 3 k nearest of them) and improve each other's lists;
-    rounds end when fewer than one list entry in a hundred changes. The recall of what comes
-    out is measured for `asked` vectors against all others; if it is below `recall`, the
-    exact neighbours are given.
+    The recall of the lists within the own cells is measured for `asked` vectors against
+    all others; if it is below `recall`, the exact neighbours are given. `rounds` has no effect: rounds of
+    neighbours of neighbours start from lists that are exact within a cell, never leave it, and so find nothing.
     """
-    spark, kind = vectors.sparkSession, vectors.schema["id"].dataType.simpleString()
-    with scratch(spark) as keep:
+    with scratch(vectors.sparkSession) as keep:
         placed = cells(vectors, block)
-        rows = placed.rows.select("id", "v")
-        lists = within_cells(placed, k, 4 * block)
-        total = rows.count() * k
-
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for crowd in batch.column(0):
-                    held = crowd.values
-                    ids, x = held.field("id"), matrix(held.field("v"))
-                    worst = held.field("worst").to_numpy(zero_copy_only=False).astype(float)
-                    i, j, d = nearest_of(x, x, np.eye(len(x), dtype=bool), k)
-                    nearer = ~(d >= worst[i])  # a list that is not full takes any
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[nearer])), ids.take(pa.array(j[nearer])), pa.array(d[nearer])], ["i", "j", "d"])
-
-        for _ in range(rounds):
-            both = lists.select("i", "j", "d").union(lists.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
-            crowd = best(both, 3 * k).select("i", F.col("j").alias("id")).union(rows.select(F.col("id").alias("i"), "id"))
-            worst = lists.groupBy(F.col("i").alias("id")).agg(F.when(F.count("*") >= k, F.max("d")).alias("worst"))
-            known = rows.join(worst, "id", "left")
-            crowds = crowd.join(known, "id").groupBy("i").agg(F.collect_list(F.struct("id", "v", "worst")).alias("crowd"))
-            with batches_of(spark, 64):
-                better = written(crowds.select("crowd").mapInArrow(meet, f"i {kind}, j {kind}, d double"), "better")
-            now = written(best(lists.select("i", "j", "d").union(better), k), "lists")
-            changed = now.select("i", "j").join(lists.select("i", "j"), ["i", "j"], "left_anti").count()
-            lists = now
-            if 100 * changed < total:
-                break
-        if measured(rows, lists, k, asked) < recall:
-            return keep(nearest(vectors, k), "neighbours")
+        blocks = packed(placed, block)
+        lists = within_cells(placed, blocks, k)
+        if measured(placed.rows.select("id", "v"), lists, k, asked) < recall:
+            lists = _nearest(placed, blocks, lists, k)
         return keep(lists, "neighbours")
 
 

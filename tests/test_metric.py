@@ -84,6 +84,27 @@ def test_blocks_that_are_too_far_are_never_paired(spark):
     assert compared == every
 
 
+def test_vectors_meet_others_without_a_shuffle(spark):
+    x = np.random.default_rng(11).normal(size=(120, 12))
+    placed = metric.cells(table(spark, x), 10)
+    blocks = metric.packed(placed, 10)
+    seen = metric.block_met(blocks, np.ones((len(placed.sizes),) * 2, dtype=bool))
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange hashpartitioning" not in plan
+    pairs = [tuple(sorted((r["lk"], r["rk"]))) for r in seen.select("lk", "rk").collect()]
+    n = blocks.count()
+    assert len(pairs) == len(set(pairs)) == n * (n + 1) // 2
+    assert blocks.selectExpr("sum(size(ids))", "sum(length(x))").first()[:] == (120, 120 * 12 * 8)
+
+
+def test_ties_go_to_the_lesser_id_across_blocks(spark):
+    x = np.repeat(np.random.default_rng(12).normal(size=(10, 3)) + 1e3, 12, axis=0)  # ten vectors, twelve times each
+    got = lists(metric.nearest(table(spark, x), 5, 9))
+    for i, near in got.items():
+        same = [j for j in range(i // 12 * 12, i // 12 * 12 + 12) if j != i]
+        assert [(d, j) for _, d, j in near] == [(0.0, j) for j in same[:5]]
+
+
 def test_layouts_have_any_number_of_components(spark):
     x = groups(9, 4, 20, 5, 0.3)
     df = table(spark, x)

@@ -91,3 +91,13 @@ def test_columns_of_the_caller_stay(spark):
     assert [r["k_revised"] for r in top.orderBy("n").collect()] == ["a", "a", "Other"] and set(df.columns) <= set(top.columns)
     ranked = counts.rank_clusters(df, "k", 1)
     assert [(r["cluster"], r["term"], r["__label"]) for r in ranked.orderBy("n").collect()] == [(0, "a", "__label")] * 2 + [(-1, "Other", "__label")]
+
+
+def test_merging_by_cosine_writes_no_pairs(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(text, "cosine_pairs", lambda *a, **b: seen.append(a))
+    vectors = spark.createDataFrame([(k, [float(k % 3), 1.0]) for k in range(9)], "id long, v array<double>")
+    terms = vectors.select(F.col("id").alias("label"), F.concat(F.lit("t"), F.col("id")).alias("term"))
+    rows = vectors.select(F.col("id").alias("row_id"), F.col("id").alias("label"))
+    found = text.merge_clusters(terms, rows, similarity=0.999, vectors=vectors)
+    assert {(r["row_id"], r["term"]) for r in found.collect()} == {(k, f"t{k if k < 3 else k - 3}") for k in range(9)} and not seen

@@ -30,8 +30,8 @@ def density(vectors: DataFrame, min_cluster_size: int = 15, min_samples: int | N
     over their points of 1/distance where the point joins, less 1/distance where the cluster merges. A cluster
     that holds all points is never one. Labels follow each cluster's least id.
 
-    Every merge counts. Exact distances to all others are taken, whose work grows with the
-    square of the rows: explore a selection. Points of null vectors are noise.
+    Every merge counts. Exact distances to all others are taken, whose products grow with the
+    square of the rows; what is shuffled and written does not. Points of null vectors are noise.
     """
     k = min_samples or min_cluster_size
     spark = vectors.sparkSession
@@ -42,7 +42,7 @@ def density(vectors: DataFrame, min_cluster_size: int = 15, min_samples: int | N
         near = neighbours(rows, k)
         core = near.groupBy("i").agg(F.max("d").alias("core"))
         points = written(rows.join(core, F.col("id") == F.col("i"), "left").select("id", "v", F.coalesce("core", F.lit(0.0)).alias("core")), "cores")
-        homes, clusters = merged(points.select("id"), tree_edges(points), min_cluster_size)
+        homes, clusters = merged(points.select("id"), tree_edges(points, near=near), min_cluster_size)
         chosen = highest_chosen(clusters)
         kept = written(homes.join(chosen, F.col("cluster") == F.col("node")).select("id", "best"), "kept")
         first = kept.groupBy("best").agg(F.min("id").alias("first"))

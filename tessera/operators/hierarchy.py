@@ -1,8 +1,8 @@
 """Density clusters from the whole merge tree of a spanning forest, in bounded tasks.
 
 Points are tied by mutual reachability: the greatest of their distance and of both
-ends' distances to their k-th neighbour. Every pair of blocks of points gives the
-least spanning tree of its points, and what all these trees hold contains that of all points.
+ends' distances to their k-th neighbour. Components of points take their least edges to
+others, round by round, until a tree spans all points.
 Merging goes through the edges by weight, so many at a time as one task takes; the
 components so far and what is known of them pass from turn to turn as tables.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tessera.functions.components import components
 from tessera.functions.ranks import numbered
 from tessera.functions.session import batches_of, scratch, written
+from tessera.operators import metric
 
 LEAST = 1e-12  # the distance that closer points count as
 CHUNK = 50_000  # edges that one task merges in a turn
@@ -49,26 +50,90 @@ def least_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.array(i, dtype=np.int64), np.array(j, dtype=np.int64), np.array(w, dtype=float)
 
 
-def tree_edges(points: DataFrame, block: int = 1000) -> DataFrame:
-    """(a, b, w): edges that hold a least spanning tree of the points (id, v, core); a task holds two blocks at a time."""
-    n = max(1, -(-points.count() // block))
-    placed = points.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.least(F.col("at"), k).alias("x"), F.greatest(F.col("at"), k).alias("y")))
-    groups = placed.select("id", "v", "core", F.explode(others).alias("pair")).groupBy("pair").agg(F.collect_list(F.struct("id", "v", "core")).alias("rows"))
+def _scanned(asked: DataFrame, points: DataFrame, block: int) -> DataFrame:
+    """(root, w, a, b, other): for components the least edge to another one, below what is known, that a task finds.
+
+    asked (id, v, core, root, least known weight) and points (id, v, core, root) are packed in blocks that meet as they are read.
+    """
+    spark = points.sparkSession
+
+    def blocks(df: DataFrame, *more: str) -> DataFrame:
+        return metric.in_blocks(df.select("id", F.concat("v", F.array("core", F.col("root").cast("double"), *more)).alias("v")), block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in batch.column(0):
-                held = rows.as_py()
-                ids = np.array([r["id"] for r in held])
-                i, j, w = least_tree(np.array([r["v"] for r in held], dtype=float), np.array([r["core"] for r in held], dtype=float))
-                a, b = ids[i], ids[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(w)], ["a", "b", "w"])
-
-    # a pair of one block has its points once, whatever the other end of the pair
-    found = groups.select("rows").mapInArrow(run, "a long, b long, w double")
-    with batches_of(points.sparkSession, 1):  # a row is two blocks
-        return written(found.groupBy("a", "b").agg(F.min("w").alias("w")), "trees")
+        held: dict[int, tuple] = {}  # of the asked blocks: ids, roots, and for each row the least weight, its end and the end's root
+        for (k, _, a, x), (_, _, b, y) in metric.met(batches):
+            v, core, root, u, far, to = x[:, :-3], x[:, -3], x[:, -2], y[:, :-2], y[:, -2], y[:, -1]
+            if k not in held:
+                held[k] = (a.to_numpy(), root.copy(), x[:, -1].copy(), np.zeros(len(x), dtype=np.int64), np.full(len(x), -1.0))
+            _, _, least, end, other = held[k]
+            w = np.column_stack([-2 * v, (v * v).sum(axis=1), np.ones(len(v))]) @ np.column_stack([u, np.ones(len(u)), (u * u).sum(axis=1)]).T
+            np.maximum(w, (far * far)[None, :], out=w)
+            w[root[:, None] == to[None, :]] = np.inf
+            j = w.argmin(axis=1)
+            exact = np.maximum(np.maximum(np.sqrt(((v - u[j]) ** 2).sum(axis=1)), core), far[j])
+            nearer = np.isfinite(w[np.arange(len(v)), j]) & (exact < least)
+            j = j[nearer]
+            least[nearer], end[nearer], other[nearer] = exact[nearer], b.to_numpy()[j], to[j]
+        for ids, root, least, end, other in held.values():
+            found = pd.DataFrame({"root": root.astype(np.int64), "w": least, "a": ids, "b": end, "other": other.astype(np.int64), "found": other >= 0})
+            found = found[found["found"]].sort_values(["root", "w", "a", "b"]).drop_duplicates("root").drop(columns="found")
+            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+
+    with batches_of(spark, 4):  # a row is two blocks
+        met = metric.all_met(blocks(asked, "least"), blocks(points))
+        return written(met.mapInArrow(run, "root long, w double, a long, b long, other long"), "scanned")
+
+
+def tree_edges(points: DataFrame, block: int = 1000, near: DataFrame | None = None) -> DataFrame:
+    """(a, b, w): edges that hold a least spanning tree of the points (id, v, core).
+
+    In each round every component but the largest takes its least edge to another one, which
+    a least spanning tree has; so there are at most half as many, and no more rounds than the logarithm of the points.
+    near, each point's nearest others (i, j, d), spares most of the search: all that it leaves out is at
+    least as far as the last of a list, so only points whose list ends below the least edge known of their component look at all others.
+    """
+    spark = points.sparkSession
+    with scratch(spark) as keep:
+        where = points.select("id", F.col("id").alias("root"))
+        core = points.select(F.col("id").alias("of"), "core")
+        bound = points.select("id", F.lit(0.0).alias("bound"))
+        links = None
+        if near is not None:
+            full = near.agg(F.max("rank")).first()[0] or 0
+            ends = near.groupBy(F.col("i").alias("id")).agg(F.when(F.count("*") >= full, F.max("d")).alias("bound"))
+            bound = written(ends.select("id", F.coalesce("bound", F.lit(0.0)).alias("bound")), "bounds")
+            weighed = near.select("i", "j", "d").join(core.toDF("i", "x"), "i").join(core.toDF("j", "y"), "j").select("i", "j", F.greatest("d", "x", "y").alias("w"))
+            links = written(weighed.union(weighed.select("j", "i", "w")), "links")
+        taken = None
+        while True:
+            sizes = where.groupBy("root").count().orderBy(F.desc("count"), "root").limit(2).collect()
+            if len(sizes) < 2:
+                break
+            largest = sizes[0]["root"]
+            known = None
+            if links is not None:
+                links = links.select("i", "j", "w").join(where.toDF("i", "root"), "i").join(where.toDF("j", "other"), "j").filter("root <> other")
+                links = written(links, "links")
+                known = links.groupBy("root").agg(F.min(F.struct("w", F.col("i").alias("a"), F.col("j").alias("b"), "other")).alias("e"))
+                known = written(known.filter(F.col("root") != largest).select("root", "e.*"), "known")
+            rows = points.join(where, "id")
+            asked = rows.filter(F.col("root") != largest).join(bound, "id", "left")
+            asked = asked.withColumn("least", F.lit(np.inf)) if known is None else asked.join(known.select("root", F.col("w").alias("least")), "root", "left")
+            asked = asked.withColumn("least", F.coalesce("least", F.lit(np.inf))).filter(F.coalesce("bound", F.lit(0.0)) < F.col("least"))
+            chosen = _scanned(asked, rows, block)
+            chosen = chosen if known is None else chosen.unionByName(known)
+            chosen = written(chosen.groupBy("root").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("root", "e.*"), "chosen")
+            if chosen.isEmpty():  # distances that are no numbers
+                break
+            roots = components(chosen.select(F.col("root").alias("a"), F.col("other").alias("b")))
+            moved = where.join(roots.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+            where = written(moved.select("id", F.coalesce("to", "root").alias("root")), "roots")
+            taken = chosen if taken is None else taken.union(chosen)
+        if taken is None:
+            taken = spark.createDataFrame([], "a long, b long, w double")
+        edges = taken.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "w")
+        return keep(edges.groupBy("a", "b").agg(F.min("w").alias("w")), "trees")
 
 
 def merge_turn(edges: pd.DataFrame, least: int, turn: int) -> pd.DataFrame:

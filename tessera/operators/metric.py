@@ -138,6 +138,12 @@ def packed(found: Cells, block: int) -> DataFrame:
     return written(rows.groupBy("k").applyInArrow(pack, f"k int, c int, ids array<{kind}>, x binary").repartition(files, "k"), "blocks")
 
 
+def in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """The vectors (id, v) in packed blocks, all of one cell."""
+    none, n = np.zeros((1, 0)), rows.count()
+    return packed(Cells(rows.withColumn("cell", F.lit(0)), none, False, np.array([n]), np.zeros(1), none, none), block)
+
+
 def block_met(blocks: DataFrame, near: np.ndarray) -> DataFrame:
     """Every pair of packed blocks whose cells are near (a symmetric table of truths), once, and each block with itself: (lk, lc, li, lx, rk, rc, ri, rx).
 
@@ -152,6 +158,11 @@ def block_met(blocks: DataFrame, near: np.ndarray) -> DataFrame:
     return left.hint("shuffle_replicate_nl").join(blocks.toDF("rk", "rc", "ri", "rx"), once & F.array_contains("others", F.col("rc"))).drop("others")
 
 
+def all_met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """As block_met, for every block of one packed table with every one of another."""
+    return left.toDF("lk", "lc", "li", "lx").hint("shuffle_replicate_nl").crossJoin(right.toDF("rk", "rc", "ri", "rx"))
+
+
 def block_pairs(found: Cells, bound: float, block: int) -> DataFrame:
     """The pairs of blocks that may hold vectors within the bound, as block_met gives them."""
     near = (found.apart() <= bound) & (found.sizes > 0)[:, None] & (found.sizes > 0)[None, :]

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import cluster, hierarchy
+from tessera.operators import cluster, hierarchy, metric
 
 
 def plain_density(x, least, k):
@@ -109,3 +110,19 @@ def test_little_and_repeated_data(spark):
     same = [(k, [float(k % 2), 0.0]) for k in range(30)]  # two points, fifteen times each
     found = {r[0]: r[1] for r in cluster.density(spark.createDataFrame(same, schema), 5).collect()}
     assert found == {k: k % 2 for k in range(30)}
+
+
+def test_trees_are_no_more_edges_than_points(spark):
+    x = np.random.default_rng(6).normal(size=(90, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    near = metric.nearest(df, 4, 20)
+    points = df.join(near.groupBy(near["i"].alias("id")).agg(F.max("d").alias("core")), "id")
+    core = {r["id"]: r["core"] for r in points.collect()}
+    total = hierarchy.least_tree(x, np.array([core[i] for i in range(90)]))[2].sum()
+    edges = hierarchy.tree_edges(points.withColumn("core", F.lit(0.0)), 9).collect()
+    assert len(edges) == 89 and np.isclose(sum(r["w"] for r in edges), hierarchy.least_tree(x, np.zeros(90))[2].sum())
+    root, found = list(range(90)), 0.0  # equal weights may give an edge more
+    for w, a, b in sorted((r["w"], r["a"], r["b"]) for r in hierarchy.tree_edges(points, 9, near).collect()):
+        if root[a] != root[b]:
+            found, root = found + w, [root[a] if r == root[b] else r for r in root]
+    assert np.isclose(found, total)

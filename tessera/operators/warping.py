@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from tessera.functions.session import batches_of, name, scratch, written
 from tessera.operators import metric
 
+FIRST = 3  # places that are bounded for whole blocks at once
+CHUNK = 65_536  # pairs that are aligned at once
+
 
 def series_of(df: DataFrame, key: str, time: str, bins: int = 24, value: str | None = None) -> DataFrame:
     """(id, v): for each key the counts (or sums of a value) in equal parts of the table's whole time, less their mean and over their deviation.
@@ -62,6 +65,34 @@ def warped(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
     return np.sqrt(before[:, n])
 
 
+def not_apart(x: np.ndarray, y: np.ndarray, band: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (of x, of y) but for those whose squared warped distance is above `most`, by the envelopes of y and then of x.
+
+    The first places are bounded for all pairs at once, the others for the pairs that are left.
+    """
+    low, high = widened(y, y, band)
+    n, sums = x.shape[1], np.zeros((len(x), len(y)))
+    for t in range(min(FIRST, n)):
+        gap = np.maximum(x[:, t, None] - high[:, t], low[:, t] - x[:, t, None])
+        np.maximum(gap, 0, out=gap)
+        gap *= gap
+        sums += gap
+    p, q = np.nonzero(sums <= most)
+    p, q = within(x, p, low, high, q, sums[p, q], range(FIRST, n), most)
+    q, p = within(y, q, *widened(x, x, band), p, np.zeros(len(q)), range(n), most)
+    return p, q
+
+
+def within(x: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, q: np.ndarray, total: np.ndarray, places: range, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (p, q) whose squared gaps of x[p] to the envelope q at these places, added to the total, do not pass `most`."""
+    for t in places:
+        gap = np.maximum(np.maximum(x[p, t] - high[q, t], low[q, t] - x[p, t]), 0)
+        total = total + gap * gap
+        held = total <= most
+        p, q, total = p[held], q[held], total[held]
+    return p, q
+
+
 def _cells(series: DataFrame, band: int, block: int) -> tuple[metric.Cells, np.ndarray, int]:
     """(cells, what the series of two cells are apart at least, places)."""
     placed = metric.cells(series, block)
@@ -87,34 +118,26 @@ def warped_pairs(series: DataFrame, limit: float, band: int = 3, block: int = 50
     spark, kind = series.sparkSession, series.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            (a, x), (b, y) = metric.sides(batch, 0), metric.sides(batch, 1)
-            if not len(a):
-                continue
-            alone = not len(b)
+        for (k, _, a, x), (other, _, b, y) in metric.met(batches):
+            alone = k == other
+            p, q = not_apart(x, y, band, limit * limit + 1e-9)
             if alone:
-                b, y = a, x
-            low, high = widened(y, y, band)
-            met, aligned = 0, 0
-            for p in range(len(x)):
-                others = np.arange(p + 1 if alone else 0, len(y))
-                gap = np.maximum(np.maximum(x[p] - high[others], low[others] - x[p]), 0)
-                near = others[(gap * gap).sum(axis=1) <= limit * limit + 1e-9]
-                met, aligned = met + len(others), aligned + len(near)
-                d = warped(np.repeat(x[p : p + 1], len(near), axis=0), y[near], band)
-                kept = near[d <= limit + 1e-12]
-                mine = a.take(pa.array(np.full(len(kept), p)))
-                yield pa.RecordBatch.from_arrays([mine, b.take(pa.array(kept)), pa.array(d[d <= limit + 1e-12]), pa.nulls(len(kept), pa.int64()), pa.nulls(len(kept), pa.int64())], names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, a.type), pa.nulls(1, a.type), pa.nulls(1, pa.float64()), pa.array([met]), pa.array([aligned])], names)
+                p, q = p[p < q], q[p < q]
+            for s in range(0, len(p), CHUNK):
+                i, j = p[s : s + CHUNK], q[s : s + CHUNK]
+                d = warped(x[i], y[j], band)
+                kept = d <= limit + 1e-12
+                none = pa.nulls(int(kept.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([a.take(pa.array(i[kept])), b.take(pa.array(j[kept])), pa.array(d[kept]), none, none], names)
+            count = len(x) * (len(x) - 1) // 2 if alone else len(x) * len(y)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, a.type), pa.nulls(1, a.type), pa.nulls(1, pa.float64()), pa.array([count]), pa.array([len(p)])], names)
 
     names = ["i", "j", "distance", "met", "aligned"]
     with scratch(spark) as keep:
         placed, apart, _ = _cells(series, band, block)
         placed.apart = lambda: apart
         groups = metric.block_pairs(placed, limit, block)
-        with batches_of(spark, 1):
+        with batches_of(spark, 4):  # a row is two blocks
             found = written(groups.mapInArrow(run, f"i {kind}, j {kind}, distance double, met long, aligned long"), "warped")
         met, aligned = found.agg(F.sum("met"), F.sum("aligned")).first()
         n = int(placed.sizes.sum())

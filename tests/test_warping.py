@@ -47,3 +47,10 @@ def test_series_of_events(spark):
     assert warping.series_of(df.limit(0), "u", "t").count() == 0
     none = warping.warped_pairs(spark.createDataFrame([], "id long, v array<double>"), 1.0)
     assert none[0].count() == 0 and none[1] == {"pairs": 0, "met": 0, "aligned": 0}
+
+
+def test_bounds_keep_what_is_near(spark):
+    x, y = curves(7, 40), curves(8, 50)
+    p, q = warping.not_apart(x, y, 3, 0.81)
+    near = {(i, j) for i in range(40) for j in range(50) if plain(x[i], y[j], 3) <= 0.9}
+    assert near and near <= set(zip(p.tolist(), q.tolist(), strict=True)) and len(p) < 40 * 50 / 2

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions.session import batches_of, name, scratch, written
 from tessera.operators import metric
 
-FIRST = 3  # places that are bounded for whole blocks at once
+FIRST = 8  # places that are bounded for whole blocks at once
 CHUNK = 65_536  # pairs that are aligned at once
 
 

@@ -528,7 +528,7 @@ def boosted_importance(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def near_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The ten near neighbours of all embeddings by descent, with a measured recall of 0.9 and more."""
+    """The ten near neighbours of all embeddings, with a measured recall of 0.9 and more."""
     return reduce.neighbours(_vectors(spark, d), 10, exact=False).select("i", "j", r6("d").alias("d"), "rank")
 
 

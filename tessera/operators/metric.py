@@ -53,15 +53,22 @@ class Cells:
     low: np.ndarray
     high: np.ndarray
 
-    def apart(self) -> np.ndarray:
-        """What any two vectors of two cells are apart at least."""
-        between = distances(self.pivots, self.pivots, self.angular)
-        found = between - self.radius[:, None] - self.radius[None, :]
+    def apart(self, other: Cells | None = None) -> np.ndarray:
+        """What any two vectors of two cells are apart at least, of these or of these and other ones with the same references."""
+        other = self if other is None else other
+        found = distances(self.pivots, other.pivots, self.angular) - self.radius[:, None] - other.radius[None, :]
         for k in range(self.low.shape[1]):
-            found = np.maximum(found, self.low[:, k][:, None] - self.high[:, k][None, :])
-            found = np.maximum(found, self.low[:, k][None, :] - self.high[:, k][:, None])
+            found = np.maximum(found, self.low[:, k][:, None] - other.high[:, k][None, :])
+            found = np.maximum(found, other.low[:, k][None, :] - self.high[:, k][:, None])
         return np.maximum(found, 0) - SLACK
 
+    def near(self, bound: float, other: Cells | None = None) -> np.ndarray:
+        """Whether two cells, as for apart, may hold vectors within the bound."""
+        found = (self.apart(other) <= bound) & (self.sizes > 0)[:, None] & ((self if other is None else other).sizes > 0)[None, :]
+        if other is None:
+            np.fill_diagonal(found, self.sizes > 0)
+        return found
+
     def from_points(self, x: np.ndarray) -> np.ndarray:
         """What each row of x is apart at least from the vectors of each cell."""
         far = distances(x, self.pivots, self.angular)
@@ -75,8 +82,11 @@ class Cells:
         return np.maximum(1, -(-self.sizes // block))
 
 
-def cells(vectors: DataFrame, block: int, angular: bool = False, seed: int = 42) -> Cells:
-    """The vectors (id, v) in cells of about `block`; pivots are vectors that a seeded hash of the id picks."""
+def cells(vectors: DataFrame, block: int, angular: bool = False, seed: int = 42, references: np.ndarray | None = None) -> Cells:
+    """The vectors (id, v) in cells of about `block`; pivots are vectors that a seeded hash of the id picks.
+
+    references: those of other cells, if the two are to be compared by apart (from_points has only own ones).
+    """
     spark = vectors.sparkSession
     n = vectors.count()
     m = int(min(MOST, max(1, -(-n // block))))
@@ -84,7 +94,8 @@ def cells(vectors: DataFrame, block: int, angular: bool = False, seed: int = 42)
     pivots = np.array([r["v"] for r in picked], dtype=float).reshape(len(picked), -1 if picked else 0)
     pivots = unit(pivots) if angular else pivots
     kind = vectors.schema["id"].dataType.simpleString()
-    refs = min(REFERENCES, len(pivots))
+    references = pivots[:REFERENCES] if references is None else references
+    refs = len(references)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,26 +105,59 @@ def cells(vectors: DataFrame, block: int, angular: bool = False, seed: int = 42)
             far = distances(unit(x) if angular else x, pivots, angular)
             cell = far.argmin(axis=1)
             own = far[np.arange(len(x)), cell]
-            flat = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * refs, far[:, :refs].ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(pa.float64())), pa.array(cell, pa.int32()), pa.array(own), flat], ["id", "v", "cell", "own", "far"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(pa.float64())), pa.array(cell, pa.int32()), pa.array(own)], ["id", "v", "cell", "own"])
 
-    with batches_of(spark, 2048):
-        placed = written(vectors.select("id", "v").mapInArrow(place, f"id {kind}, v array<double>, cell int, own double, far array<double>"), "cells")
-    bounds = [f(F.get("far", k)).alias(f"{c}{k}") for k in range(refs) for c, f in (("lo", F.min), ("hi", F.max))]
-    known = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("r"), *bounds).collect()  # MOST rows at most
     sizes, radius = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots))
     low, high = np.zeros((len(pivots), refs)), np.zeros((len(pivots), refs))
-    for row in known:
-        c = row["cell"]
-        sizes[c], radius[c] = row["n"], row["r"]
-        low[c], high[c] = [row[f"lo{k}"] for k in range(refs)], [row[f"hi{k}"] for k in range(refs)]
+    with batches_of(spark, 2048):
+        placed = written(vectors.select("id", "v").mapInArrow(place, f"id {kind}, v array<double>, cell int, own double"), "cells")
+        for row in _bounds(placed, references, angular).collect():  # MOST rows at most
+            c = row["cell"]
+            sizes[c], radius[c], low[c], high[c] = row["n"], row["r"], row["lo"], row["hi"]
     return Cells(placed.select("id", "v", "cell"), pivots, angular, sizes, radius, low, high)
 
 
+def _bounds(placed: DataFrame, references: np.ndarray, angular: bool) -> DataFrame:
+    """(cell, n, r, lo, hi): vectors of a cell, the farthest from its pivot, and the least and greatest distance to each reference.
+
+    Distances to the references are taken as the cells are read, and only those of a task's cells leave it.
+    """
+    names = ["cell", "n", "r", "lo", "hi"]
+
+    def joined(cell: np.ndarray, n: np.ndarray, r: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple:
+        order = np.argsort(cell, kind="stable")
+        seen, first = np.unique(cell[order], return_index=True)
+        return seen, np.add.reduceat(n[order], first), np.maximum.reduceat(r[order], first), np.minimum.reduceat(lo[order], first), np.maximum.reduceat(hi[order], first)
+
+    def rows(cell: np.ndarray, n: np.ndarray, r: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[pa.Array]:
+        at = np.arange(len(cell) + 1, dtype=np.int32) * lo.shape[1]
+        return [pa.array(cell, pa.int32()), pa.array(n, pa.int64()), pa.array(r), *(pa.ListArray.from_arrays(at, x.ravel()) for x in (lo, hi))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column(0))
+            far = distances(unit(x) if angular else x, references, angular)
+            cell, own = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            new = joined(cell, np.ones(len(x), dtype=np.int64), own, far, far)
+            held = new if held is None else joined(*(np.concatenate(z) for z in zip(held, new, strict=True)))
+        if held is not None:
+            yield pa.RecordBatch.from_arrays(rows(*held), names)
+
+    def gather(parts: pa.Table) -> pa.Table:
+        parts = parts.combine_chunks()
+        cell, n, r = (parts[c].to_numpy() for c in names[:3])
+        return pa.Table.from_arrays(rows(*joined(cell, n, r, *(matrix(parts[c].combine_chunks()) for c in names[3:]))), names)
+
+    schema = "cell int, n long, r double, lo array<double>, hi array<double>"
+    return placed.select("v", "cell", "own").mapInArrow(run, schema).groupBy("cell").applyInArrow(gather, schema)
+
+
 def pairs_of_blocks(found: Cells, bound: float, block: int) -> tuple[list[list[int]], int, int]:
     """(for each cell the cells that may hold a vector within the bound, pairs of blocks to compare, pairs of blocks in all)."""
-    near = (found.apart() <= bound) & (found.sizes > 0)[:, None] & (found.sizes > 0)[None, :]
-    np.fill_diagonal(near, found.sizes > 0)
+    near = found.near(bound)
     parts = np.where(found.sizes > 0, found.parts(block), 0)
     total = int(parts.sum())
     compared = (int(parts @ near @ parts) + total) // 2
@@ -135,7 +179,7 @@ def packed(found: Cells, block: int) -> DataFrame:
         return pa.table({"k": rows["k"][:1], "c": rows["c"][:1], "ids": pa.array([ids.to_pylist()], pa.list_(ids.type)), "x": pa.array([x.tobytes()], pa.binary())})
 
     files = max(2 * spark.sparkContext.defaultParallelism, sum(parts) // 64)
-    return written(rows.groupBy("k").applyInArrow(pack, f"k int, c int, ids array<{kind}>, x binary").repartition(files, "k"), "blocks")
+    return written(rows.repartition(files, "k").groupBy("k").applyInArrow(pack, f"k int, c int, ids array<{kind}>, x binary"), "blocks")
 
 
 def in_blocks(rows: DataFrame, block: int) -> DataFrame:
@@ -144,30 +188,36 @@ def in_blocks(rows: DataFrame, block: int) -> DataFrame:
     return packed(Cells(rows.withColumn("cell", F.lit(0)), none, False, np.array([n]), np.zeros(1), none, none), block)
 
 
+def _with_others(blocks: DataFrame, near: np.ndarray) -> DataFrame:
+    """(lk, lc, li, lx, others): packed blocks with the cells that are near theirs (a table of truths)."""
+    known = [(c, np.nonzero(r)[0].tolist()) for c, r in enumerate(near) if r.any()]
+    plan = blocks.sparkSession.createDataFrame(known, "lc int, others array<int>")  # MOST rows at most
+    return blocks.toDF("lk", "lc", "li", "lx").join(F.broadcast(plan), "lc").select("lk", "lc", "li", "lx", "others")
+
+
 def block_met(blocks: DataFrame, near: np.ndarray) -> DataFrame:
     """Every pair of packed blocks whose cells are near (a symmetric table of truths), once, and each block with itself: (lk, lc, li, lx, rk, rc, ri, rx).
 
     Blocks meet as they are read, so none of them is shuffled or written for it, however many others it meets.
     """
-    known = [(c, np.nonzero(r)[0].tolist()) for c, r in enumerate(near) if r.any()]
-    plan = blocks.sparkSession.createDataFrame(known, "lc int, others array<int>")  # MOST rows at most
-    left = blocks.toDF("lk", "lc", "li", "lx").join(F.broadcast(plan), "lc").select("lk", "lc", "li", "lx", "others")
     # of two blocks the one or the other is on the left, so that all tasks have as many pairs
     even = (F.col("lk") + F.col("rk")) % 2 == 0
     once = (F.col("lk") == F.col("rk")) | ((F.col("lk") < F.col("rk")) == even)
-    return left.hint("shuffle_replicate_nl").join(blocks.toDF("rk", "rc", "ri", "rx"), once & F.array_contains("others", F.col("rc"))).drop("others")
+    left = _with_others(blocks, near).hint("shuffle_replicate_nl")
+    return left.join(blocks.toDF("rk", "rc", "ri", "rx"), once & F.array_contains("others", F.col("rc"))).drop("others")
 
 
-def all_met(left: DataFrame, right: DataFrame) -> DataFrame:
-    """As block_met, for every block of one packed table with every one of another."""
-    return left.toDF("lk", "lc", "li", "lx").hint("shuffle_replicate_nl").crossJoin(right.toDF("rk", "rc", "ri", "rx"))
+def all_met(left: DataFrame, right: DataFrame, near: np.ndarray | None = None) -> DataFrame:
+    """As block_met, for every block of one packed table with every one of another, or with those of near cells."""
+    right = right.toDF("rk", "rc", "ri", "rx")
+    if near is None:
+        return left.toDF("lk", "lc", "li", "lx").hint("shuffle_replicate_nl").crossJoin(right)
+    return _with_others(left, near).hint("shuffle_replicate_nl").join(right, F.array_contains("others", F.col("rc"))).drop("others")
 
 
 def block_pairs(found: Cells, bound: float, block: int) -> DataFrame:
     """The pairs of blocks that may hold vectors within the bound, as block_met gives them."""
-    near = (found.apart() <= bound) & (found.sizes > 0)[:, None] & (found.sizes > 0)[None, :]
-    np.fill_diagonal(near, found.sizes > 0)
-    return block_met(packed(found, block), near)
+    return block_met(packed(found, block), found.near(bound))
 
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

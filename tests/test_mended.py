@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import counts, filters, parse, reduce, text
+from tessera.operators import counts, filters, metric, parse, reduce, text
 from tessera.plans.session import Session
 
 
@@ -101,3 +101,18 @@ def test_merging_by_cosine_writes_no_pairs(spark, monkeypatch):
     rows = vectors.select(F.col("id").alias("row_id"), F.col("id").alias("label"))
     found = text.merge_clusters(terms, rows, similarity=0.999, vectors=vectors)
     assert {(r["row_id"], r["term"]) for r in found.collect()} == {(k, f"t{k if k < 3 else k - 3}") for k in range(9)} and not seen
+
+
+def test_copies_are_merged_without_pairs_of_cells(spark, monkeypatch):
+    """Each is like the one before it, so that no table of blocks is written and none meets another."""
+
+    def refused(*a, **b):
+        raise AssertionError("blocks meet")
+
+    for name in ("cells", "packed", "block_met", "all_met"):
+        monkeypatch.setattr(metric, name, refused)
+    vectors = spark.range(3000).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    terms = vectors.select(F.col("id").alias("label"), F.concat(F.lit("t"), F.col("id")).alias("term"))
+    rows = vectors.select(F.col("id").alias("row_id"), F.col("id").alias("label"))
+    found = text.merge_clusters(terms, rows, similarity=0.999, vectors=vectors)
+    assert {(r["row_id"], r["term"]) for r in found.collect()} == {(k, f"t{max(0, k - 1)}") for k in range(3000)}

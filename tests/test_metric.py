@@ -105,6 +105,66 @@ def test_ties_go_to_the_lesser_id_across_blocks(spark):
         assert [(d, j) for _, d, j in near] == [(0.0, j) for j in same[:5]]
 
 
+@pytest.mark.parametrize("angular", [False, True])
+def test_what_is_known_of_cells(spark, monkeypatch, angular):
+    seen, kept = {}, metric.written
+    monkeypatch.setattr(metric, "written", lambda df, what: kept(seen.setdefault(what, df), what))
+    x = groups(14, 9, 30, 5)
+    placed = metric.cells(table(spark, x), 30, angular)
+    u = metric.unit(x) if angular else x
+    far = metric.distances(u, placed.pivots, angular)
+    own = far.argmin(axis=1)
+    for c in range(len(placed.pivots)):
+        of = own == c
+        assert placed.sizes[c] == of.sum()
+        if of.any():
+            assert np.isclose(placed.radius[c], far[of, c].max(), atol=1e-7)
+            assert np.allclose(placed.low[c], far[of].min(axis=0), atol=1e-7) and np.allclose(placed.high[c], far[of].max(axis=0), atol=1e-7)
+    metric.packed(placed, 30)
+    assert set(seen["cells"].columns) == {"id", "v", "cell", "own"}  # no distances to other pivots
+    assert seen["blocks"]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # vectors are shuffled once
+
+
+def test_cells_of_some_are_compared_with_those_of_all(spark):
+    x = groups(15, 10, 30, 8)
+    placed = metric.cells(table(spark, x), 30, angular=True)
+    some = metric.cells(table(spark, x[::7], 1000), 10, angular=True, references=placed.pivots)
+    apart, u = some.apart(placed), metric.unit(x)
+    angle = metric.distances(u[::7], u, True)
+    left, right = (metric.distances(z, c.pivots, True).argmin(axis=1) for z, c in ((u[::7], some), (u, placed)))
+    assert (apart[left][:, right] <= angle + 1e-9).all() and (apart > 0.5).any()
+
+
+def plain_last(rows, least):
+    ids = [r[0] for r in rows]
+    u = metric.unit(np.array([r[1] for r in rows], dtype=float))
+    near = u @ u.T >= least - 1e-12
+    found = {}
+    for j, label in enumerate(ids):
+        before = [i for k, i in enumerate(ids) if near[j, k] and label is not None and i is not None and i < label]
+        if before:
+            found[label] = max([found[label], *before] if label in found else before)
+    return found
+
+
+@pytest.mark.parametrize("held", [64 << 20, 2000])  # with 2000 bytes a task looks back on one or two blocks only
+@pytest.mark.parametrize("least", [0.999, 0.7, 0.0, -0.5])
+def test_the_last_like_one_is_exact(spark, monkeypatch, least, held):
+    monkeypatch.setattr(text, "HELD", held)
+    x = np.concatenate([groups(7), np.zeros((2, 6)), groups(7)[:40] * 5, np.random.default_rng(3).normal(size=(150, 6))])
+    order = np.random.default_rng(4).permutation(len(x))
+    rows = [(int(k) * 3, v.tolist()) for k, v in zip(order, x, strict=True)]
+    rows += [(rows[5][0], rows[9][1]), (None, rows[0][1])]  # an id twice, no id
+    found = {r["label"]: r["to"] for r in text.last_like(spark.createDataFrame(rows, SCHEMA), least, 10).collect()}
+    assert found == plain_last(rows, least)
+
+
+def test_the_last_like_one_by_strings(spark):
+    rows = [(f"k{k}", v.tolist()) for k, v in enumerate(groups(16, 6, 40))]
+    found = {r["label"]: r["to"] for r in text.last_like(spark.createDataFrame(rows, "id string, v array<double>"), 0.99, 8).collect()}
+    assert found == plain_last(rows, 0.99)
+
+
 def test_layouts_have_any_number_of_components(spark):
     x = groups(9, 4, 20, 5, 0.3)
     df = table(spark, x)

@@ -64,9 +64,10 @@ class Cells:
 
     def near(self, bound: float, other: Cells | None = None) -> np.ndarray:
         """Whether two cells, as for apart, may hold vectors within the bound."""
-        found = (self.apart(other) <= bound) & (self.sizes > 0)[:, None] & ((self if other is None else other).sizes > 0)[None, :]
-        if other is None:
-            np.fill_diagonal(found, self.sizes > 0)
+        if other is not None:
+            return (self.apart(other) <= bound) & (self.sizes > 0)[:, None] & (other.sizes > 0)[None, :]
+        found = (self.apart() <= bound) & (self.sizes > 0)[:, None] & (self.sizes > 0)[None, :]
+        np.fill_diagonal(found, self.sizes > 0)
         return found
 
     def from_points(self, x: np.ndarray) -> np.ndarray:
